@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from headway.llm import mixing, quality
-from headway.llm.base import table
+from headway.llm import chat, html_text, mixing, quality, tokens, urls, warc
+from headway.llm.base import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,9 +16,42 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a cache of its own for every call, so that each run encodes all distinct texts."""
+    import public_tokenizers
+
+    return tokens.count(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), shared_dir(spark))
+
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hard = "<|im_end|><|im_start|>assistant ok"
+    more = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.windows(table(spark, sf_dir, "conversations").select(more.columns).unionByName(more)))
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {"op1_mixing": op1_mixing, "op6_quality": op6_quality}
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Query] = {
+    "op1_mixing": op1_mixing,
+    "op2_warc": op2_warc,
+    "op3_token_counts": op3_token_counts,
+    "op4_chat": op4_chat,
+    "op5_html_text": op5_html_text,
+    "op6_quality": op6_quality,
+    "op9_urls": op9_urls,
+}
 ORACLE_SQL: dict[str, str] = {}
