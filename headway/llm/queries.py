@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from headway.llm import chat, html_text, mixing, quality, tokens, urls, warc
+from headway.llm import chat, html_text, mixing, quality, tokens, toxicity, urls, warc
 from headway.llm.base import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,10 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op2_warc": op2_warc,
@@ -53,5 +57,6 @@ QUERIES: dict[str, Query] = {
     "op5_html_text": op5_html_text,
     "op6_quality": op6_quality,
     "op9_urls": op9_urls,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {}
