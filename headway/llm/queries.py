@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from headway.llm import chat, html_text, jaccard, mixing, quality, tokens, toxicity, urls, warc
+from headway.llm import chat, decontam, html_text, jaccard, mixing, quality, tokens, toxicity, urls, warc
 from headway.llm.base import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), n=3, percent=90)
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Query] = {
     "op4_chat": op4_chat,
     "op5_html_text": op5_html_text,
     "op6_quality": op6_quality,
+    "op7_decontamination": op7_decontamination,
     "op8_jaccard": op8_jaccard,
     "op9_urls": op9_urls,
     "op10_toxicity": op10_toxicity,
