@@ -1,0 +1,170 @@
+import pytest
+from pyspark.sql import functions as F
+
+from headway.functions import modes, time
+from headway.functions.modes import ModeMap
+from headway.operators import network, services
+from headway.plans.services import Services, ServicesConfig, from_feed
+from headway.streaming import arrivals
+
+H = 3600
+DAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
+
+
+def tables(spark, trips, times, routes=(("r", "name", 3),), services_=None):
+    calendar = services_ or [("thu", "thursday"), ("wed", "wednesday"), ("both", "wednesday thursday"), ("mon", "monday")]
+    flags = [(s, *[int(d in days.split()) for d in DAYS]) for s, days in calendar]
+    return {
+        "routes": spark.createDataFrame(list(routes), "route_id string, route_short_name string, route_type int"),
+        "calendar": spark.createDataFrame(flags, "service_id string, " + ", ".join(f"{d} int" for d in DAYS)),
+        "trips": spark.createDataFrame(trips, "trip_id string, route_id string, service_id string"),
+        "stop_times": spark.createDataFrame(times, "trip_id string, stop_id string, stop_sequence int, arr int, dep int"),
+    }
+
+
+def run(spark, trips, times, periods=(), **more):
+    config = {k: more.pop(k) for k in list(more) if k in ServicesConfig.__dataclass_fields__}
+    return Services(tables(spark, trips, times, **more), ServicesConfig("thursday", periods=list(periods), **config))
+
+
+def test_times(spark):
+    texts = ["25:10:00", " 6:05:09", "", None, "x", "6:60:00"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(time.seconds(F.col("t"))).collect()]
+    assert got == [25 * H + 600, 6 * H + 309, None, None, None, None]
+    assert time.day_before("monday") == "sunday"
+    periods = time.add_period([], 6 * H, 9 * H)
+    assert time.add_period(periods, 6 * H, 9 * H) == periods
+    assert time.add_period(periods, 8 * H, 10 * H) == periods
+    assert len(time.add_period(periods, 5 * H, 10 * H)) == 2
+    assert len(time.add_period(periods, 17 * H, 19 * H)) == 2
+    with pytest.raises(ValueError):
+        time.add_period([], 2, 1)
+
+
+def test_overflow(spark):
+    trips = [(f"{s}{h}", "r", s) for s in ("thu", "wed", "both", "mon") for h in (23, 24, 25)]
+    times = [(t[0], x, i, int(t[0][-2:]) * H + 600 + i, int(t[0][-2:]) * H + 600 + i) for t in trips for i, x in ((1, "a"), (2, "b"))]
+    kept = {r["trip_id"] for r in run(spark, trips, times).stop_times.select("trip_id").distinct().collect()}
+    assert kept == {"thu23", "wed24", "wed25", "both23"}
+    both = {r["trip_id"] for r in run(spark, trips, times, both_days=True).stop_times.select("trip_id").distinct().collect()}
+    assert both == kept | {"both24", "both25"}
+
+
+def test_window_edges(spark):
+    at = {"a": 6 * H - 1, "b": 6 * H, "c": 10 * H - 1, "d": 10 * H}
+    trips = [(t, "r", "thu") for t in at]
+    times = [(t, "s", 1, x, x) for t, x in at.items()]
+    got = {r["trip_id"] for r in run(spark, trips, times, [(6 * H, 10 * H - 1)]).stop_times.collect()}
+    assert got == {"b", "c"}
+
+
+def test_late_start(spark):
+    t = [5 * H + 3000, 5 * H + 3480, 6 * H + 180, 10 * H + 1200]
+    times = [("t", f"s{i}", i, x, x) for i, x in enumerate(t)]
+    window = [(6 * H, 10 * H - 1)]
+    late = run(spark, [("t", "r", "thu")], times, window)
+    assert [r["stop_sequence"] for r in late.stop_times.orderBy("stop_sequence").collect()] == [2, 3]
+    assert late.departures.first()["departure"] == t[2]
+    assert run(spark, [("t", "r", "thu")], times, window, partial_trips=False).stop_times.count() == 0
+
+
+def test_repeats_gaps_and_single_stops(spark):
+    times = [("d", "a", 1, 100, 110), ("d", "a", 2, 100, 110), ("d", "b", 3, 200, 205), ("d", "a", 4, 100, 110), ("g", "a", 1, 0, 0), ("g", "b", 2, 30 * H, 30 * H), ("one", "a", 1, 5, 5)]
+    s = run(spark, [("d", "r", "thu"), ("g", "r", "thu"), ("one", "q", "thu")], times, routes=[("r", "n", 3), ("q", "m", 3)])
+    assert s.stop_times.filter("trip_id = 'd'").count() == 3
+    legs = {(r["trip_id"], r["from_stop"], r["to_stop"]): (r["duration"], r["dwell"], r["too_long"]) for r in s.legs.collect()}
+    assert legs[("d", "a", "b")] == (90, 5, False) and legs[("g", "a", "b")] == (30 * H, 0, True)
+    assert {r["trip_id"] for r in network.without_legs(s.trips, s.legs).collect()} == {"g", "one"}
+    assert {r["external_id"] for r in s.routed_services().collect()} == {"r"}
+
+
+def test_modes_stay_apart_and_directions_join(spark):
+    routes = [("bus", "1", 3), ("tram", "2", 900), ("none", "3", 401), ("bad", "4", None)]
+    times = [("b", "x", 1, 0, 0), ("b", "y", 2, 9, 9), ("c", "y", 1, 0, 0), ("c", "x", 2, 9, 9), ("t", "x", 1, 0, 0), ("t", "y", 2, 9, 9), ("n", "x", 1, 0, 0)]
+    s = run(spark, [("b", "bus", "thu"), ("c", "bus", "thu"), ("t", "tram", "thu"), ("n", "none", "thu"), ("z", "gone", "thu"), ("m", "bus", "mon")], times, routes=routes)
+    assert s.segments.count() == 3
+    assert {(r["mode"], r["directions"]) for r in s.undirected.collect()} == {("BUS", 2), ("LIGHTRAIL", 1)}
+    why = {r["trip_id"]: r["removal_reason"] for r in s.all_trips.collect()}
+    assert why == {"b": None, "c": None, "t": None, "n": "ROUTE_MODE_INCOMPATIBLE", "z": "UNKNOWN", "m": "SERVICE_ID_DISCARDED"}
+    excluded = run(spark, [("b", "bus", "thu")], times, routes=routes, exclude_names=["1"])
+    assert excluded.all_trips.first()["removal_reason"] == "ROUTE_EXCLUDED"
+
+
+def test_identical_trips(spark):
+    starts = {"a": 6 * H, "b": 6 * H + 600, "c": 6 * H + 600, "d": 7 * H}
+    times = [(t, x, i, s + i * 60 + (t == "d") * i, s + i * 60 + (t == "d") * i) for t, s in starts.items() for i, x in enumerate("xyz")]
+    s = run(spark, [(t, "r", "thu") for t in starts], times)
+    got = sorted((r["n_trips"], r["departures"]) for r in s.consolidated.collect())
+    assert got == [(1, [7 * H]), (3, [6 * H, 6 * H + 600])]
+
+
+def test_names_and_null_names(spark):
+    routes = spark.createDataFrame([("1", "A"), ("2", None), ("3", "B")], "route_id string, route_short_name string")
+    ids = lambda df: {r["route_id"] for r in df.collect()}
+    assert ids(services.filter_names(routes, ["A"])) == {"2", "3"}
+    assert ids(services.filter_names(routes, [], ["A", "B"])) == {"1", "3"}
+    assert ids(services.filter_names(routes, ["A"], ["A", "B"])) == {"3"}
+
+
+def test_repeated_services_last_wins(spark):
+    c = spark.createDataFrame([("s", 1, 0, 1), ("s", 0, 0, 2)], "service_id string, thursday int, wednesday int, at int")
+    assert services.active_services(c, "thursday", "at").count() == 0
+
+
+def test_mode_map(spark):
+    m = ModeMap()
+    assert m.primary(3) == "BUS" and m.primary(800) == "BUS" and m.primary(2) == "TRAIN" and m.primary(900) == "LIGHTRAIL"
+    assert all(m.primary(t) is None for t in (5, 12, 401, 402, 405, 1100, 1702))
+    assert m.primary(1503) == "TRAIN" and m.primary(1502) == "FERRY" and m.primary(11) == "BUS"
+    assert ModeMap("ORIGINAL").primary(700) is None and ModeMap(with_metro=True).primary(401) == "SUBWAY"
+    m.deactivate(3)
+    assert m.primary(3) is None and m.is_active(700)
+    m.deactivate_all_except(2, 4)
+    assert m.active_modes() == ["FERRY", "TRAIN"] and m.types_of("TRAIN") == [2]
+    m.only_tracks(["WATER"])
+    assert m.active_modes() == ["FERRY"]
+    m.map(5, "TRAM")
+    assert m.primary(5) == "TRAM"
+    with pytest.raises(ValueError):
+        m.map(6, "CUSTOM")
+    pairs = {tuple(r) for r in modes.compatibility(ModeMap().rows(spark)).collect()}
+    assert ("TRAM", "LIGHTRAIL") in pairs and ("BUS", "TRAM") not in pairs
+    with pytest.raises(ValueError):
+        ServicesConfig("someday")
+
+
+def test_types(spark):
+    df = spark.createDataFrame([("3", ""), ("x", None), (None, "7"), ("40000", "2")], "r string, l string")
+    got = [tuple(r) for r in df.select(modes.route_type(F.col("r")), modes.location_type(F.col("l"))).collect()]
+    assert got == [(3, 0), (None, 0), (None, None), (None, 2)]
+
+
+def test_truncation_cuts_trips(spark):
+    legs = spark.createDataFrame([("t", i, f"s{i}", f"s{i+1}", "BUS", False, 60) for i in range(2, 8)], "trip_id string, nth int, from_stop string, to_stop string, mode string, too_long boolean, duration int")
+    mapped = legs.filter("nth <> 4").select("from_stop", "to_stop", "mode")
+    got = sorted((r["nth"], r["part"]) for r in network.truncated(legs, mapped).collect())
+    assert got == [(2, 1), (3, 1), (5, 2), (6, 2), (7, 2)]
+
+
+def test_feed_types_and_sink(spark, tmp_path):
+    s = lambda rows, ddl: spark.createDataFrame(rows, ddl)
+    feed = {
+        "routes": s([("r", "n", "3")], "route_id string, route_short_name string, route_type string"),
+        "calendar": s([("x", *["1"] * 7)], "service_id string, " + ", ".join(f"{d} string" for d in DAYS)),
+        "trips": s([("t", "r", "x")], "trip_id string, route_id string, service_id string"),
+        "stop_times": s([("t", "a", "1", "06:00:00", "06:00:00"), ("t", "b", "2", "06:10:00", "06:11:00"), ("t", "c", "3", "", "")], "trip_id string, stop_id string, stop_sequence string, arrival_time string, departure_time string"),
+    }
+    plan = Services(from_feed(feed), ServicesConfig("monday"))
+    plan.write(str(tmp_path))
+    assert spark.read.parquet(f"{tmp_path}/trips").first()["departures"] == [6 * H]
+    assert {tuple(r) for r in plan.summary().collect()} == {("BUS", 1, 2)}
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    t = tables(spark, [("t", "r", "thu")], [("t", f"s{i}", i, 6 * H + i * 900, 6 * H + i * 900) for i in range(20)])
+    trips = Services(t, ServicesConfig("thursday")).trips
+    t["stop_times"].write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(t["stop_times"].schema).parquet(str(tmp_path / "in"))
+    query = arrivals.hourly(stream, trips, [(6 * H, 8 * H)]).writeStream.format("memory").queryName("hours").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
+    assert query.awaitTermination(120)
+    assert sorted(map(tuple, spark.table("hours").collect())) == sorted(map(tuple, arrivals.hourly(t["stop_times"], trips, [(6 * H, 8 * H)]).collect()))
