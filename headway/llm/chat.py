@@ -91,6 +91,7 @@ def _windowed(rows: DataFrame, budget: int, history_turns: int, history_tokens:
     dealt = ranked.withColumns({"_own": block, "_part": F.explode(halo)})
     here = Window.partitionBy("conv_id", "_part").orderBy("rank")
     past = F.array(*[F.lag(F.struct("role", "text", "start", "is_system"), k).over(here) for k in range(history_turns, 0, -1)])
+    past = past if history_turns else F.array().cast("array<struct<role:string,text:string,start:long,is_system:boolean>>")
     near = lambda p: p.isNotNull() & ~p["is_system"] & (F.col("start") - p["start"] <= history_tokens)
     return dealt.withColumn("_past", past).filter("_own = _part").withColumn(
         "_past", F.transform(F.filter("_past", near), lambda p: F.struct(p["role"].alias("role"), p["text"].alias("text")))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from headway.llm import chat, decontam, html_text, jaccard, mixing, quality, tokens, toxicity, urls, warc
+from headway.llm import chat, decontam, html_text, jaccard, mixing, oracle, quality, tokens, toxicity, urls, warc
 from headway.llm.base import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,4 +69,4 @@ QUERIES: dict[str, Query] = {
     "op9_urls": op9_urls,
     "op10_toxicity": op10_toxicity,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = oracle.SQL
