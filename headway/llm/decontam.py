@@ -41,7 +41,7 @@ from headway.llm.base import word_count
 N, SIMILARITY = 5, 0.8
 SHORT, RADIUS_SHORT, RADIUS = 24, 15, 11
 PARTS, PART_BITS = 4, 16
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 250_000
 MEMO = 1_000_000
 EDGES = ".,;:!?*&$%#|<>\"'`()[]{}-_/\\…“”‘’«»"
 POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 2**64) for k in range(N)], np.uint64)
@@ -132,13 +132,13 @@ class Items:
         """Items of n words: their places, fingerprints, radius, and for each block the items by block value."""
         prints = np.array([fingerprints(self._of(self.items[at][1]), np.zeros(1, np.int64), n)[0] for at in ats], np.uint64)
         radius = RADIUS_SHORT if n < SHORT else RADIUS
-        masks = np.array([sum(1 << b for b in bits) for d in range(radius // PARTS + 1) for bits in combinations(range(PART_BITS), d)], np.uint64)
+        masks = np.array([sum(1 << b for b in bits) for d in range(radius // PARTS + 1) for bits in combinations(range(PART_BITS), d)], np.uint16)
         tables = []
         for part in range(PARTS):
-            value = (prints >> np.uint64(part * PART_BITS)) & np.uint64(0xFFFF)
+            value = (prints >> np.uint64(part * PART_BITS)).astype(np.uint16)
             keys = (value[:, None] ^ masks[None, :]).ravel()
             order = np.argsort(keys, kind="stable")
-            tables.append((keys[order], np.repeat(np.arange(len(ats)), len(masks))[order]))
+            tables.append((keys[order], np.repeat(np.arange(len(ats), dtype=np.int32), len(masks))[order]))
         return np.array(ats), prints, radius, tables
 
     def _candidates(self, n: int, prints: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -146,12 +146,12 @@ class Items:
         ats, own, radius, tables = self.index[n]
         pairs = []
         for part, (keys, holders) in enumerate(tables):
-            value = (prints >> np.uint64(part * PART_BITS)) & np.uint64(0xFFFF)
+            value = (prints >> np.uint64(part * PART_BITS)).astype(np.uint16)
             low, high = np.searchsorted(keys, value), np.searchsorted(keys, value, "right")
             size = high - low
             window = np.repeat(np.arange(len(prints)), size)
             holder = holders[np.repeat(low - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())]
-            pairs.append(holder * len(prints) + window)
+            pairs.append(holder.astype(np.int64) * len(prints) + window)
         found = np.unique(np.concatenate(pairs))
         holder, window = found // len(prints), found % len(prints)
         distance = np.bitwise_count(own[holder] ^ prints[window])
