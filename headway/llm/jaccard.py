@@ -3,8 +3,8 @@
 A document is the set of its n-word shingles (as 64-bit hashes). All sets share
 one order: rare shingles by hash, then frequent ones by count. If two sets meet
 the threshold, both overlap with the other in at least a = ceil(t * size)
-shingles, so their first size - a + l shingles have l in common, for any l. A
-document takes the l for which its estimated cost is least (entries to index,
+shingles, so their first size - a + l shingles have l in common, for any l (and
+more, as far as the sizes of both ask for a larger overlap than a). A document takes the l for which its estimated cost is least (entries to index,
 plus the other holders of its prefix's shingles, who are verified only with l
 matches); a pair needs as many shared prefix shingles as the smaller l of both.
 
@@ -14,11 +14,11 @@ matches); a pair needs as many shared prefix shingles as the smaller l of both.
 2. A pass writes size, digest and prefix of every text. Equal sets form a class.
 3. Prefixes are dealt out by shingle; those that one class alone has are dropped.
    The sets of classes that still have one are written.
-4. Rounds of stars: in every shingle's holders, one is drawn and verified against
+4. Rounds of stars: in every shingle's holders, a central one is verified against
    all others outside its component. A group of near copies is joined by as many
    comparisons as it has members, so no round makes pairs of a group's size squared.
-5. When few pairs across components are left, or two rounds join nothing, all of
-   them with enough matches are verified: no link between components is lost.
+5. When few pairs across components are left, or a round leaves nine tenths of
+   them, all with enough matches are verified: no link between components is lost.
 
 Texts without words are linked with nothing: size 0, own doc_id. Rows with equal
 doc_id count as different texts. A null doc_id never names a component; rows
@@ -38,15 +38,27 @@ from pyspark.sql import functions as F
 from headway.llm.base import written
 from headway.llm.shingles import each_text, shingles
 
-MAX_FREQUENT, CHUNK, LOCAL = 1_000_000, 4_000_000, 3
-MAX_MATCHES, INDEX_COST, PROBE_COST, VERIFY_COST = 4, 1.0, 0.2, 5.0
-MAX_ROUNDS = 12
+MAX_FREQUENT, CHUNK, LOCAL = 1_000_000, 2_000_000, 3
+#: Costs in entries of the index; a shingle that is not frequent has RARE other holders on average.
+MIN_MATCHES, MAX_MATCHES, VERIFY_COST, RARE = 4, 12, 20.0, 0.5
+#: Tables of a few numbers a row are broadcast up to so many rows, and shuffled beyond.
+BROADCAST_ROWS = 1_000_000
 
 
 def _need(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def _part(n, percent: int):
+    """ceil(percent of n), as a column."""
+    return F.floor((n * percent + 99) / 100).cast("int")
+
+
+def _overlap(n, m, percent: int):
+    """The least overlap with which sets of n and m shingles meet the threshold, as a column."""
+    return F.floor(((n + m) * percent + 99 + percent) / (100 + percent)).cast("int")
+
+
 def frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that occur in LOCAL texts of some chunk, sorted, and in how many of those chunks' texts."""
 
@@ -89,11 +101,11 @@ def _prefix(own: np.ndarray, often: np.ndarray, counts: np.ndarray, percent: int
     rank = np.where(hit, counts[np.minimum(at, len(often) - 1)], 0) if len(often) else np.zeros(n, np.int64)
     order = np.argsort(rank, kind="stable")
     need = _need(n, percent)
-    others = np.cumsum(np.maximum(rank[order] - 1, 0))
+    others = np.cumsum(np.maximum(rank[order] - 1, RARE))
     best, matches = None, 1
-    for k in range(1, min(MAX_MATCHES, need) + 1):
+    for k in range(min(MIN_MATCHES, need), min(MAX_MATCHES, need) + 1):
         size = n - need + k
-        cost = INDEX_COST * size + others[size - 1] * (PROBE_COST + VERIFY_COST / k)
+        cost = size + others[size - 1] * (1 + VERIFY_COST / k)
         if best is None or cost < best:
             best, matches = cost, k
     return own[order[: n - need + matches]], matches
@@ -126,8 +138,13 @@ def profiles(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, matches int, prefix array<long>")
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """``df`` (a written table) marked for broadcast if it has few enough rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """cid and sorted set of each wanted class, from one text of it; wanted: (cid, doc, digest)."""
+    """cid and sorted set of each wanted class, from its text with the smallest doc_id (more than once if that row is repeated); wanted: (cid, doc, digest)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,18 +153,21 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             own = [s.view(np.int64) for s, ok in zip(own, same, strict=True) if ok]
             yield pa.RecordBatch.from_arrays([batch.column("cid").filter(pa.array(same)), pa.array(own, pa.list_(pa.int64()))], ["cid", "own"])
 
-    texts = docs.select(F.col("doc_id").alias("_doc"), "text").join(wanted, F.col("_doc").eqNullSafe(F.col("doc")))
-    made = texts.select("cid", "digest", "text").mapInArrow(run, "cid long, own array<long>")
-    return made.groupBy("cid").agg(F.first("own").alias("own"))
+    texts = docs.select(F.col("doc_id").alias("_doc"), "text").join(_small(wanted), F.col("_doc").eqNullSafe(F.col("doc")))
+    return texts.select("cid", "digest", "text").mapInArrow(run, "cid long, own array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets meet the threshold."""
-    left = sets.select(F.col("cid").alias("a"), F.col("own").alias("own_a"))
-    right = sets.select(F.col("cid").alias("b"), F.col("own").alias("own_b"))
-    both = pairs.join(left, "a").join(right, "b")
+    """The pairs (a, b) of a written table whose sets meet the threshold.
+
+    Pairs are few numbers, so they go to the sets where those lie; then only the sets of ``a`` move, to that of ``b``.
+    """
+    pairs = _small(pairs)
+    left = sets.select(F.col("cid").alias("a"), F.col("own").alias("own_a")).join(pairs, "a")
+    right = sets.select(F.col("cid").alias("b"), F.col("own").alias("own_b")).join(pairs.select("b").distinct(), "b", "left_semi")
     common = F.size(F.array_intersect("own_a", "own_b"))
-    return both.filter(100 * common >= percent * (F.size("own_a") + F.size("own_b") - common)).select("a", "b")
+    fits = 100 * common >= percent * (F.size("own_a") + F.size("own_b") - common)
+    return left.join(right, "b").filter(fits).select("a", "b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -166,46 +186,54 @@ def components(edges: DataFrame) -> DataFrame:
         last = state
 
 
-def _grouped(live: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Prefix entries with the component of their class, without the shingles that only one component has."""
+def _grouped(live: DataFrame, roots: DataFrame | None, percent: int) -> DataFrame:
+    """Prefix entries with the component of their class, without those of which no other holder has a size that could do, and without shingles of a single component."""
+    live = live.drop("root")
     placed = live.withColumn("root", F.col("cid")) if roots is None else live.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    by = Window.partitionBy("shingle")
+    by, sized = Window.partitionBy("shingle"), Window.partitionBy("shingle").orderBy("n", "cid")
+    near = (F.lag("n").over(sized) * 100 >= F.col("n") * percent) | (F.col("n") * 100 >= F.lead("n").over(sized) * percent)
+    placed = placed.withColumn("_near", F.coalesce(near, F.lit(False))).filter("_near").drop("_near")
     return placed.withColumn("_few", F.min("root").over(by) == F.max("root").over(by)).filter("not _few").drop("_few")
 
 
-def links(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+def links(live: DataFrame, prefixes: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
     """Roots of the classes that are linked with others; None if none are."""
     edges: list[DataFrame] = []
-    roots, dry = None, 0
-    for turn in range(MAX_ROUNDS):
-        open_ = written(_grouped(live, roots))
+    roots, open_, last, turn = None, live, None, 0
+    while True:
+        open_ = written(_grouped(open_, roots, percent))
         sizes = open_.groupBy("shingle", "root").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("own"))
         across, entries = sizes.agg(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2), F.sum("all")).first()
         if not entries:
             return roots
-        if across <= 4 * entries:
+        if last is not None and (across <= 4 * entries or across > 0.9 * last):
             break
         by = Window.partitionBy("shingle")
-        drawn = F.min(F.struct(F.xxhash64(F.lit(turn), "root"), F.xxhash64(F.lit(turn), "cid"), "cid", "root", "n")).over(by)
+        # The holder most of whose prefix others share stands in the middle of its copies; later rounds vary the choice.
+        chance = F.pmod(F.xxhash64(F.lit(turn), "cid"), F.lit(1024)) / 1024
+        drawn = F.max(F.struct(F.col("met") * (0.5 + chance) if turn else F.col("met").cast("double"), "cid", "root", "n", "matches", "asked")).over(by)
         star = open_.withColumn("_p", drawn).filter("root <> _p.root").filter(F.least("n", "_p.n") * 100 >= percent * F.greatest("n", "_p.n"))
-        found = written(verified(star.select(F.col("cid").alias("a"), F.col("_p.cid").alias("b")).distinct(), sets, percent))
-        if found.isEmpty():
-            dry += 1
-            if dry == 2:
-                break
-            continue
-        dry = 0
-        edges.append(found)
-        roots = written(components(_union(edges)))
+        star = star.groupBy(F.col("cid").alias("a"), F.col("_p.cid").alias("b")).agg(F.count("*").alias("_c"), F.min(F.least("matches", "_p.matches") - F.greatest("asked", "_p.asked") + 1).alias("_m"))
+        found = written(verified(written(star.filter("_c >= _m").select("a", "b")), sets, percent))
+        if not found.isEmpty():
+            edges.append(found)
+            roots = written(components(_union(edges)))
+        last, turn = across, turn + 1
     # In a shingle's holders, the largest component's members meet only the others, so they are never paired among themselves.
+    # The join itself compares the prefixes, so it gives only pairs with enough matches.
     counted = open_.groupBy("shingle", "root").agg(F.count("*").alias("_n"))
     main = counted.groupBy("shingle").agg(F.max(F.struct("_n", "root"))["root"].alias("main"))
-    rows = written(open_.join(main, "shingle"))
-    few = rows.filter("root <> main").select("shingle", F.col("cid").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("matches").alias("ma"))
-    many = rows.select("shingle", F.col("cid").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("matches").alias("mb"), (F.col("root") == F.col("main")).alias("in_main"))
-    pairs = few.join(many, "shingle").filter("ra <> rb and (in_main or a < b)").filter(F.least("na", "nb") * 100 >= percent * F.greatest("na", "nb"))
-    pairs = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("ma", "mb")).alias("asked"))
-    found = written(verified(pairs.filter("shared >= asked").select("a", "b"), sets, percent))
+    rows = written(open_.join(main, "shingle").join(prefixes, "cid"))
+    side = lambda k: [F.col(c).alias(f"{k}_{c}") for c in ("cid", "root", "n", "matches", "prefix")]
+    few = rows.filter("root <> main").select("shingle", *side("a"))
+    many = rows.select("shingle", (F.col("root") == F.col("main")).alias("in_main"), *side("b"))
+    spare = F.least(F.col("a_matches") - _part(F.col("a_n"), percent), F.col("b_matches") - _part(F.col("b_n"), percent))
+    need = _overlap(F.col("a_n"), F.col("b_n"), percent) + spare
+    sized = F.least("a_n", "b_n") * 100 >= percent * F.greatest("a_n", "b_n")
+    other = (F.col("a_root") != F.col("b_root")) & (F.col("in_main") | (F.col("a_cid") < F.col("b_cid")))
+    on = (few["shingle"] == many["shingle"]) & other & sized & (F.size(F.array_intersect("a_prefix", "b_prefix")) >= need)
+    pairs = few.join(many, on).select(F.least("a_cid", "b_cid").alias("a"), F.greatest("a_cid", "b_cid").alias("b")).distinct()
+    found = written(verified(written(pairs), sets, percent))
     if not found.isEmpty():
         roots = written(components(_union([*edges, found])))
     return roots
@@ -228,10 +256,27 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     )
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()))
     entries = classes.select("cid", "n", "matches", F.explode("prefix").alias("shingle"))
-    live = written(_grouped(entries, None).drop("root"))
-    wanted = live.select("cid").distinct().join(classes.select("cid", "doc", "digest"), "cid")
+    holders = Window.partitionBy("shingle")
+    met = _grouped(entries, None, percent).drop("root").withColumns({
+        "_least": F.min("matches").over(holders), "_size": F.count("*").over(holders),
+        "_low": F.greatest(F.min("n").over(holders), _part(F.col("n"), percent)), "_high": F.max("n").over(holders),
+    })
+    met = written(met)
+    # The sizes of possible partners tell how many shared shingles a pair of the class could do with. A class that shares
+    # fewer has no pair; the others can do without their most common ones, one fewer than that: the rarest that a pair
+    # shares is left to both.
+    own = Window.partitionBy("cid")
+    size, low, high = F.col("n"), F.min("_low").over(own), F.least(F.max("_high").over(own), F.floor(F.col("n") * 100 / percent))
+    least = F.greatest(F.min("_least").over(own), F.least(F.lit(MIN_MATCHES), _part(_part(size, percent), percent)))
+    asked = F.least(F.col("matches") + _overlap(size, low, percent) - _part(size, percent), least + _overlap(size, high, percent) - _part(high, percent) - 1)
+    ranked = met.withColumns({"met": F.count("*").over(own), "asked": F.greatest(asked, F.lit(1)), "_nth": F.row_number().over(own.orderBy(F.desc("_size"), F.desc("shingle")))})
+    ranked = written(ranked.filter("met >= asked").drop("_least", "_size", "_low", "_high"))
+    live = written(_grouped(ranked.filter("_nth >= asked").drop("_nth"), None, percent).drop("root"))
+    wanted = written(live.select("cid").distinct().join(classes.select("cid", "doc", "digest"), "cid"))
+    # Shingles as 32 bits: equal ones stay equal, and a chance match only lets a pair be verified.
+    prefixes = ranked.groupBy("cid").agg(F.collect_list(F.hash("shingle")).alias("prefix"))
     sets = written(_sets(docs, wanted, n))
-    roots = links(live, sets, percent)
+    roots = links(live, prefixes, sets, percent)
     if roots is None:
         known = classes.select("digest", F.col("doc").alias("component_id"))
     else:

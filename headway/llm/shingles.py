@@ -15,7 +15,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 UNBASE = np.uint64(pow(int(BASE), -1, 2**64))
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Bytes of text that are hashed together, which bounds the arrays.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
