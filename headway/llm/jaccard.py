@@ -196,24 +196,34 @@ def _grouped(live: DataFrame, roots: DataFrame | None, percent: int) -> DataFram
     return placed.withColumn("_few", F.min("root").over(by) == F.max("root").over(by)).filter("not _few").drop("_few")
 
 
+def _counted(entries: DataFrame, turn: int) -> DataFrame:
+    """With each shingle's holders: all, own (of the same component), main (the largest component) and hub.
+
+    The hub is the holder most of whose prefix others share, as it stands in the middle of its copies; later rounds vary
+    the choice. All windows go by shingle, on one exchange.
+    """
+    by = Window.partitionBy("shingle")
+    chance = F.pmod(F.xxhash64(F.lit(turn), "cid"), F.lit(1024)) / 1024
+    hub = F.max(F.struct(F.col("met") * (0.5 + chance) if turn else F.col("met").cast("double"), "cid", "root", "n", "matches", "asked")).over(by)
+    return entries.withColumn("own", F.count("*").over(Window.partitionBy("shingle", "root"))).withColumns(
+        {"all": F.count("*").over(by), "main": F.max(F.struct("own", "root")).over(by)["root"], "hub": hub}
+    )
+
+
 def links(live: DataFrame, prefixes: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
     """Roots of the classes that are linked with others; None if none are."""
     edges: list[DataFrame] = []
     roots, open_, last, turn = None, live, None, 0
+    base = ["cid", "n", "matches", "shingle", "met", "asked"]
     while True:
-        open_ = written(_grouped(open_, roots, percent))
-        sizes = open_.groupBy("shingle", "root").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("own"))
-        across, entries = sizes.agg(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2), F.sum("all")).first()
+        open_ = written(_counted(_grouped(open_.select(base), roots, percent), turn))
+        across, entries = open_.agg(F.sum(F.col("all") - F.col("own")) / 2, F.count("*")).first()
         if not entries:
             return roots
         if last is not None and (across <= 4 * entries or across > 0.9 * last):
             break
-        by = Window.partitionBy("shingle")
-        # The holder most of whose prefix others share stands in the middle of its copies; later rounds vary the choice.
-        chance = F.pmod(F.xxhash64(F.lit(turn), "cid"), F.lit(1024)) / 1024
-        drawn = F.max(F.struct(F.col("met") * (0.5 + chance) if turn else F.col("met").cast("double"), "cid", "root", "n", "matches", "asked")).over(by)
-        star = open_.withColumn("_p", drawn).filter("root <> _p.root").filter(F.least("n", "_p.n") * 100 >= percent * F.greatest("n", "_p.n"))
-        star = star.groupBy(F.col("cid").alias("a"), F.col("_p.cid").alias("b")).agg(F.count("*").alias("_c"), F.min(F.least("matches", "_p.matches") - F.greatest("asked", "_p.asked") + 1).alias("_m"))
+        star = open_.filter("root <> hub.root").filter(F.least("n", "hub.n") * 100 >= percent * F.greatest("n", "hub.n"))
+        star = star.groupBy(F.col("cid").alias("a"), F.col("hub.cid").alias("b")).agg(F.count("*").alias("_c"), F.min(F.least("matches", "hub.matches") - F.greatest("asked", "hub.asked") + 1).alias("_m"))
         found = written(verified(written(star.filter("_c >= _m").select("a", "b")), sets, percent))
         if not found.isEmpty():
             edges.append(found)
@@ -221,17 +231,15 @@ def links(live: DataFrame, prefixes: DataFrame, sets: DataFrame, percent: int) -
         last, turn = across, turn + 1
     # In a shingle's holders, the largest component's members meet only the others, so they are never paired among themselves.
     # The join itself compares the prefixes, so it gives only pairs with enough matches.
-    counted = open_.groupBy("shingle", "root").agg(F.count("*").alias("_n"))
-    main = counted.groupBy("shingle").agg(F.max(F.struct("_n", "root"))["root"].alias("main"))
-    rows = written(open_.join(main, "shingle").join(prefixes, "cid"))
-    side = lambda k: [F.col(c).alias(f"{k}_{c}") for c in ("cid", "root", "n", "matches", "prefix")]
+    rows = written(open_.select("cid", "root", "n", "matches", "shingle", "main").join(prefixes, "cid"))
+    side = lambda k: [F.col(c).alias(f"{k}_{c}") for c in ("cid", "root", "n", "matches", "prefix", "twice")]
     few = rows.filter("root <> main").select("shingle", *side("a"))
     many = rows.select("shingle", (F.col("root") == F.col("main")).alias("in_main"), *side("b"))
     spare = F.least(F.col("a_matches") - _part(F.col("a_n"), percent), F.col("b_matches") - _part(F.col("b_n"), percent))
     need = _overlap(F.col("a_n"), F.col("b_n"), percent) + spare
     sized = F.least("a_n", "b_n") * 100 >= percent * F.greatest("a_n", "b_n")
     other = (F.col("a_root") != F.col("b_root")) & (F.col("in_main") | (F.col("a_cid") < F.col("b_cid")))
-    on = (few["shingle"] == many["shingle"]) & other & sized & (F.size(F.array_intersect("a_prefix", "b_prefix")) >= need)
+    on = (few["shingle"] == many["shingle"]) & other & sized & (F.size(F.array_intersect("a_prefix", "b_prefix")) + F.least("a_twice", "b_twice") >= need)
     pairs = few.join(many, on).select(F.least("a_cid", "b_cid").alias("a"), F.greatest("a_cid", "b_cid").alias("b")).distinct()
     found = written(verified(written(pairs), sets, percent))
     if not found.isEmpty():
@@ -273,8 +281,10 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     ranked = written(ranked.filter("met >= asked").drop("_least", "_size", "_low", "_high"))
     live = written(_grouped(ranked.filter("_nth >= asked").drop("_nth"), None, percent).drop("root"))
     wanted = written(live.select("cid").distinct().join(classes.select("cid", "doc", "digest"), "cid"))
-    # Shingles as 32 bits: equal ones stay equal, and a chance match only lets a pair be verified.
-    prefixes = ranked.groupBy("cid").agg(F.collect_list(F.hash("shingle")).alias("prefix"))
+    # Shingles as 16 bits: equal ones stay equal, and a chance match between two prefixes only lets a pair be verified.
+    # Those that fall together within one prefix are counted, as a set of common values misses them.
+    prefixes = ranked.groupBy("cid").agg(F.collect_list((F.pmod(F.hash("shingle"), F.lit(65_536)) - 32_768).cast("smallint")).alias("prefix"))
+    prefixes = prefixes.withColumn("twice", F.size("prefix") - F.size(F.array_distinct("prefix")))
     sets = written(_sets(docs, wanted, n))
     roots = links(live, prefixes, sets, percent)
     if roots is None:
