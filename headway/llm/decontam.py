@@ -3,16 +3,17 @@
 Words are bare of marks at their ends and lower-cased. For an item of L words,
 windows of L words slide over a text one word at a time (a shorter text is one
 window). A window's fingerprint has 64 bits: the sign of the sum of its words'
-hash bits. Items are indexed by length in four blocks of 16 bits, each under all
-values within a quarter of the item's radius; two fingerprints within the radius
-agree so far in some block, so none is missed. Candidates within the radius are
-then compared exactly: five-word shingles with their numbers of occurrences as
-weights, sum of minima over sum of maxima, ``SIMILARITY`` or more.
+hash bits. It is compared with those of all items of its length that share a
+shingle with the text. Candidates within the radius are then compared exactly:
+five-word shingles with their numbers of occurrences as weights, sum of minima
+over sum of maxima, ``SIMILARITY`` or more.
 
 Only windows that hold some shingle of an item can have any similarity, so
 fingerprints are made for those alone, and only for lengths of items with that
-shingle. The radius is wider for short items, where one word weighs more; at
-similarity 0.8 the odds of a fingerprint beyond it are below one in 300.
+shingle. The radius of a length follows from the most words that may differ at
+similarity 0.8, those cut at the edges: where they are distinct, the odds of a
+fingerprint beyond it are at most ``ODDS`` (see ``radius``). At 20 bits and more
+no block of a fingerprint is selective, so there are none.
 
 Scale: items are taken in blocks of at most about ``BLOCK_WORDS`` words, each
 broadcast in turn, so the benchmark may be of any size; a block costs a pass
@@ -27,9 +28,10 @@ repeated rows each get their rows. An empty benchmark gives no rows.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import combinations
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +41,8 @@ from pyspark.sql import functions as F
 from headway.llm.base import word_count
 
 N, SIMILARITY = 5, 0.8
-SHORT, RADIUS_SHORT, RADIUS = 24, 15, 11
-PARTS, PART_BITS = 4, 16
+ODDS, LEAST_RADIUS = 1e-5, 15
+PAIRS = 2_000_000
 BLOCK_WORDS = 250_000
 MEMO = 1_000_000
 EDGES = ".,;:!?*&$%#|<>\"'`()[]{}-_/\\…“”‘’«»"
@@ -74,6 +76,30 @@ def similarity(a: Counter, b: Counter) -> float:
     return common / (a.total() + b.total() - common) if common else 0.0
 
 
+def changes(n: int) -> list[tuple[int, int]]:
+    """(cut, new): the most words of an item of n that a window with so many new ones may lack at ``SIMILARITY``."""
+    shingles, out = max(n - N + 1, 1), []
+    for new in range(n + 1):
+        # common / (shingles + new) with common = shingles - cut
+        cut = math.floor(shingles - SIMILARITY * (shingles + new) + 1e-9)
+        if cut < new:
+            break
+        out.append((cut, new))
+    return out
+
+
+@cache
+def radius(n: int) -> int:
+    """The distance that a window within ``SIMILARITY`` of an item of n words exceeds with odds of ``ODDS`` at most.
+
+    Sums of hash bits are taken as normal, which puts the chance of a bit to differ a little too high.
+    """
+    angle = max(math.acos(min(1.0, math.sqrt((n - cut) / n * (n - cut) / (n - cut + new)))) for cut, new in changes(n))
+    p = angle / math.pi
+    odds = [math.comb(64, d) * p**d * (1 - p) ** (64 - d) for d in range(65)]
+    return max(LEAST_RADIUS, next(r for r in range(65) if sum(odds[r + 1 :]) <= ODDS))
+
+
 class Words(dict):
     """Numbers of the benchmark's words by raw token: 0 for others, -1 for tokens of marks only."""
 
@@ -129,34 +155,21 @@ class Items:
         return np.stack([self.bits[w] for w in words])
 
     def _indexed(self, n: int, ats: list[int]):
-        """Items of n words: their places, fingerprints, radius, and for each block the items by block value."""
+        """Items of n words: their places, fingerprints, radius, and where each item's fingerprint lies."""
         prints = np.array([fingerprints(self._of(self.items[at][1]), np.zeros(1, np.int64), n)[0] for at in ats], np.uint64)
-        radius = RADIUS_SHORT if n < SHORT else RADIUS
-        masks = np.array([sum(1 << b for b in bits) for d in range(radius // PARTS + 1) for bits in combinations(range(PART_BITS), d)], np.uint16)
-        tables = []
-        for part in range(PARTS):
-            value = (prints >> np.uint64(part * PART_BITS)).astype(np.uint16)
-            keys = (value[:, None] ^ masks[None, :]).ravel()
-            order = np.argsort(keys, kind="stable")
-            tables.append((keys[order], np.repeat(np.arange(len(ats), dtype=np.int32), len(masks))[order]))
-        return np.array(ats), prints, radius, tables
-
-    def _candidates(self, n: int, prints: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(item, window, distance) of all fingerprints within the radius of an item of n words."""
-        ats, own, radius, tables = self.index[n]
-        pairs = []
-        for part, (keys, holders) in enumerate(tables):
-            value = (prints >> np.uint64(part * PART_BITS)).astype(np.uint16)
-            low, high = np.searchsorted(keys, value), np.searchsorted(keys, value, "right")
-            size = high - low
-            window = np.repeat(np.arange(len(prints)), size)
-            holder = holders[np.repeat(low - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())]
-            pairs.append(holder.astype(np.int64) * len(prints) + window)
-        found = np.unique(np.concatenate(pairs))
-        holder, window = found // len(prints), found % len(prints)
-        distance = np.bitwise_count(own[holder] ^ prints[window])
-        near = distance <= radius
-        return zip(ats[holder[near]].tolist(), window[near].tolist(), distance[near].tolist(), strict=True)
+        return np.array(ats), prints, radius(n), {at: i for i, at in enumerate(ats)}
+
+    def _candidates(self, n: int, prints: np.ndarray, likely: set[int] | None = None) -> Iterator[tuple[int, int, int]]:
+        """(item, window, distance) of all fingerprints within the radius of a (likely) item of n words."""
+        ats, own, limit, where = self.index[n]
+        if likely is not None:
+            rows = np.fromiter(sorted(where[at] for at in likely), np.int64, len(likely))
+            ats, own = ats[rows], own[rows]
+        step = max(1, PAIRS // max(1, len(prints)))
+        for low in range(0, len(own), step):
+            distance = np.bitwise_count(own[low : low + step, None] ^ prints[None, :])
+            holder, window = np.nonzero(distance <= limit)
+            yield from zip(ats[low + holder].tolist(), window.tolist(), distance[holder, window].tolist(), strict=True)
 
     def hits(self, text: str | None) -> list[tuple[int, int, int, int, float]]:
         """(item_id, first word, words, distance, similarity) of each item's best window in a text."""
@@ -165,6 +178,7 @@ class Items:
         ids = ids[ids >= 0] if (ids < 0).any() else ids
         known = ids > 0
         places: dict[int, list[tuple[int, int]]] = defaultdict(list)  # item length: (first, last) start of windows
+        likely: dict[int, set[int]] = defaultdict(set)  # item length: items that share a shingle with the text
         for k, (hashes, found) in self.anchors.items():
             if len(ids) < k:
                 continue
@@ -179,8 +193,13 @@ class Items:
                 h += ids[at + i].astype(np.uint64) * POWERS[i]
             near = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
             same = hashes[near] == h
+            seen: dict[int, set[int]] = {}  # shingle: lengths of its items
             for p, x in zip(at[same].tolist(), h[same].tolist(), strict=True):
-                for n in {len(self.items[i][1]) for i in found[x]}:
+                if x not in seen:
+                    seen[x] = {len(self.items[i][1]) for i in found[x]}
+                    for i in found[x]:
+                        likely[len(self.items[i][1])].add(i)
+                for n in seen[x]:
                     last = max(0, len(ids) - n)
                     places[n].append((min(max(0, p - n + k), last), min(p, last)))
         if not places:
@@ -191,9 +210,12 @@ class Items:
             size = min(n, len(words))
             for low, high in _merged(spans):
                 bits = self._of(words[low : high + size])
-                for item, window, distance in self._candidates(n, fingerprints(bits, np.arange(high - low + 1), size)):
+                counts: dict[int, Counter] = {}
+                for item, window, distance in self._candidates(n, fingerprints(bits, np.arange(high - low + 1), size), likely[n]):
                     start = low + window
-                    s = similarity(self.items[item][2], shingle_counts(words[start : start + size]))
+                    if start not in counts:
+                        counts[start] = shingle_counts(words[start : start + size])
+                    s = similarity(self.items[item][2], counts[start])
                     if s >= SIMILARITY:
                         best[item] = max(best.get(item, (0.0, 0, 0, 0)), (s, -distance, -start, size))
         return [(self.items[i][0], -start, size, -distance, s) for i, (s, distance, start, size) in sorted(best.items())]
