@@ -299,6 +299,15 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` without those whose component has a smaller doc_id, with their columns."""
-    gone = join(docs, n, percent).filter("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """One row of each component of ``docs``, with its columns: the smallest doc_id, nulls last, then any one of equals.
+
+    Rows are told apart by a key of their own, so repeated rows and null doc_ids count as the copies that they are.
+    """
+    keyed = written(docs.withColumn("_row", F.monotonically_increasing_id()))
+    linked = join(keyed.select(F.col("_row").alias("doc_id"), "text"), n, percent)
+    linked = linked.filter("n_shingles > 0").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_component"))
+    rows = written(linked.join(keyed.select("_row", "doc_id"), "_row"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"]
+    groups = rows.groupBy("_component").agg(first.alias("_first"), F.count("*").alias("_rows")).filter("_rows > 1")
+    gone = rows.join(groups, "_component").filter("_row <> _first").select("_row")
+    return keyed.join(gone, "_row", "left_anti").select(docs.columns)
