@@ -82,14 +82,6 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
-def test_ratios_part_text_from_links():
-    long = "Words and words, and more of them. " * 6
-    found = [(("div", "p"), long), (("ul", "li"), "a"), (("ul", "li"), "b"), (("section",), "c"), (("div", "p"), long)]
-    keep = html_text.content_paths(found)
-    assert ("div", "p") in keep
-    assert html_text.content_paths([]) == set()
-
-
 def test_pages_query(spark, small):
     pages = table(spark, small, "pages")
     got = {r["page_id"]: r for r in html_text.extract(pages).collect()}
