@@ -1,23 +1,29 @@
 """URL filters: rules by host and path, and a character model for the rest.
 
-A URL that rules decide is an example for the model: one side learns from
-allowed, the other from blocked URLs. Both count strings of up to ``ORDER``
-symbols over all such rows; the probability of a symbol mixes the orders, each
-weighted by how often its context was seen against how many symbols followed it
-(Witten-Bell), so the order varies with what is known. A URL's score is the
-difference of both log-likelihoods per symbol. The threshold comes from the
-scores of all examples: the one at which the share of blocked examples above it
-exceeds that of allowed ones by most.
-
-Scale: counting is one grouping with partial sums. Symbols are 34 classes
-(letters, all digits as one, ``. / - _``, others, both ends), so the tables hold
-at most 34 ** 4 entries a side, 11 MB in all as 32-bit counts, whatever the
-input; that bound is why they are collected and broadcast. Rows are scored where
-they lie.
-
-Null URLs, and those without ``://``, have an empty host and path, fit no rule
-and are scored like any other. Where examples of one side are missing, the
-method allows all. An empty table gives no rows.
+A URL that a rule decides is an example. Four in five of them (by a hash of the
+URL) train two models, one of allowed and one of blocked URLs; the others set the
+threshold. Both models count strings of up to ``ORDER`` bytes of the whole URL,
+from scheme to fragment, with a start and an end; the probability of a byte mixes
+the orders, each weighted by how often its context was seen against how many
+different bytes followed it (Witten-Bell), so the order varies with what is
+known. A URL's score is the difference of both log-likelihoods per byte, blocked
+less allowed. The threshold is the one at which the share of held-out blocked
+URLs above it exceeds that of allowed ones by most.
+
+Scale: what the models know grows with the input and stays a distributed table,
+keyed by string. Rows are dealt to blocks of at most ``BLOCK_ROWS`` rows, those of
+more than ``LONG`` bytes to blocks of their own. A block asks for each of its
+strings once, so a string asks at most once a block however common it is; the
+answers meet the block's rows in one task, which needs memory in proportion to a
+block's bytes. Copies of a URL are spread over blocks like any rows. Only the
+histogram of held-out scores, a row per step and side, goes to the driver.
+
+Null URLs, and those without ``://``, have an empty host and path and fit no rule;
+the model judges their text (none for null). Very long URLs are judged whole.
+Repeated rows each get their row; columns besides page_id and url are ignored, so
+names cannot clash. Without training examples of both sides every score is 0 and
+the method allows all; without held-out ones of both sides the threshold is 0. At
+the threshold itself a URL is allowed. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,17 +33,22 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from headway.llm.base import ascii_lower
+from headway.llm.base import ascii_lower, written
 
-LETTERS = "abcdefghijklmnopqrstuvwxyz"
-SYMBOLS = "^" + LETTERS + "0./-_~$"
-N, ORDER = len(SYMBOLS), 4
-#: Scores are counted in steps of 1 / STEPS between -LIMIT and LIMIT to find the threshold.
-STEPS, LIMIT = 200, 4
+#: Strings of up to so many bytes fit a 64-bit key beside their length.
+ORDER = 7
+ALPHABET = 256
+START, END = b"\x02", b"\x03"
+BLOCK_ROWS, LONG = 4_096, 1_024
+#: Bytes of URLs that are taken apart together, which bounds the arrays.
+SLICE_BYTES = 2_000_000
+#: One in so many ruled URLs sets the threshold instead of training; scores are counted in steps of 1 / STEPS for it.
+HOLD, STEPS = 5, 200
+FACTS = ("n_allow", "n_block", "seen_allow", "seen_block", "kinds_allow", "kinds_block")
 
 
 @dataclass(frozen=True)
@@ -59,124 +70,158 @@ RULES = (
 
 
 def parse(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """page_id, host, path, the longest rule that fits, and that rule's verdict."""
+    """page_id, url, host, path, the longest rule that fits, and that rule's verdict."""
     pattern = r"(?s)^.*?://([^/?#]*)([^?#]*)"
     url = F.coalesce("url", F.lit(""))
     host, path = F.col("host"), F.col("path")
     longest = sorted(rules, key=lambda r: -len(r.target))
     pick = lambda value: reduce(lambda c, r: c.when(r.fits(host, path), F.lit(value(r))), longest[1:], F.when(longest[0].fits(host, path), F.lit(value(longest[0]))))
     none = F.lit(None).cast("string")
-    parsed = pages.select("page_id", ascii_lower(F.regexp_extract(url, pattern, 1)).alias("host"), F.regexp_extract(url, pattern, 2).alias("path"))
+    parsed = pages.select("page_id", "url", ascii_lower(F.regexp_extract(url, pattern, 1)).alias("host"), F.regexp_extract(url, pattern, 2).alias("path"))
     return parsed.select("*", (pick(lambda r: r.target) if rules else none).alias("rule"), (pick(lambda r: r.verdict) if rules else none).alias("ruled"))
 
 
-def symbols(host: Column, path: Column) -> Column:
-    """The URL as a string of symbol classes between ``^`` and ``$``."""
-    low = F.lower(F.concat(host, path))
-    plain = F.regexp_replace(F.regexp_replace(low, r"[^a-z0-9./_\-]", "~"), r"[0-9]", "0")
-    return F.concat(F.lit("^"), plain, F.lit("$"))
-
-
-def count_grams(parsed: DataFrame) -> DataFrame:
-    """How often each string of up to ORDER symbols ends at a place of the ruled URLs: (ruled, gram, n)."""
-    line = parsed.filter(F.col("ruled").isNotNull()).select("ruled", symbols(F.col("host"), F.col("path")).alias("line"))
-    places = line.select("ruled", "line", F.explode(F.sequence(F.lit(2), F.char_length("line"))).alias("p"))
-    grams = F.array(*[F.when(F.col("p") >= k, F.substr("line", F.col("p") - k + 1, F.lit(k))) for k in range(1, ORDER + 1)])
-    return places.select("ruled", F.explode(grams).alias("gram")).filter("gram is not null").groupBy("ruled", "gram").agg(F.count("*").alias("n"))
-
-
-def _codes(text: str) -> np.ndarray:
-    return _CODE[np.frombuffer(text.encode("ascii"), np.uint8)]
-
-
-_CODE = np.zeros(128, np.int64)
-for _i, _c in enumerate(SYMBOLS):
-    _CODE[ord(_c)] = _i
-
-
-@dataclass
-class Model:
-    """Counts of strings by length, as flat arrays indexed by their symbols in base N."""
-
-    counts: list[np.ndarray]
-
-    @classmethod
-    def of(cls, grams: list[str], ns: list[int]) -> Model:
-        counts = [np.zeros(N**k, np.int32) for k in range(1, ORDER + 1)]
-        for gram, n in zip(grams, ns, strict=True):
-            at = 0
-            for c in _codes(gram):
-                at = at * N + int(c)
-            counts[len(gram) - 1][at] = min(n, 2**31 - 1)
-        return cls(counts)
-
-    def prepared(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Per order: counts, and by context how often it was seen and how many symbols followed."""
-        tables = [c.reshape(-1, N) for c in self.counts]
-        return [(c, t.sum(1, dtype=np.int64), (t > 0).sum(1)) for c, t in zip(self.counts, tables, strict=True)]
-
-
-def log_likelihood(lines: list[str], tables: list) -> np.ndarray:
-    """Mean log probability of the symbols after ``^`` of each line."""
-    if not lines:
-        return np.zeros(0)
-    codes = np.concatenate([_codes(x) for x in lines])
-    size = np.fromiter(map(len, lines), np.int64, len(lines))
-    first = np.concatenate([[0], np.cumsum(size)[:-1]])
-    place = np.arange(len(codes)) - np.repeat(first, size)
-    p = np.full(len(codes), 1.0 / N)
-    context = np.zeros(len(codes), np.int64)
-    for k, (grams, seen, kinds) in enumerate(tables, 1):
-        if k > 1:
-            context[k - 1 :] += codes[: len(codes) - k + 1] * N ** (k - 2)
-        ok = place >= max(k - 1, 1)
-        c = context[ok]
-        total = seen[c] + kinds[c]
-        mixed = (grams[c * N + codes[ok]] + kinds[c] * p[ok]) / np.maximum(total, 1)
-        p[ok] = np.where(total > 0, mixed, p[ok])
-    p[place == 0] = 1.0
-    return np.add.reduceat(np.log(p), first) / np.maximum(size - 1, 1)
-
-
-def scored(parsed: DataFrame) -> DataFrame:
-    """``parsed`` with score: over zero where the blocked side likens it more; zero if a side has no examples."""
-    spark = parsed.sparkSession
-    found = count_grams(parsed).toPandas()
-    sides = {v: found[found["ruled"] == v] for v in ("allow", "block")}
-    keep = [c for c in parsed.columns]
-    if any(s.empty for s in sides.values()):
-        return parsed.withColumn("score", F.lit(0.0))
-    models = spark.sparkContext.broadcast({v: Model.of(list(s["gram"]), list(s["n"])) for v, s in sides.items()})
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        allow, block = models.value["allow"].prepared(), models.value["block"].prepared()
-        for f in frames:
-            unique, where = np.unique(f["line"].to_numpy(dtype=object).astype(str), return_inverse=True)
-            lines = unique.tolist()
-            f["score"] = (log_likelihood(lines, block) - log_likelihood(lines, allow))[where] if lines else 0.0
-            yield f.drop(columns="line")
-
-    lined = parsed.select(*keep, symbols(F.col("host"), F.col("path")).alias("line"))
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parsed.schema)
-    return lined.mapInPandas(run, f"{fields}, score double")
+def dealt(parsed: DataFrame) -> DataFrame:
+    """``parsed`` as a written table with block and held (whether a ruled URL is kept from training)."""
+    at = F.monotonically_increasing_id()
+    long = F.coalesce(F.octet_length("url"), F.lit(0)) > LONG
+    rows = parsed.withColumn("_at", at).withColumn("block", F.when(long, -1 - F.col("_at")).otherwise(F.floor(F.col("_at") / BLOCK_ROWS).cast("long")))
+    return written(rows.drop("_at").withColumn("held", F.pmod(F.crc32(F.col("url").cast("binary")), F.lit(HOLD)) == 0))
+
+
+class Lines:
+    """The bytes of some URLs, one after another between START and END; index by place."""
+
+    def __init__(self, urls: list[str | None]):
+        parts = [START + (u or "").encode() + END for u in urls]
+        self.sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        self.firsts = np.cumsum(self.sizes) - self.sizes
+        self.codes = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint64)
+        self.place = np.arange(len(self.codes)) - np.repeat(self.firsts, self.sizes)
+
+    def strings(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """By length k: the places after START where a string of k bytes ends, its key, and the key of its first k - 1 bytes."""
+        packed = np.zeros(len(self.codes), np.uint64)
+        for k in range(1, ORDER + 1):
+            packed[k - 1 :] |= self.codes[: len(self.codes) - k + 1] << np.uint64(8 * (k - 1))
+            at = np.flatnonzero(self.place >= max(k - 1, 1))
+            own = packed[at]
+            yield at, own | np.uint64(k << 56), (own >> np.uint64(8)) | np.uint64((k - 1) << 56)
+
+
+def _slices(urls: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Runs of rows of about ``SLICE_BYTES``."""
+    low = size = 0
+    for i, u in enumerate(urls):
+        size += len(u or "") + 2
+        if size >= SLICE_BYTES:
+            yield low, i + 1
+            low, size = i + 1, 0
+    if low < len(urls):
+        yield low, len(urls)
+
+
+def facts(rows: DataFrame) -> DataFrame:
+    """key, and FACTS: how often a string was seen by side, how often it was followed, and by how many different bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            urls, sides = batch.column("url").to_pylist(), np.array(batch.column("ruled").to_pylist(), object)
+            for low, high in _slices(urls):
+                for side in ("allow", "block"):
+                    lines = Lines([u for u, s in zip(urls[low:high], sides[low:high], strict=True) if s == side])
+                    for _, keys, _ in lines.strings():
+                        keys, n = np.unique(keys, return_counts=True)
+                        n, none = pa.array(n.astype(np.int64)), pa.array(np.zeros(len(n), np.int64))
+                        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), n if side == "allow" else none, n if side == "block" else none], ["key", "n_allow", "n_block"])
+
+    taught = rows.filter("ruled is not null and not held").select("url", "ruled")
+    grams = written(taught.mapInArrow(run, "key long, n_allow long, n_block long").groupBy("key").agg(F.sum("n_allow").alias("n_allow"), F.sum("n_block").alias("n_block")))
+    size, low = F.shiftright("key", 56), F.col("key").bitwiseAND(F.lit((1 << 56) - 1))
+    context = F.shiftright(low, 8).bitwiseOR(F.shiftleft(size - 1, 56))
+    contexts = grams.groupBy(context.alias("key")).agg(
+        F.sum("n_allow").alias("seen_allow"), F.sum("n_block").alias("seen_block"), F.count_if(F.col("n_allow") > 0).alias("kinds_allow"), F.count_if(F.col("n_block") > 0).alias("kinds_block")
+    )
+    both = grams.unionByName(contexts, allowMissingColumns=True)
+    return both.groupBy("key").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in FACTS])
+
+
+def asked(rows: DataFrame) -> DataFrame:
+    """(block, key): the strings of each block, each at least once and seldom more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            urls, blocks = batch.column("url").to_pylist(), batch.column("block").to_numpy()
+            for block in np.unique(blocks).tolist():
+                own = [urls[i] for i in np.flatnonzero(blocks == block)]
+                for low, high in _slices(own):
+                    for _, keys, contexts in Lines(own[low:high]).strings():
+                        wanted = np.unique(np.concatenate([keys, contexts]))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(wanted), block)), pa.array(wanted.view(np.int64))], ["block", "key"])
+
+    return rows.select("url", "block").mapInArrow(run, "block long, key long")
+
+
+def log_likelihoods(lines: Lines, keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Mean log probability of the bytes after START of each line, by side (allow, block); ``known`` has FACTS in the rows of ``keys``, sorted."""
+
+    def found(wanted: np.ndarray, columns: slice) -> np.ndarray:
+        at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
+        out = known[at, columns].astype(float) if len(keys) else np.zeros((len(wanted), 2))
+        out[(keys[at] != wanted) if len(keys) else slice(None)] = 0
+        return out
+
+    p = np.full((len(lines.codes), 2), 1 / ALPHABET)
+    for at, own, context in lines.strings():
+        n, seen, kinds = found(own, slice(0, 2)), found(context, slice(2, 4)), found(context, slice(4, 6))
+        p[at] = np.where(seen > 0, (n + kinds * p[at]) / np.maximum(seen + kinds, 1), p[at])
+    p[lines.firsts] = 1.0
+    return np.add.reduceat(np.log(p), lines.firsts) / (lines.sizes - 1)[:, None]
+
+
+def scored(rows: DataFrame) -> DataFrame:
+    """A dealt table as a written table with score: over zero where the blocked side likens a URL more; zero if a side has no examples."""
+    sides = rows.filter("ruled is not null and not held").select("ruled").distinct().count()
+    if sides < 2:
+        return rows.withColumn("score", F.lit(0.0))
+    names = rows.columns
+    answers = asked(rows).join(facts(rows), "key").select("block", "key", *FACTS)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        left, right = left.combine_chunks(), right.combine_chunks()
+        keys, first = np.unique(right.column("key").to_numpy(), return_index=True)
+        known = np.stack([right.column(c).to_numpy()[first] for c in FACTS], axis=1)
+        urls, score = left.column("url").to_pylist(), []
+        for low, high in _slices(urls):
+            both = log_likelihoods(Lines(urls[low:high]), keys.view(np.uint64), known)
+            score.append(both[:, 1] - both[:, 0])
+        return left.append_column("score", pa.array(np.concatenate([np.zeros(0), *score]), pa.float64())).select([*names, "score"])
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return written(rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, f"{fields}, score double"))
 
 
 def threshold(scores: DataFrame) -> float:
-    """The step of the score that parts blocked from allowed examples best; the highest of equals."""
-    bin_ = F.least(F.greatest(F.round(F.col("score") * STEPS), F.lit(-LIMIT * STEPS)), F.lit(LIMIT * STEPS)).cast("int")
-    counted = scores.filter(F.col("ruled").isNotNull()).groupBy(bin_.alias("bin"), "ruled").count().toPandas()
-    bins = np.arange(-LIMIT * STEPS, LIMIT * STEPS + 1)
-    at = {v: np.bincount(g["bin"] + LIMIT * STEPS, g["count"], len(bins)) if len(g) else np.zeros(len(bins)) for v, g in ((v, counted[counted["ruled"] == v]) for v in ("allow", "block"))}
-    if not all(x.sum() for x in at.values()):
-        return float(LIMIT)
-    above = {v: x[::-1].cumsum()[::-1] / x.sum() for v, x in at.items()}
-    gap = above["block"] - above["allow"]
-    return float((bins[np.flatnonzero(gap >= gap.max() - 1e-12)[-1]] - 0.5) / STEPS)
+    """The step of the score that parts held-out blocked from allowed URLs best; the highest of equals."""
+    step = F.floor(F.col("score") * STEPS).cast("long")
+    counted = scores.filter("ruled is not null and held").groupBy(step.alias("step"), "ruled").count().collect()  # a row per step and side
+    total = {v: sum(r["count"] for r in counted if r["ruled"] == v) for v in ("allow", "block")}
+    if not all(total.values()):
+        return 0.0
+    best, above = (0.0, None), {"allow": 0, "block": 0}
+    for s in sorted({r["step"] for r in counted}, reverse=True):
+        for r in counted:
+            if r["step"] == s:
+                above[r["ruled"]] += r["count"]
+        gap = above["block"] / total["block"] - above["allow"] / total["allow"]
+        if best[1] is None or gap > best[0] + 1e-12:
+            best = (gap, s)
+    return best[1] / STEPS
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict and score of every row."""
-    scores = scored(parse(pages, rules))
+    scores = scored(dealt(parse(pages, rules)))
     limit = threshold(scores)
     verdict = F.coalesce("ruled", F.when(F.col("score") > limit, "block").otherwise("allow"))
     return scores.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
