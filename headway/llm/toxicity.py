@@ -1,30 +1,37 @@
 """Toxicity by the labels of the nearest examples.
 
-Fitting: of the labelled rows, at most ``MAX_EXAMPLES`` (those with the smallest
-hash of doc_id, one of each group of copies) are examples. Their terms are whole words and word beginnings of
-``PREFIXES`` letters; those that differ most between both labels (chi-square of
-``MIN_CHI2`` or more, at most ``MAX_TERMS``) form the vocabulary. Document
-frequencies of the vocabulary come from all documents. Examples are unit TF-IDF
-vectors, kept as postings by term in blocks of ``BLOCK`` examples with each
-block's largest weight.
-
-Scoring: a block's largest weights bound the cosine of any of its examples with
-a document. The blocks with the highest bounds are scored first, then all whose
-bound reaches the K-th best so far, so the K nearest are exact (equal cosines
-by smaller doc_id). Their labels, weighted by cosine and drawn to the prior,
-give a vote; an isotonic fit over the examples, each without itself, turns it
-into a score. A text without vocabulary has no neighbours; its vote is the
-share of such examples that are toxic. Evidence are the doc_ids of the nearest.
-
-Why a chosen vocabulary: over all words of a text the cosine follows its topic;
-held-out figures are in the README.
-
-Scale: the vocabulary, the frequencies and the examples are bounded by the
-parameters above and broadcast; documents are read twice and never shuffled.
-
-Null and empty texts get the vote of texts without vocabulary. Unlabelled and
-null labels teach nothing; of several labels for a doc_id the largest counts.
-Without examples of both labels every score is the prior (0 without any).
+Examples: labelled rows that are not held out, one of each group of equal texts
+and labels, at most ``MAX_EXAMPLES`` of them (those with the smallest hash of
+doc_id). Their terms are whole words and word beginnings of ``PREFIXES`` letters,
+all of them; a text's vector holds, for each of these terms in it,
+(1 + log occurrences) * idf * (how well the term tells labels apart), and has
+length 1. Idf comes from all documents. The last factor is z2 / (z2 + SHRINK),
+z2 being a chi-square that is shrunk for rare terms; near copies (examples with
+the same least hash of three words) share one vote in it.
+
+Scoring: the examples stand in blocks of ``BLOCK``; for each term and block that
+holds it the index has the postings and their largest weight. The largest weights
+bound the cosine of any example of a block with a document. The blocks with the
+highest bounds are scored first, then all whose bound reaches the K-th best so
+far, so the K nearest are exact (equal cosines, to 5 places, by smaller doc_id).
+Their labels, weighted by cosine and drawn to the prior, give a vote, and an
+isotonic fit turns it into a score. It is fitted on votes on the examples
+themselves, by ``FOLDS`` folds: terms, index and neighbours of a vote come from the
+other folds only, and near copies share a fold. Evidence are the doc_ids of the
+nearest examples. Held-out figures are in the README.
+
+Scale: the examples, and with them terms and postings, are bounded by
+``MAX_EXAMPLES`` and broadcast; documents are read twice for idf and scores and
+never shuffled. Only (doc_id, digest) of rows meets the labels.
+
+Null and empty texts, and others without any known term, have no neighbours; their
+vote is the toxic share of such examples, drawn to the prior. Very long texts are
+read whole. Unlabelled and null labels teach nothing; of several labels for a
+doc_id the largest counts. Repeated rows are scored each, and teach once; of rows
+with one doc_id and different texts each teaches. Ties are stated above. Without
+examples of both labels every score is the prior (0 without any). An empty table
+gives no rows. Columns besides doc_id and text are ignored or, by ``keep_clean``,
+passed on, so names cannot clash.
 """
 
 from __future__ import annotations
@@ -35,18 +42,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from headway.llm.base import let, words, written
 
-MAX_EXAMPLES, MAX_TERMS, MIN_CHI2, MIN_ROWS = 20_000, 3_000, 25.0, 4
-PREFIXES = (5, 6, 7, 8, 9)
-K, BLOCK, FIRST_BLOCKS, PRIOR_WEIGHT, STEPS = 15, 64, 8, 1.0, 5
+MAX_EXAMPLES = 2_000
+PREFIXES = (4,)
+SHRINK, FOLDS = 30.0, 4
+K, BLOCK, OFTEN, FIRST_BLOCKS, PRIOR_WEIGHT, STEPS = 15, 64, 16, 4, 1.0, 5
 THRESHOLD = 0.3
-MEMO = 400_000
+MEMO = 300_000
 EDGES = ".,;:!?*&$%#|<>\"'()[]{}-_/\\"
 
 
@@ -60,154 +67,148 @@ def terms_of(word: str) -> list[str]:
     return [f"={w}", *(w[:k] for k in PREFIXES if len(w) > k)] if w else []
 
 
-def term_counts(rows: DataFrame) -> DataFrame:
-    """Of (label, body): (term, toxic, clean), in how many rows of each label a term occurs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = (Counter(), Counter())
-        for batch in batches:
-            for label, body in zip(batch.column("label").to_pylist(), batch.column("body").to_pylist(), strict=True):
-                count[label].update({t for w in set(body.split()) for t in terms_of(w)})
-            if len(count[0]) + len(count[1]) > MEMO:
-                yield _counted(count)
-                count = (Counter(), Counter())
-        yield _counted(count)
-
-    found = rows.select("label", "body").mapInArrow(run, "term string, toxic long, clean long")
-    return found.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-
-
-def _counted(count: tuple[Counter, Counter]) -> pa.RecordBatch:
-    terms = list(count[1].keys() | count[0].keys())
-    columns = [pa.array(terms, pa.string()), *(pa.array([c[t] for t in terms], pa.int64()) for c in (count[1], count[0]))]
-    return pa.RecordBatch.from_arrays(columns, ["term", "toxic", "clean"])
-
-
 class Vocabulary:
-    """Terms by number, and the numbers in a text, by occurrence."""
+    """Terms by number."""
 
     def __init__(self, terms: list[str]):
         self.number = {t: i for i, t in enumerate(terms)}
         self.memo: dict[str, tuple[int, ...]] = {}
 
-    def counts(self, text: str | None) -> Counter:
-        memo, number, found = self.memo, self.number, Counter()
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the terms in a text, sorted, and how often each occurs."""
+        memo, number, found, times = self.memo, self.number, [], []
         for w, n in Counter((text or "").split()).items():
             hit = memo.get(w)
             if hit is None:
                 if len(memo) > MEMO:
                     memo.clear()
                 hit = memo[w] = tuple(number[t] for t in terms_of(w) if t in number)
-            for t in hit:
-                found[t] += n
-        return found
+            if hit:
+                found += hit
+                times += [n] * len(hit)
+        at, place = np.unique(np.array(found, np.int32), return_inverse=True)
+        return at, np.bincount(place, times, len(at)).astype(np.int32)
 
 
-def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[np.ndarray, int]:
-    """In how many of all documents each term occurs, and how many there are."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, df = Vocabulary(terms), np.zeros(len(terms) + 1, np.int64)
-        for batch in batches:
-            for body in batch.column("body").to_pylist():
-                df[list(vocabulary.counts(body))] += 1
-                df[-1] += 1
-        at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], ["number", "n"])
-
-    got = docs.select(F.coalesce("text", F.lit("")).alias("body")).mapInArrow(run, "number long, n long").groupBy("number").agg(F.sum("n").alias("n")).toPandas()
-    df = np.bincount(got["number"], got["n"], len(terms) + 1).astype(np.int64)
-    return df[:-1], int(df[-1])
+def _spread(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the ranges, and how long each range is."""
+    size = ends - starts
+    total = np.cumsum(size)
+    return np.repeat(starts - total + size, size) + np.arange(total[-1] if len(total) else 0), size
 
 
 @dataclass
 class Index:
-    """Examples by block: postings by term, where each block's part begins, and each block's largest weight."""
+    """Unit vectors as postings by term and block.
 
+    Term t has the segments first[t] to first[t + 1]; a segment is one block's
+    part of its postings, from start on, with the largest weight among them. The
+    few terms that more than one in ``OFTEN`` examples hold have no segments but
+    a row of ``rows`` (row[t], or -1), a weight for every example.
+    """
+
+    size: int
     ids: np.ndarray
     labels: np.ndarray
-    places: list[np.ndarray]
-    weights: list[np.ndarray]
-    starts: np.ndarray
+    row: np.ndarray
+    rows: np.ndarray
+    first: np.ndarray
+    block: np.ndarray
+    start: np.ndarray
     largest: np.ndarray
+    place: np.ndarray
+    weight: np.ndarray
 
     @classmethod
-    def of(cls, ids: list[int], labels: list[int], vectors: list[dict[int, float]], n_terms: int) -> Index:
-        # Examples whose heaviest term is the same stand together, which keeps block maxima sharp.
-        order = sorted(range(len(ids)), key=lambda i: (max(vectors[i], key=lambda t: (vectors[i][t], t), default=-1), ids[i]))
-        blocks = -(-len(ids) // BLOCK)
-        places, weights = [[] for _ in range(n_terms)], [[] for _ in range(n_terms)]
-        for place, i in enumerate(order):
-            for t, w in vectors[i].items():
-                places[t].append(place)
-                weights[t].append(w)
-        places = [np.array(p, np.int32) for p in places]
-        weights = [np.array(w, np.float32) for w in weights]
-        edges = np.arange(blocks + 1) * BLOCK
-        starts = np.array([np.searchsorted(p, edges) for p in places], np.int32).reshape(n_terms, blocks + 1)
-        largest = np.zeros((n_terms, blocks), np.float32)
-        for t, (p, w) in enumerate(zip(places, weights, strict=True)):
-            np.maximum.at(largest[t], p // BLOCK, w)
-        return cls(np.array([ids[i] for i in order]), np.array([labels[i] for i in order]), places, weights, starts, largest)
-
-    def nearest(self, vector: dict[int, float], k: int = K, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    def of(cls, ids: np.ndarray, labels: np.ndarray, owner: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_terms: int) -> Index:
+        """``owner``, ``terms`` and ``weights`` are the entries of all vectors."""
+        n, heaviest, top = len(ids), np.full(len(ids), -1, np.int64), np.zeros(len(ids))
+        # Examples whose heaviest term is the same stand together, which keeps the largest weights of blocks sharp.
+        np.maximum.at(top, owner, weights)
+        is_top = weights >= top[owner]
+        np.maximum.at(heaviest, owner[is_top], terms[is_top])
+        order = np.lexsort((ids, heaviest))
+        seat = np.empty(n, np.int64)
+        seat[order] = np.arange(n)
+        row, often = np.full(n_terms, -1, np.int32), np.flatnonzero(np.bincount(terms, minlength=n_terms) * OFTEN > n)
+        row[often] = np.arange(len(often))
+        wide = row[terms] >= 0
+        rows = np.zeros((len(often), -(-n // BLOCK) * BLOCK), np.float32)
+        rows[row[terms[wide]], seat[owner[wide]]] = weights[wide]
+        owner, terms, weights = owner[~wide], terms[~wide], weights[~wide]
+        by = np.lexsort((seat[owner], terms))
+        t, place, weight = terms[by].astype(np.int64), seat[owner][by].astype(np.int32), weights[by].astype(np.float32)
+        key = t * (n // BLOCK + 1) + place // BLOCK
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        largest = np.maximum.reduceat(weight, start) if len(start) else np.zeros(0, np.float32)
+        first = np.searchsorted(t[start], np.arange(n_terms + 1)).astype(np.int32)
+        return cls(BLOCK, ids[order], labels[order], row, rows, first, place[start] // BLOCK, np.append(start, len(t)).astype(np.int32), largest, place, weight)
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest with a cosine above 0."""
-        terms, q = np.array(list(vector), np.int64), np.array(list(vector.values()), np.float32)
-        bound = q @ self.largest[terms]
-        scores = np.zeros(len(self.ids), np.float32)
-        order = np.argsort(-bound)
-        first = order[:FIRST_BLOCKS]
-        self._score(terms, q, first, scores)
-        if 0 <= without:
-            scores[without] = 0
-        kth = np.partition(scores, -k)[-k] if len(scores) > k else 0.0
-        rest = order[FIRST_BLOCKS:]
-        rest = rest[(bound[rest] > 0) & (bound[rest] >= kth - 1e-5)]
-        if len(rest):
-            self._score(terms, q, rest, scores)
-            if 0 <= without:
-                scores[without] = 0
-        rounded = np.round(scores, 5)
+        wide = self.row[terms] >= 0
+        scores = (weights[wide].astype(np.float32) @ self.rows[self.row[terms[wide]]]).astype(float)
+        terms, weights = terms[~wide], weights[~wide]
+        segments, size = _spread(self.first[terms], self.first[terms + 1])
+        if len(segments):
+            q, block = np.repeat(weights, size), self.block[segments]
+            bound = scores.reshape(-1, self.size).max(1) + np.bincount(block, q * self.largest[segments], len(scores) // self.size)
+            chosen = np.zeros(len(bound), bool)
+            chosen[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
+            self._add(segments, q, chosen[block], scores)
+            kth = np.partition(scores, -k)[-k] if len(scores) > k else 0.0
+            rest = (bound >= kth - 1e-4) & ~chosen
+            if rest.any():
+                self._add(segments, q, rest[block], scores)
+        rounded = np.round(scores[: len(self.ids)], 5)
         at = np.flatnonzero(rounded >= max(np.partition(rounded, -k)[-k] if len(rounded) > k else 0.0, 1e-5))
         at = at[np.lexsort((self.ids[at], -rounded[at]))][:k]
         return at, rounded[at]
 
-    def _score(self, terms: np.ndarray, q: np.ndarray, blocks: np.ndarray, scores: np.ndarray) -> None:
-        for t, weight in zip(terms, q, strict=True):
-            begin, end = self.starts[t, blocks], self.starts[t, blocks + 1]
-            size = end - begin
-            total = int(size.sum())
-            if total:
-                at = np.repeat(begin - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(total)
-                scores[self.places[t][at]] += weight * self.weights[t][at]
+    def _add(self, segments: np.ndarray, q: np.ndarray, on: np.ndarray, scores: np.ndarray) -> None:
+        segments = segments[on]
+        places, size = _spread(self.start[segments], self.start[segments + 1])
+        scores += np.bincount(self.place[places], np.repeat(q[on], size) * self.weight[places], len(scores))
 
 
 @dataclass
 class Model:
     terms: list[str]
-    idf: np.ndarray
+    weight: np.ndarray
     index: Index | None
     prior: float
     bare: float
     votes: np.ndarray
     scores: np.ndarray
 
-    def vector(self, counts: Counter) -> dict[int, float]:
-        raw = {t: (1 + math.log(n)) * self.idf[t] for t, n in sorted(counts.items())}
-        norm = math.sqrt(sum(x * x for x in raw.values()))
-        return {t: x / norm for t, x in raw.items()} if norm else {}
-
-    def vote(self, vector: dict[int, float], without: int = -1) -> tuple[float, list[int]]:
-        if not vector or self.index is None:
+    def vote(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[int]]:
+        terms, weights = unit(terms, counts, self.weight)
+        if not len(terms) or self.index is None:
             return self.bare, []
-        at, cosine = self.index.nearest(vector, without=without)
-        # Drawn to the share among texts without vocabulary, so few and far neighbours say little.
+        at, cosine = self.index.nearest(terms, weights)
+        # Drawn to the share among texts without known terms, so few and far neighbours say little.
         return float((cosine @ self.index.labels[at] + PRIOR_WEIGHT * self.bare) / (cosine.sum() + PRIOR_WEIGHT)), self.index.ids[at[:STEPS]].tolist()
 
     def calibrated(self, votes: np.ndarray) -> np.ndarray:
         return np.interp(votes, self.votes, self.scores) if len(self.votes) else np.clip(votes, 0, 1)
 
 
+def unit(terms: np.ndarray, counts: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The terms of weight above 0, and their part of the text's vector of length 1."""
+    raw = (1 + np.log(counts)) * weight[terms]
+    on = raw > 0
+    return terms[on], raw[on] / math.sqrt(float(raw[on] @ raw[on])) if on.any() else raw[on]
+
+
+def telling(owner: np.ndarray, terms: np.ndarray, labels: np.ndarray, share: np.ndarray, n_terms: int) -> np.ndarray:
+    """By term, from 0 to 1, how well its presence tells labels apart; an example counts ``share``."""
+    toxic = float(share @ labels) / max(float(share.sum()), 1e-9)
+    held = np.bincount(terms, share[owner], n_terms)
+    bad = np.bincount(terms, (share * labels)[owner], n_terms)
+    z2 = (bad - held * toxic) ** 2 / (held * toxic * (1 - toxic) + 1)
+    return z2 / (z2 + SHRINK)
+
+
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Knots of the rising step fit of y over x, by pooling neighbours that fall."""
     pools: list[list[float]] = []  # sum of y, number, sum of x
@@ -220,52 +221,102 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def examples(docs: DataFrame, labels: DataFrame, limit: int = MAX_EXAMPLES) -> DataFrame:
-    """doc_id, label and body of at most ``limit`` labelled rows that are not held out."""
+    """doc_id, label, body and sign of at most ``limit`` examples, as a written table."""
     known = labels.filter("doc_id is not null and toxic in (0, 1)").filter(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
-    present = docs.select("doc_id").join(known, "doc_id").distinct()
-    chosen = present.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    bodies = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("body"))
-    rows = bodies.join(F.broadcast(chosen), "doc_id")  # at most ``limit`` pairs of numbers
-    # One of each group of copies: words that only occur in copies of one text would look like signs of its label.
+    bodies = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("body")).withColumn("digest", F.unhex(F.sha2("body", 256)))
+    present = bodies.select("doc_id", "digest").join(known, "doc_id").groupBy("digest", "label").agg(F.min("doc_id").alias("doc_id"))
+    chosen = present.orderBy(F.xxhash64("doc_id"), "doc_id", "digest", "label").limit(limit)
+    rows = bodies.join(F.broadcast(chosen), ["doc_id", "digest"])  # at most ``limit`` rows of a digest and two numbers
     hashes = lambda ws: F.transform(ws, lambda w, i: F.xxhash64(w, F.get(ws, i + 1), F.get(ws, i + 2)))
-    rows = written(rows.withColumn("_sign", let(words(F.col("body")), lambda ws: F.coalesce(F.array_min(hashes(ws)), F.lit(0)))))
-    nth = F.row_number().over(Window.partitionBy("_sign").orderBy("doc_id", "body"))
-    return rows.withColumn("_nth", nth).filter("_nth = 1").select("doc_id", "label", "body")
+    sign = let(words(F.col("body")), lambda ws: F.coalesce(F.array_min(hashes(ws)), F.lit(0)))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "digest", "label").orderBy(F.lit(0)))
+    rows = rows.withColumn("_nth", nth).filter("_nth = 1")  # equal rows teach once
+    return written(rows.select("doc_id", "label", "body", sign.alias("sign")))
+
+
+def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[np.ndarray, int]:
+    """In how many of all documents each term occurs, and how many there are."""
+    sent = docs.sparkSession.sparkContext.broadcast(terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, df = Vocabulary(sent.value), np.zeros(len(sent.value) + 1, np.int64)
+        for batch in batches:
+            for body in batch.column("body").to_pylist():
+                df[vocabulary.counts(body)[0]] += 1
+                df[-1] += 1
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(df[at])], ["number", "n"])
+
+    got = docs.select(F.coalesce("text", F.lit("")).alias("body")).mapInArrow(run, "number int, n long").groupBy("number").agg(F.sum("n").alias("n")).toArrow()
+    df = np.bincount(got.column("number").to_numpy(), got.column("n").to_numpy(), len(terms) + 1).astype(np.int64)
+    return df[:-1], int(df[-1])
+
+
+def vocabulary_of(rows: DataFrame) -> list[str]:
+    """All terms of the examples, sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {t for body in batch.column("body").to_pylist() for w in set(body.split()) for t in terms_of(w)}
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], ["term"])
+
+    return sorted(rows.select("body").mapInArrow(run, "term string").distinct().toArrow().column("term").to_pylist())
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_EXAMPLES) -> Model:
     rows = examples(docs, labels, limit)
-    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    pos, neg = sizes.get(1, 0), sizes.get(0, 0)
-    prior = pos / (pos + neg) if pos + neg else 0.0
-    if not pos or not neg:
+    terms = vocabulary_of(rows)
+    sent = docs.sparkSession.sparkContext.broadcast(terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Vocabulary(sent.value)
+        for batch in batches:
+            found = [vocabulary.counts(b) for b in batch.column("body").to_pylist()]
+            lists = [pa.array([f[i] for f in found], pa.list_(pa.int32())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "label", "sign")), *lists], ["doc_id", "label", "sign", "at", "n"])
+
+    got = rows.select("doc_id", "label", "sign", "body").mapInArrow(run, "doc_id long, label int, sign long, at array<int>, n array<int>").toArrow()
+    got = got.combine_chunks().sort_by([("doc_id", "ascending"), ("label", "ascending"), ("sign", "ascending")])
+    ids, label, sign = (got.column(c).to_numpy() for c in ("doc_id", "label", "sign"))
+    prior = float(label.mean()) if len(label) else 0.0
+    if not 0 < prior < 1:
         return Model([], np.zeros(0), None, prior, prior, np.zeros(0), np.zeros(0))
-    a, b, n = F.col("toxic"), F.col("clean"), float(pos + neg)
-    chi2 = n * F.pow(a * F.lit(float(neg)) - b * F.lit(float(pos)), 2) / (F.lit(float(pos) * neg) * (a + b) * F.greatest(n - a - b, F.lit(1.0)))
-    best = term_counts(rows).filter(a + b >= MIN_ROWS).withColumn("chi2", chi2).filter(F.col("chi2") >= MIN_CHI2)
-    terms = sorted(r["term"] for r in best.orderBy(F.desc("chi2"), "term").limit(MAX_TERMS).collect())
+    at, n = got.column("at").combine_chunks(), got.column("n").combine_chunks().flatten().to_numpy()
+    owner, flat = np.repeat(np.arange(len(ids)), np.diff(at.offsets.to_numpy())), at.flatten().to_numpy()
     df, total = document_frequencies(docs, terms)
-    idf = np.log((1 + total) / (1 + df)) + 1
-    model = Model(terms, idf, None, prior, prior, np.zeros(0), np.zeros(0))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary = Vocabulary(terms)
-        for f in frames:
-            counts = [vocabulary.counts(x) for x in f["body"]]
-            yield pd.DataFrame({"doc_id": f["doc_id"], "label": f["label"], "at": [list(c) for c in counts], "n": [list(c.values()) for c in counts]})
-
-    got = rows.mapInPandas(run, "doc_id long, label int, at array<int>, n array<int>").toPandas().drop_duplicates(["doc_id", "label"]).sort_values("doc_id")
-    vectors = [model.vector(Counter(dict(zip(a, n, strict=True)))) for a, n in zip(got["at"], got["n"], strict=True)]
-    ids, label = got["doc_id"].tolist(), got["label"].tolist()
-    bare = [y for y, v in zip(label, vectors, strict=True) if not v]
-    model.bare = (sum(bare) + prior) / (len(bare) + 1)
-    full = [i for i, v in enumerate(vectors) if v]
-    if full:
-        model.index = Index.of([ids[i] for i in full], [label[i] for i in full], [vectors[i] for i in full], len(terms))
-        place = {d: p for p, d in enumerate(model.index.ids.tolist())}
-        votes = np.array([model.vote(v, place.get(d, -1))[0] for d, v in zip(ids, vectors, strict=True)])
-        model.votes, model.scores = isotonic(votes, np.array(label, float))
+    return fitted(terms, np.log((1 + total) / (1 + df)) + 1, ids, label, sign, owner, flat, n)
+
+
+def fitted(terms: list[str], idf: np.ndarray, ids: np.ndarray, label: np.ndarray, sign: np.ndarray, owner: np.ndarray, flat: np.ndarray, n: np.ndarray) -> Model:
+    """The model of examples whose terms are the entries (owner, flat, n)."""
+    prior, size = float(label.mean()), len(ids)
+    _, group, together = np.unique(sign, return_inverse=True, return_counts=True)
+    share, fold = 1.0 / together[group], group % FOLDS
+    full = np.bincount(owner, minlength=size) > 0
+    bare = (float(label[~full].sum()) + prior) / (int((~full).sum()) + 1)
+    entries = np.searchsorted(owner, np.arange(size + 1))
+
+    def over(use: np.ndarray) -> Model:
+        on = use[owner]
+        weight = idf * telling(owner[on], flat[on], label, share * use, len(terms))
+        raw = (1 + np.log(n)) * weight[flat]
+        norm = np.sqrt(np.bincount(owner, raw * raw, size))
+        on &= (raw > 0) & (norm[owner] > 0)
+        kept = np.flatnonzero(np.bincount(owner[on], minlength=size))
+        seat = np.full(size, -1)
+        seat[kept] = np.arange(len(kept))
+        index = Index.of(ids[kept], label[kept], seat[owner[on]], flat[on], raw[on] / norm[owner[on]], len(terms)) if len(kept) else None
+        return Model(terms, weight, index, prior, bare, np.zeros(0), np.zeros(0))
+
+    votes = np.empty(size)
+    for f in range(FOLDS):
+        model, test = over(fold != f), np.flatnonzero(fold == f)
+        for i in test:
+            part = slice(entries[i], entries[i + 1])
+            votes[i] = model.vote(flat[part], n[part])[0]
+    model = over(np.ones(size, bool))
+    model.votes, model.scores = isotonic(votes, label.astype(float))
     return model
 
 
@@ -279,7 +330,7 @@ def scored(docs: DataFrame, labels: DataFrame, limit: int = MAX_EXAMPLES, keep:
         for batch in batches:
             votes, evidence = [], []
             for body in batch.column("body").to_pylist():
-                vote, near = m.vote(m.vector(vocabulary.counts(body)))
+                vote, near = m.vote(*vocabulary.counts(body))
                 votes.append(vote)
                 evidence.append(near)
             rest = [batch.column(c) for c in keep]
