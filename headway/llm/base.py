@@ -42,11 +42,14 @@ def ascii_lower(text: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name under the folder that all executors share.
 
-    The cluster names that folder in ``spark.checkpoint.dir``. Where it is
-    unset, as in tests on one machine, a temporary folder takes its place.
+    The cluster names that folder in ``spark.checkpoint.dir``. Where it is unset
+    a temporary folder takes its place if everything runs on this machine; other
+    clusters raise, as their executors would write where nobody else can read.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="headway-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
@@ -57,3 +60,27 @@ def written(df: DataFrame) -> DataFrame:
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a few numbers that are broadcast at most; the most frequent keys that a join leaves out of its shuffle.
+BROADCAST_ROWS, HOT_KEYS = 1_000_000, 10_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` (a written table of narrow rows) marked for broadcast if it has few enough of them."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def join_counted(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """``rows`` left joined to ``known`` (key, _rows, ...; one row a key, _rows of ``rows`` have it); both are written tables.
+
+    The ``HOT_KEYS`` keys with most rows are broadcast, so a key with a third of
+    all rows stays where it lies; each of the others has at most one in
+    ``HOT_KEYS`` of all rows, and those meet by a shuffle.
+    """
+    hot = known.orderBy(F.desc("_rows"), key).limit(HOT_KEYS)
+    if known.count() <= HOT_KEYS:
+        return rows.join(F.broadcast(known.drop("_rows")), key, "left")
+    hot = written(hot)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(known.drop("_rows"), key, "left")
+    return rows.join(F.broadcast(hot.drop("_rows")), key).unionByName(cold)
