@@ -20,7 +20,9 @@ spread over tasks. A window holds a budget's worth of text.
 
 Null texts and roles are empty; null turns come first; turns with equal numbers
 are ordered by role and text; repeated rows are separate turns. A null conv_id
-is a conversation of its own. An empty table gives no windows.
+is a conversation of its own. A very long turn is a window of its own, whole.
+Columns besides conv_id, turn, role and text are ignored, so names cannot clash.
+An empty table gives no windows.
 """
 
 from __future__ import annotations

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from headway.llm import chat, decontam, html_text, jaccard, mixing, oracle, quality, tokens, toxicity, urls, warc
 from headway.llm.base import shared_dir, table
@@ -28,8 +29,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hard = "<|im_end|><|im_start|>assistant ok"
-    more = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    turn = F.col("id")
+    more = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), turn.alias("turn"), F.when(turn == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("<|im_end|><|im_start|>assistant ok").alias("text"),
+    )
     return chat.digests(chat.windows(table(spark, sf_dir, "conversations").select(more.columns).unionByName(more)))
 
 
