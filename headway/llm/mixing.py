@@ -13,11 +13,15 @@ Scale: texts are reduced to a word count in the scan. The order within a source
 is cut into ``BUCKETS`` slices by hash, so running sums never gather a source in
 one task: slices are summed first (with partial sums before the shuffle), and
 documents are summed within their slice. Only tables with one row per slice and
-per source are joined back. One row per source goes through a single task.
+per source are joined back. One row per source goes through a single task, which
+suits up to some million sources.
 
 Null sources form one source, after all others. Null or empty texts have size 0
-and are never taken. Rows with equal doc_id are separate documents; equal rows
-are interchangeable. An empty table gives an empty mix.
+and are never taken; very long ones are counted whole, in the scan. The order
+hashes doc_id with the text, so rows with a null doc_id or with one doc_id and
+different texts are separate documents in places of their own; equal rows are
+interchangeable and follow one another. An empty table gives an empty mix.
+Columns besides doc_id, source and text are ignored, so names cannot clash.
 """
 
 from __future__ import annotations
@@ -102,7 +106,7 @@ def assign(docs: DataFrame, phases: tuple[Phase, ...] = CURRICULUM, max_repeats:
     slim = docs.select(
         "doc_id", "source", word_count(F.col("text")).alias("size"),
         F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("_key"),
-        F.xxhash64(F.lit(seed), "doc_id").alias("_at"),
+        F.xxhash64(F.lit(seed), "doc_id", "text").alias("_at"),
     ).withColumn("_bucket", F.pmod("_at", F.lit(BUCKETS)).cast("int"))
     slices = slim.groupBy("_key", "_bucket").agg(F.sum("size").alias("_sum"))
     in_source = Window.partitionBy("_key")
