@@ -5,9 +5,10 @@ whole text, in one scan, with built-in functions only; nothing is shuffled, so
 the cost follows the bytes read and a hot source or a group of copies does not
 matter.
 
-Null and empty texts have no words and fail the base rules. Repeated rows each
-get their own verdict. Columns of the input besides the ones named are ignored,
-so names cannot clash.
+Null and empty texts have no words and fail the base rules. Very long texts and
+lines are counted whole. Repeated rows each get their own verdict, and an empty
+table gives no rows. Columns of the input besides the ones named are ignored, so
+names cannot clash.
 """
 
 from __future__ import annotations
@@ -115,7 +116,11 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text",
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with their columns as they came."""
+    """The rows of ``docs`` that the rules keep, with their columns as they came.
+
+    The verdict is generated as one row of an array, so the optimizer can neither
+    copy its expression into the filter nor evaluate it twice.
+    """
     row = F.struct(*[F.col(c) for c in docs.columns]).alias("_row")
     judged = judge(docs.select(row, F.col("text").alias("_text")), rules, "_text", ("_row",))
-    return judged.filter("kept").select("_row.*")
+    return judged.select("_row", F.explode(F.array("kept")).alias("_kept")).filter("_kept").select("_row.*")
