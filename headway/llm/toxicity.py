@@ -40,6 +40,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +54,8 @@ PREFIXES = (4,)
 SHRINK, FOLDS = 30.0, 4
 K, BLOCK, OFTEN, FIRST_BLOCKS, PRIOR_WEIGHT, STEPS = 15, 64, 16, 4, 1.0, 5
 THRESHOLD = 0.3
-MEMO = 300_000
+#: Words whose terms a task remembers; texts whose cosines are begun together.
+MEMO, TOGETHER = 300_000, 64
 EDGES = ".,;:!?*&$%#|<>\"'()[]{}-_/\\"
 
 
@@ -74,20 +76,30 @@ class Vocabulary:
         self.number = {t: i for i, t in enumerate(terms)}
         self.memo: dict[str, tuple[int, ...]] = {}
 
+    def _hits(self, tokens: list[str]) -> list[tuple[int, ...]]:
+        """By word, the numbers of its terms."""
+        memo, number = self.memo, self.number
+        hits = list(map(memo.get, tokens))
+        if None in hits:
+            if len(memo) > MEMO:
+                memo.clear()
+            for i, hit in enumerate(hits):
+                if hit is None:
+                    hits[i] = memo[tokens[i]] = tuple(number[t] for t in terms_of(tokens[i]) if t in number)
+        return hits
+
+    def terms(self, text: str | None) -> list[int]:
+        """The numbers of the terms in a text."""
+        return list(set().union(*self._hits(list(set((text or "").split())))))
+
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of the terms in a text, sorted, and how often each occurs."""
-        memo, number, found, times = self.memo, self.number, [], []
-        for w, n in Counter((text or "").split()).items():
-            hit = memo.get(w)
-            if hit is None:
-                if len(memo) > MEMO:
-                    memo.clear()
-                hit = memo[w] = tuple(number[t] for t in terms_of(w) if t in number)
-            if hit:
-                found += hit
-                times += [n] * len(hit)
-        at, place = np.unique(np.array(found, np.int32), return_inverse=True)
-        return at, np.bincount(place, times, len(at)).astype(np.int32)
+        words = Counter((text or "").split())
+        hits = self._hits(list(words))
+        size = np.fromiter(map(len, hits), np.int64, len(hits))
+        found = np.fromiter(chain.from_iterable(hits), np.int32, int(size.sum()))
+        at, place = np.unique(found, return_inverse=True)
+        return at, np.bincount(place, np.repeat(np.fromiter(words.values(), np.int64, len(hits)), size), len(at)).astype(np.int32)
 
 
 def _spread(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,11 +156,18 @@ class Index:
         first = np.searchsorted(t[start], np.arange(n_terms + 1)).astype(np.int32)
         return cls(BLOCK, ids[order], labels[order], row, rows, first, place[start] // BLOCK, np.append(start, len(t)).astype(np.int32), largest, place, weight)
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest with a cosine above 0."""
-        wide = self.row[terms] >= 0
-        scores = (weights[wide].astype(np.float32) @ self.rows[self.row[terms[wide]]]).astype(float)
-        terms, weights = terms[~wide], weights[~wide]
+    def by_rows(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the terms with rows add to the cosines of some vectors with all examples."""
+        q = np.zeros((len(vectors), len(self.rows)), np.float32)
+        for own, (terms, weights) in zip(q, vectors, strict=True):
+            row = self.row[terms]
+            own[row[row >= 0]] = weights[row >= 0]
+        return q @ self.rows
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, added: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
+        """Places and cosines of the k nearest with a cosine above 0; ``added`` is the vector's row of :meth:`by_rows`."""
+        scores, rare = added.astype(float), self.row[terms] < 0
+        terms, weights = terms[rare], weights[rare]
         segments, size = _spread(self.first[terms], self.first[terms + 1])
         if len(segments):
             q, block = np.repeat(weights, size), self.block[segments]
@@ -181,13 +200,22 @@ class Model:
     votes: np.ndarray
     scores: np.ndarray
 
-    def vote(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[int]]:
-        terms, weights = unit(terms, counts, self.weight)
-        if not len(terms) or self.index is None:
-            return self.bare, []
-        at, cosine = self.index.nearest(terms, weights)
-        # Drawn to the share among texts without known terms, so few and far neighbours say little.
-        return float((cosine @ self.index.labels[at] + PRIOR_WEIGHT * self.bare) / (cosine.sum() + PRIOR_WEIGHT)), self.index.ids[at[:STEPS]].tolist()
+    def votes_on(self, counted: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list[float], list[list[int]]]:
+        """Votes and evidence of texts, given by their terms and counts."""
+        votes, evidence = [], []
+        for low in range(0, len(counted), TOGETHER):
+            vectors = [unit(*c, self.weight) for c in counted[low : low + TOGETHER]]
+            added = self.index.by_rows(vectors) if self.index is not None else [None] * len(vectors)
+            for (terms, weights), row in zip(vectors, added, strict=True):
+                if not len(terms) or self.index is None:
+                    votes.append(self.bare)
+                    evidence.append([])
+                    continue
+                at, cosine = self.index.nearest(terms, weights, row)
+                # Drawn to the share among texts without known terms, so few and far neighbours say little.
+                votes.append(float((cosine @ self.index.labels[at] + PRIOR_WEIGHT * self.bare) / (cosine.sum() + PRIOR_WEIGHT)))
+                evidence.append(self.index.ids[at[:STEPS]].tolist())
+        return votes, evidence
 
     def calibrated(self, votes: np.ndarray) -> np.ndarray:
         return np.interp(votes, self.votes, self.scores) if len(self.votes) else np.clip(votes, 0, 1)
@@ -243,7 +271,7 @@ def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[np.ndarray,
         vocabulary, df = Vocabulary(sent.value), np.zeros(len(sent.value) + 1, np.int64)
         for batch in batches:
             for body in batch.column("body").to_pylist():
-                df[vocabulary.counts(body)[0]] += 1
+                df[vocabulary.terms(body)] += 1
                 df[-1] += 1
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(df[at])], ["number", "n"])
@@ -312,9 +340,7 @@ def fitted(terms: list[str], idf: np.ndarray, ids: np.ndarray, label: np.ndarray
     votes = np.empty(size)
     for f in range(FOLDS):
         model, test = over(fold != f), np.flatnonzero(fold == f)
-        for i in test:
-            part = slice(entries[i], entries[i + 1])
-            votes[i] = model.vote(flat[part], n[part])[0]
+        votes[test] = model.votes_on([(flat[entries[i] : entries[i + 1]], n[entries[i] : entries[i + 1]]) for i in test])[0]
     model = over(np.ones(size, bool))
     model.votes, model.scores = isotonic(votes, label.astype(float))
     return model
@@ -328,11 +354,7 @@ def scored(docs: DataFrame, labels: DataFrame, limit: int = MAX_EXAMPLES, keep:
         m = model.value
         vocabulary = Vocabulary(m.terms)
         for batch in batches:
-            votes, evidence = [], []
-            for body in batch.column("body").to_pylist():
-                vote, near = m.vote(*vocabulary.counts(body))
-                votes.append(vote)
-                evidence.append(near)
+            votes, evidence = m.votes_on([vocabulary.counts(body) for body in batch.column("body").to_pylist()])
             rest = [batch.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(m.calibrated(np.array(votes))), pa.array(evidence, pa.list_(pa.int64()))], [*keep, "score", "evidence"])
 

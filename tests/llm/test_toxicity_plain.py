@@ -149,7 +149,7 @@ def test_nearest_equals_all_cosines_with_ties():
         q = np.full(len(v), 1 / math.sqrt(len(v)))
         cosine = np.round(dense[:, v] @ q, 5)
         want = sorted((-c, i) for c, i in zip(cosine, ids, strict=True) if c > 0)[: toxicity.K]
-        at, got = index.nearest(v, q)
+        at, got = index.nearest(v, q, index.by_rows([(v, q)])[0])
         assert np.allclose(got, [-c for c, _ in want], atol=2e-5)
         assert index.ids[at].tolist() == [i for _, i in want] or len(set(got)) < len(got)
         if len(at) and got[0] - got[-1] == 0:
