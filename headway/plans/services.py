@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from headway.functions import time
-from headway.functions.modes import ModeMap
+from headway.functions.modes import ModeMap, location_type
 from headway.operators import network, services
 
 
@@ -37,15 +37,24 @@ class ServicesConfig:
 
 
 def from_feed(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Feed tables (all strings) with the types that the operators use."""
+    """Feed tables (all strings) with the types that the operators use.
+
+    Of stops only those where vehicles stop remain (location type 0 or blank);
+    lat and lon are null where they are no numbers.
+    """
     times = tables["stop_times"]
-    return {
+    out = {
         "routes": tables["routes"], "calendar": tables["calendar"], "trips": tables["trips"],
         "stop_times": times.select(
             "trip_id", "stop_id", F.col("stop_sequence").try_cast("int").alias("stop_sequence"),
             time.seconds(F.col("arrival_time")).alias("arr"), time.seconds(F.col("departure_time")).alias("dep"),
         ),
     }
+    if "stops" in tables:
+        platforms = tables["stops"].filter(location_type(F.col("location_type")) == 0)
+        number = lambda c: F.trim(c).try_cast("double")
+        out["stops"] = platforms.select("stop_id", "stop_name", "platform_code", number(F.col("stop_lat")).alias("lat"), number(F.col("stop_lon")).alias("lon"))
+    return out
 
 
 class Services:

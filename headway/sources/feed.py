@@ -1,23 +1,28 @@
 """Schedule feeds: a folder or a zip of comma-separated tables, as lazy DataFrames.
 
 Headers may be in any order, case and padding, lack columns or have unknown
-ones. A zip's members are unpacked once, into a folder that all executors share
-(``spark.checkpoint.dir``), so that Spark can split and prune the reads.
+ones. A zip's members are unpacked once, a member a task, into a folder that all
+executors share (``spark.checkpoint.dir``). Files are read in splits, so a large
+table has as many tasks as its size asks for; only a table of which a field holds
+a line feed is read file by file (``multiline``; looked for once, by a scan of
+the lines that leave a quote open).
 """
 
 from __future__ import annotations
 
 import csv
 import io
-import tempfile
-import uuid
-from collections.abc import Callable, Iterable
+import shutil
+import zipfile
+from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from headway.sources import schema
+from headway.sources.tables import shared
 
 Transform = Callable[[DataFrame], DataFrame]
 
@@ -31,32 +36,46 @@ def _path(spark: SparkSession, name: str):
     return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def _shared(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="headway-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/feed-{uuid.uuid4().hex}"
-
-
 def _unzipped(spark: SparkSession, location: str) -> str:
-    """Copies the tables of a zip to a shared folder, member by member, as streams in the driver's JVM."""
-    path, store = _path(spark, location)
-    folder = _shared(spark)
-    jvm = spark._jvm
-    stream = jvm.java.util.zip.ZipInputStream(store.open(path))
-    try:
-        while (entry := stream.getNextEntry()) is not None:
-            name = entry.getName()
-            if not entry.isDirectory() and "/" not in name and name.endswith(".txt") and name[:-4] in schema.COLUMNS:
-                target, out_store = _path(spark, f"{folder}/{name}")
-                out = out_store.create(target)
-                try:
-                    stream.transferTo(out)
-                finally:
-                    out.close()
-    finally:
-        stream.close()
+    """Unpacks the tables of a zip into a shared folder, each by a task of its own that reads the zip by range."""
+    from pyarrow import fs
+
+    folder = shared(spark, "feed")
+    path, hadoop = _path(spark, location)
+    uri = hadoop.makeQualified(path).toUri().toString()
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = "file://" + uri.removeprefix("file:")
+
+    def opened():
+        store, name = fs.FileSystem.from_uri(uri)
+        return store.open_input_file(name)
+
+    with opened() as f, zipfile.ZipFile(f) as z:
+        members = {}
+        for name in z.namelist():
+            table = name.rsplit("/", 1)[-1].removesuffix(".txt")
+            if name.endswith(".txt") and table in schema.COLUMNS:
+                if table in members:
+                    raise FeedError(f"{location} has {table}.txt twice: {members[table]} and {name}")
+                members[table] = name
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for table, name in frame.itertuples(index=False, name=None):
+                store, root = fs.FileSystem.from_uri(folder)
+                store.create_dir(root)
+                # Written under a name of the attempt's own and moved when whole, so a task that runs twice does no harm.
+                part = f"{root}/_{table}-{id(frame)}.part"
+                with opened() as f, zipfile.ZipFile(f) as z, z.open(name) as member, store.open_output_stream(part) as out:
+                    shutil.copyfileobj(member, out, 1 << 20)
+                store.move(part, f"{root}/{table}.txt")
+            yield frame[["table"]]
+
+    if members:
+        rows = spark.createDataFrame(sorted(members.items()), "table string, name string")  # a row per table of the format
+        done = rows.repartition(len(members), "table").mapInPandas(run, "table string").count()
+        if done != len(members):
+            raise FeedError(f"{location}: {done} of {len(members)} tables were unpacked")
     return folder
 
 
@@ -80,6 +99,7 @@ class Feed:
         else:
             raise FeedError(f"{location} is neither a folder nor a zip")
         self._transforms: dict[str, list[Transform]] = {}
+        self._multiline: dict[str, bool] = {}
 
     def has(self, name: str) -> bool:
         path, store = _path(self.spark, f"{self.folder}/{name}.txt")
@@ -106,6 +126,19 @@ class Feed:
             raise FeedError(f"no table is named {name}")
         self._transforms.setdefault(name, []).append(transform)
 
+    def multiline(self, name: str) -> bool:
+        """Whether a field of the table holds a line feed: some line has an odd number of quotes. Asked once per table."""
+        if name not in self._multiline:
+            lines = self.spark.read.option("encoding", self.encoding).text(f"{self.folder}/{name}.txt")
+            odd = F.char_length("value") - F.char_length(F.replace("value", F.lit('"'), F.lit("")))
+            self._multiline[name] = not lines.filter(F.contains("value", F.lit('"')) & (odd % 2 == 1)).isEmpty()
+        return self._multiline[name]
+
+    def counted(self, name: str, columns: str = "all", exclude: tuple[str, ...] = ()) -> tuple[DataFrame, Observation]:
+        """As :meth:`table`, and what counts its rows as they are read: ``.get["rows"]`` after the first action."""
+        seen = Observation(f"rows of {name}")
+        return self.table(name, columns, exclude).observe(seen, F.count(F.lit(1)).alias("rows")), seen
+
     def table(self, name: str, columns: str = "all", exclude: tuple[str, ...] = ()) -> DataFrame:
         """One table; columns that its file lacks are null, the first of equal names counts."""
         if name not in schema.COLUMNS:
@@ -113,7 +146,7 @@ class Feed:
         header = normal(self.header(name))
         raw = StructType([StructField(f"c{i}", StringType()) for i in range(len(header))])
         rows = self.spark.read.csv(
-            f"{self.folder}/{name}.txt", schema=raw, header=True, quote='"', escape='"', multiLine=True,
+            f"{self.folder}/{name}.txt", schema=raw, header=True, quote='"', escape='"', multiLine=self.multiline(name),
             mode="FAILFAST", encoding=self.encoding, enforceSchema=True,
         )
         place = {c: i for i, c in reversed(list(enumerate(header)))}

@@ -118,7 +118,7 @@ def test_paths_equal_plain_search_and_joins(spark):
     rng = random.Random(2)
     asked = [(i, "BUS", rng.randrange(16), rng.randrange(16), [rng.randrange(40)]) for i in range(20)] + [(99, "FERRY", 0, 1, []), (98, "BUS", 0, 999, [])]
     requests = spark.createDataFrame(asked, "request_id long, mode string, origin long, target long, banned array<long>")
-    got = {r["request_id"]: (r["segments"], r["cost"], r["length"]) for r in paths.shortest(requests, edges).collect()}
+    got = {r["request_id"]: (r["segments"], r["ticks"] / paths.TICKS, r["length"]) for r in paths.shortest(requests, edges).collect()}
     rows = edges.filter("mode = 'BUS'").collect()
     for i, _, origin, target, banned in asked[:20]:
         best = {origin: 0.0}
@@ -134,8 +134,51 @@ def test_paths_equal_plain_search_and_joins(spark):
         assert node == target
     assert 99 not in got and 98 not in got
     few = requests.filter("request_id < 4 or request_id >= 98")
-    joined = {r["request_id"]: r["cost"] for r in paths.relaxed(few, edges).collect()}
-    assert joined.keys() == {0, 1, 2, 3} and all(joined[i] == pytest.approx(got[i][1]) for i in joined)
+    joined = {r["request_id"]: (r["segments"], r["ticks"] / paths.TICKS) for r in paths.shortest(few, edges, max_bytes=0).collect()}
+    assert joined == {i: got[i][:2] for i in range(4)}
+
+
+def test_ties_go_to_fewer_segments_and_lesser_ids(spark):
+    """A grid of equal edges has many best paths; both searches give the one whose ids are least, as a plain enumeration does."""
+    n, k, rows = 4, 0, []
+    rng = random.Random(4)
+    ids = rng.sample(range(1000), 48)
+    for r, c in itertools.product(range(n), range(n)):
+        for dr, dc in ((0, 1), (1, 0)):
+            if r + dr < n and c + dc < n:
+                for a, b in ((r * n + c, (r + dr) * n + c + dc), ((r + dr) * n + c + dc, r * n + c)):
+                    rows.append((ids[k], k // 2, a, b, ["BUS"], 1.0, 0.1, 50.0))
+                    k += 1
+    rows.append((2000, 999, 0, 2, ["BUS"], 1.0, 0.2, 50.0))  # as long as two edges, but one segment
+    edges = paths.edges(spark.createDataFrame(rows, SEGMENTS))
+    asked = [(i, "BUS", a, b, banned) for i, (a, b, banned) in enumerate([(0, 15, []), (0, 15, [2000]), (0, 15, [ids[0]]), (3, 12, []), (5, 5, []), (0, 2, []), (12, 3, [ids[7], ids[20]])])]
+    requests = spark.createDataFrame(asked, "request_id long, mode string, origin long, target long, banned array<long>")
+    near = {r["request_id"]: (r["segments"], r["ticks"]) for r in paths.shortest(requests, edges).collect()}
+    far = {r["request_id"]: (r["segments"], r["ticks"]) for r in paths.shortest(requests, edges, max_bytes=0).collect()}
+    out = {}
+    for e in rows:
+        out.setdefault(e[2], []).append((e[0], e[3], round(e[6] / 50 * paths.TICKS)))
+    for i, _, a, b, banned in asked:
+        best, front = None, [(0, [], a)]
+        for _ in range(8):
+            for ticks, path, node in front:
+                if node == b and (best is None or (ticks, len(path), path) < best):
+                    best = (ticks, len(path), path)
+            front = [(t + dt, [*p, s], to) for t, p, v in front for s, to, dt in out[v] if s not in banned and (best is None or t + dt <= best[0])]
+        assert near[i] == far[i] == (best[2], best[0])
+
+
+def test_a_search_that_is_cut_short_raises(spark):
+    edges = paths.edges(grid(spark)).withColumn("ticks", F.lit(1).cast("long"))
+    requests = spark.createDataFrame([(1, "BUS", 0, 15, [])], "request_id long, mode string, origin long, target long, banned array<long>")
+    with pytest.raises(RuntimeError, match="after 2 rounds"):
+        paths.relaxed(requests, edges, max_rounds=2)
+
+
+def test_paths_of_a_stop_share_a_node(spark):
+    rows = [("a", "b", "BUS", 1, 5, 3.0), ("a", "b", "BUS", 2, 5, 1.0), ("c", "a", "BUS", 7, 1, 2.0), ("a", "d", "BUS", 1, 9, 4.0), ("a", "d", "TRAIN", 2, 9, 4.0)]
+    kept = paths.one_node_per_stop(spark.createDataFrame(rows, "from_stop string, to_stop string, mode string, origin long, end long, length double"))
+    assert sorted((r["from_stop"], r["to_stop"], r["mode"], r["origin"], r["end"]) for r in kept.collect()) == [("a", "b", "BUS", 1, 5), ("a", "d", "BUS", 1, 9), ("a", "d", "TRAIN", 2, 9), ("c", "a", "BUS", 7, 1)]
 
 
 def test_legs_take_the_shortest_candidate_and_ban_turning_back(spark):
