@@ -42,9 +42,37 @@ def closest_on_segment(px: Column, py: Column, a: Column, b: Column) -> Column:
 
 
 def closest_on_line(px: Column, py: Column, line: Column) -> Column:
-    """As :func:`closest_on_segment`, for the closest segment of a line (the smallest struct of equals)."""
-    segments = F.transform(F.sequence(F.lit(1), F.size(line) - 1), lambda i: closest_on_segment(px, py, F.get(line, i - 1), F.get(line, i)))
-    return F.array_min(segments)
+    """As :func:`closest_on_segment` with ``along`` (number of the segment from 0, and the fraction of it), for the closest segment of a line.
+
+    Of segments that are equally close the smallest struct counts.
+    """
+    def one(i: Column) -> Column:
+        near = closest_on_segment(px, py, F.get(line, i - 1), F.get(line, i))
+        return near.withField("along", i - 1 + closest_fraction(px, py, F.get(line, i - 1), F.get(line, i)))
+
+    return F.array_min(F.transform(F.sequence(F.lit(1), F.size(line) - 1), one))
+
+
+def line_cells(line: Column, radius: float, size: float) -> Column:
+    """The grid cells (cx, cy) within ``radius`` of the boxes of a line's steps of at most ``size``: as many as its length asks for, not its box."""
+    step = lambda a, b, k, n: F.struct((a["x"] + (b["x"] - a["x"]) * k / n).alias("x"), (a["y"] + (b["y"] - a["y"]) * k / n).alias("y"))
+
+    def of_segment(i: Column) -> Column:
+        a, b = F.get(line, i - 1), F.get(line, i)
+        n = F.greatest(F.ceil(F.greatest(F.abs(b["x"] - a["x"]), F.abs(b["y"] - a["y"])) / size), F.lit(1))
+        boxes = F.transform(F.sequence(F.lit(1).cast("long"), n), lambda k: F.struct(step(a, b, k - 1, n).alias("p"), step(a, b, k, n).alias("q")))
+        return F.flatten(F.transform(boxes, lambda s: cells(
+            F.least(s["p"]["x"], s["q"]["x"]) - radius, F.greatest(s["p"]["x"], s["q"]["x"]) + radius,
+            F.least(s["p"]["y"], s["q"]["y"]) - radius, F.greatest(s["p"]["y"], s["q"]["y"]) + radius, size,
+        )))
+
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.size(line) - 1), of_segment)))
+
+
+def length(line: Column) -> Column:
+    """The length of a line."""
+    steps = F.transform(F.sequence(F.lit(1), F.size(line) - 1), lambda i: F.hypot(F.get(line, i)["x"] - F.get(line, i - 1)["x"], F.get(line, i)["y"] - F.get(line, i - 1)["y"]))
+    return F.aggregate(steps, F.lit(0.0), lambda a, x: a + x)
 
 
 def side(px: Column, py: Column, near: Column) -> Column:

@@ -105,6 +105,13 @@ def truncated(legs: DataFrame, mapped: DataFrame) -> DataFrame:
     return runs.withColumn("part", F.dense_rank().over(Window.partitionBy("trip_id").orderBy("_run"))).drop("_run")
 
 
+def part_schedules(parts: DataFrame) -> DataFrame:
+    """As :func:`schedules`, for the parts of truncated trips: each departs when its first leg does."""
+    step = F.struct("nth", "from_stop", "to_stop", "duration", "dwell")
+    start = F.min(F.struct("nth", (F.col("arr") - F.col("duration")).alias("_at")))["_at"]
+    return parts.groupBy("trip_id", "part", "route_id", "mode").agg(F.array_sort(F.collect_list(step)).alias("timings"), start.alias("departure"))
+
+
 def unused_cascade(connectoids: DataFrame, zones: DataFrame, groups: DataFrame, used: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Connectoids in use, zones that still have one, and zone groups (group_id, zone_id) that still have a zone."""
     left = connectoids.join(used.select("connectoid_id").distinct(), "connectoid_id", "left_semi")

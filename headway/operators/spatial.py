@@ -15,11 +15,18 @@ from headway.functions import geo
 ZONE_RADIUS, LINK_RADIUS, BUFFER, SNAP, MAX_ANGLE = 40.0, 40.0, 8.0, 5.0, 100.0
 
 
-def in_box_join(points: DataFrame, boxes: DataFrame, radius: float) -> DataFrame:
-    """Pairs of points (x, y) and boxes (x_min, x_max, y_min, y_max) where the box meets the point's square of half width ``radius``."""
+def in_box_join(points: DataFrame, boxes: DataFrame, radius: float, line: str | None = None) -> DataFrame:
+    """Pairs of points (x, y) and boxes (x_min, x_max, y_min, y_max) where the box meets the point's square of half width ``radius``.
+
+    With ``line``, the box is that of the line in this column and a pair also needs
+    a step of the line near the point's cell: cells then follow the line's length.
+    """
     size = 2 * radius
     placed = points.withColumns({"_cx": F.floor(F.col("x") / size), "_cy": F.floor(F.col("y") / size)})
-    wide = geo.cells(F.col("x_min") - radius, F.col("x_max") + radius, F.col("y_min") - radius, F.col("y_max") + radius, size)
+    if line is None:
+        wide = geo.cells(F.col("x_min") - radius, F.col("x_max") + radius, F.col("y_min") - radius, F.col("y_max") + radius, size)
+    else:
+        wide = geo.line_cells(F.col(line), radius, size)
     dealt = boxes.withColumn("_cell", F.explode(wide)).withColumns({"_cx": F.col("_cell.cx"), "_cy": F.col("_cell.cy")}).drop("_cell")
     near = (F.col("x_max") >= F.col("x") - radius) & (F.col("x_min") <= F.col("x") + radius) & (F.col("y_max") >= F.col("y") - radius) & (F.col("y_min") <= F.col("y") + radius)
     return placed.join(dealt, ["_cx", "_cy"]).filter(near).drop("_cx", "_cy")
@@ -30,9 +37,12 @@ def link_boxes(links: DataFrame) -> DataFrame:
     return links.withColumns({"x_min": F.array_min(xs), "x_max": F.array_max(xs), "y_min": F.array_min(ys), "y_max": F.array_max(ys)})
 
 
-def near_links(stops: DataFrame, links: DataFrame, radius: float = LINK_RADIUS) -> DataFrame:
-    """Pairs of stops and links, with ``near`` (the closest point of the link) and d2, the squared distance to it."""
-    pairs = in_box_join(stops, link_boxes(links), radius).drop("x_min", "x_max", "y_min", "y_max")
+def near_links(stops: DataFrame, links: DataFrame, radius: float = LINK_RADIUS, by_line: bool = False) -> DataFrame:
+    """Pairs of stops and links, with ``near`` (the closest point of the link) and d2, the squared distance to it.
+
+    A pair's boxes meet; with ``by_line`` some pairs farther apart than the radius are left out, and long links cost by their length.
+    """
+    pairs = in_box_join(stops, link_boxes(links), radius, "geometry" if by_line else None).drop("x_min", "x_max", "y_min", "y_max")
     return pairs.withColumn("near", geo.closest_on_line(F.col("x"), F.col("y"), F.col("geometry"))).withColumn("d2", F.col("near.d2"))
 
 
@@ -55,6 +65,14 @@ def within_buffer(pairs: DataFrame, key: str = "stop_id", buffer: float = BUFFER
     return pairs.withColumn("_least", least).filter(F.sqrt("d2") <= F.col("_least") + buffer).drop("_least")
 
 
+def to_access_nodes(pairs: DataFrame, connectoids: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs of stops and zones with d2 to the closest access node of the zone; to the zone's own place if it has no connectoid."""
+    at = connectoids.select("zone_id", F.col("access_node").alias("node_id")).distinct().join(nodes.select("node_id", F.col("x").alias("_nx"), F.col("y").alias("_ny")), "node_id")
+    dx, dy = F.col("x") - F.col("_nx"), F.col("y") - F.col("_ny")
+    least = pairs.select("stop_id", "zone_id", "x", "y").join(at, "zone_id").groupBy("stop_id", "zone_id").agg(F.min(dx * dx + dy * dy).alias("_d2"))
+    return pairs.join(least, ["stop_id", "zone_id"], "left").withColumn("d2", F.coalesce("_d2", "d2")).drop("_d2")
+
+
 def bounding_box(nodes: DataFrame) -> DataFrame:
     return nodes.agg(F.min("x").alias("x_min"), F.max("x").alias("x_max"), F.min("y").alias("y_min"), F.max("y").alias("y_max"))
 
