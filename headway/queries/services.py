@@ -43,7 +43,6 @@ _STEPS = {
         FROM begun WINDOW w AS (PARTITION BY trip_id ORDER BY stop_sequence)) q WHERE nth > 1""",
     "first_dep": "SELECT trip_id, min_by(dep, stop_sequence) AS departure FROM begun GROUP BY trip_id",
     "schedule": """SELECT l.trip_id, l.route_id, l.mode, d.departure, string_agg(concat(from_stop, '>', to_stop, ':', duration, '+', dwell), ' ' ORDER BY nth) AS timings FROM leg l JOIN first_dep d ON d.trip_id = l.trip_id GROUP BY ALL""",
-    "has_path": "SELECT from_stop, to_stop, mode FROM leg WHERE (from_stop + to_stop) % 3 <> 0 GROUP BY ALL",
     "twice": """SELECT trip_id, stop_id, stop_sequence, arr, dep FROM stop_times UNION ALL SELECT trip_id, stop_id, stop_sequence, arr, dep FROM stop_times WHERE trip_id % 7 = 0""",
 }
 
@@ -91,7 +90,11 @@ def routes_removed_reason(spark, sf_dir):
 
 
 def routes_by_mode(spark, sf_dir):
-    return services.routed_services(_services(spark, sf_dir).routes).groupBy("mode").agg(F.count("*").alias("n_routes"), F.count_if("valid_name").alias("n_named"))
+    """Routes by mode, and how many have a name where every 11th lacks one and every 7th a blank one."""
+    rows = _services(spark, sf_dir).routes
+    bare = (F.col("route_id") % 11 == 0) | (F.col("route_id") % 7 == 0)
+    rows = rows.withColumns({"route_short_name": F.when(F.col("route_id") % 11 != 0, F.when(F.col("route_id") % 7 == 0, F.lit(" ")).otherwise(F.col("route_short_name"))), "route_long_name": F.when(~bare, F.col("route_long_name"))})
+    return services.routed_services(rows).groupBy("mode").agg(F.count("*").alias("n_routes"), F.count_if("valid_name").alias("n_named"))
 
 
 def routed_service_names(spark, sf_dir):
@@ -193,20 +196,6 @@ def route_type_counts(spark, sf_dir):
     return network.counts_by_type(s.routes, s.trips, s.stop_times)
 
 
-def _mapped(s: Services) -> DataFrame:
-    return s.segments.filter("(from_stop + to_stop) % 3 <> 0").select("from_stop", "to_stop", "mode")
-
-
-def mapped_service_network(spark, sf_dir):
-    s = _services(spark, sf_dir)
-    return network.mapped_network(s.segments, _mapped(s))
-
-
-def truncated_trips(spark, sf_dir):
-    s = _services(spark, sf_dir)
-    return network.truncated(s.legs, _mapped(s)).groupBy("trip_id", "part").agg(F.count("*").alias("n_legs"), F.min("nth").alias("first_leg"), F.sum("duration").alias("duration"))
-
-
 def feed_validation(spark, sf_dir):
     present = spark.createDataFrame([(n,) for n in ("agency", "stops", "routes", "trips", "stop_times", "calendar_dates", "translations")], "file string")
     return feed.presence_findings(present)
@@ -238,7 +227,7 @@ QUERIES = {f"scan_{n}": _scan(n) for n in ("agency", *CORE, "stops")} | {
         calendar_active_any, calendar_active_services, routes_name_filter, routes_removed_reason, routes_by_mode, routed_service_names, mode_compatibility,
         trips_active, trips_removed_reason, stop_times_in_window, trip_late_start, trip_strict_window, stop_time_duplicates, leg_timings, trip_departure,
         service_nodes, leg_segments_by_mode, legs_undirected, trips_without_legs, services_without_trips, modes_empty, consolidated_trips, distinct_departures,
-        routes_per_stop, modes_per_stop, removed_counts, route_type_counts, mapped_service_network, truncated_trips, feed_validation, extended_times, location_types,
+        routes_per_stop, modes_per_stop, removed_counts, route_type_counts, feed_validation, extended_times, location_types,
         row_lines, feed_needed_columns, flagship,
     )
 }
@@ -250,7 +239,7 @@ SQL = {f"scan_{n}": duckdb(f"SELECT * FROM {n}") for n in ("agency", *CORE, "sto
         "calendar_active_services": "SELECT * FROM active",
         "routes_name_filter": f"SELECT route_id, route_short_name FROM routes WHERE route_short_name NOT IN ({_NAMES})",
         "routes_removed_reason": "SELECT route_id, route_type, removal_reason FROM cls_routes WHERE removal_reason IS NOT NULL",
-        "routes_by_mode": "SELECT mode, count(*) AS n_routes, count(*) AS n_named FROM cls_routes WHERE removal_reason IS NULL GROUP BY mode",
+        "routes_by_mode": "SELECT mode, count(*) AS n_routes, count(*) FILTER (route_id % 11 <> 0 AND route_id % 7 <> 0) AS n_named FROM cls_routes WHERE removal_reason IS NULL GROUP BY mode",
         "routed_service_names": "SELECT route_id AS external_id, route_short_name AS name, route_long_name AS name_description, mode FROM cls_routes WHERE removal_reason IS NULL",
         "mode_compatibility": "SELECT DISTINCT a.mode, b.mode AS with_mode FROM mode_map a JOIN mode_map b USING (route_type)",
         "trips_active": "SELECT trip_id, route_id, mode FROM kept",
@@ -274,9 +263,6 @@ SQL = {f"scan_{n}": duckdb(f"SELECT * FROM {n}") for n in ("agency", *CORE, "sto
         "removed_counts": "SELECT 'route' AS kind, removal_reason, count(*) AS n FROM cls_routes WHERE removal_reason IS NOT NULL GROUP BY ALL UNION ALL SELECT 'trip', removal_reason, count(*) FROM cls_trips WHERE removal_reason IS NOT NULL GROUP BY ALL",
         "route_type_counts": """SELECT r.route_type, count(*) AS n_routes, CAST(sum(coalesce(t.n, 0)) AS BIGINT) AS n_trips, CAST(sum(coalesce(s.n, 0)) AS BIGINT) AS n_stop_times FROM cls_routes r LEFT JOIN (SELECT route_id, count(*) AS n FROM kept GROUP BY route_id) t ON t.route_id = r.route_id
             LEFT JOIN (SELECT route_id, count(*) AS n FROM begun GROUP BY route_id) s ON s.route_id = r.route_id WHERE r.removal_reason IS NULL GROUP BY r.route_type""",
-        "mapped_service_network": "SELECT from_stop, to_stop, mode, count(*) AS uses FROM leg SEMI JOIN has_path USING (from_stop, to_stop, mode) GROUP BY ALL",
-        "truncated_trips": """SELECT trip_id, part, count(*) AS n_legs, min(nth) AS first_leg, CAST(sum(duration) AS BIGINT) AS duration FROM (SELECT *, dense_rank() OVER (PARTITION BY trip_id ORDER BY run) AS part FROM (
-            SELECT *, nth - row_number() OVER (PARTITION BY trip_id ORDER BY nth) AS run FROM leg SEMI JOIN has_path USING (from_stop, to_stop, mode)) q) p GROUP BY trip_id, part""",
         "feed_validation": "SELECT * FROM (VALUES ('agency', 'ok'), ('stops', 'ok'), ('routes', 'ok'), ('trips', 'ok'), ('stop_times', 'ok'), ('calendar', 'absent'), ('calendar_dates', 'ok'), ('fare_attributes', 'absent'), ('fare_rules', 'absent'), ('shapes', 'absent'), ('frequencies', 'absent'), ('transfers', 'absent'), ('pathways', 'absent'), ('levels', 'absent'), ('feed_info', 'missing'), ('translations', 'ok'), ('attributions', 'absent')) v(file, status)",
         "extended_times": "SELECT trip_id, stop_sequence, format('{:02d}:{:02d}:{:02d}', dep // 3600, dep // 60 % 60, dep % 60) AS clock, CAST(dep AS INT) AS seconds, dep >= 86400 AS after_midnight, CAST(dep % 86400 AS INT) AS day_seconds FROM stop_times",
         "location_types": "SELECT s_suppkey AS stop_id, CAST(CASE WHEN s_suppkey % 7 = 0 THEN 0 WHEN s_suppkey % 7 <= 4 THEN s_suppkey % 7 END AS INT) AS location_type FROM supplier",

@@ -160,23 +160,12 @@ def link_costs(spark, sf_dir):
     return paths.edges(segments).select("segment_id", "mode", F.round("cost", 9).alias("cost"))
 
 
-def leg_shortest_path(spark, sf_dir):
-    """Paths of legs between consecutive matched stops; its own tests compare with plain Dijkstra."""
-    w = _World(spark, sf_dir)
-    rows = w.matches.select("stop_id", "zone_id").join(w.stops.select("stop_id", "mode"), "stop_id")
-    legs = rows.alias("a").join(rows.alias("b"), F.col("a.mode") == F.col("b.mode")).filter("a.stop_id < b.stop_id AND b.stop_id <= a.stop_id + 40")
-    legs = legs.select(F.col("a.stop_id").alias("from_stop"), F.col("b.stop_id").alias("to_stop"), F.col("a.mode").alias("mode"))
-    requests = paths.requests_for(legs, w.matches, w.connectoids, w.segments)
-    found = paths.leg_paths(requests, paths.edges(w.segments))
-    return found.select("from_stop", "to_stop", "mode", F.size("segments").alias("n_segments"), F.round("length", 6).alias("length_km"), F.round("cost", 6).alias("hours"))
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         network_bbox, stops_in_bbox, stop_near_links, stop_near_zones, closest_link, links_within_buffer, side_of_road, azimuth_diff, closest_zone, access_link_choice,
         zone_match_ranked, match_counters, new_zones, entry_segments, connectoids, snap_or_split, split_links, zone_modes, zone_registry, zone_overrides, zones_with_stops,
-        stops_excluded, location_override, unused_zone_cascade, link_costs, leg_shortest_path,
+        stops_excluded, location_override, unused_zone_cascade, link_costs,
     )
 }
 

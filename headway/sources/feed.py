@@ -1,7 +1,7 @@
 """Schedule feeds: a folder or a zip of comma-separated tables, as lazy DataFrames.
 
 Headers may be in any order, case and padding, lack columns or have unknown
-ones. A zip's members are unpacked once, a member a task, into a folder that all
+ones. A table is a file, or a folder of parts that all have the same header. A zip's members are unpacked once, a member a task, into a folder that all
 executors share (``spark.checkpoint.dir``). Files are read in splits, so a large
 table has as many tasks as its size asks for; only a table of which a field holds
 a line feed is read file by file (``multiline``; looked for once, by a scan of
@@ -110,6 +110,11 @@ class Feed:
         if not self.has(name):
             raise FeedError(f"{self.location} has no {name}.txt")
         path, store = _path(self.spark, f"{self.folder}/{name}.txt")
+        if store.getFileStatus(path).isDirectory():
+            parts = sorted(str(f.getPath()) for f in store.listStatus(path) if not f.getPath().getName().startswith(("_", ".")))
+            if not parts:
+                return []
+            path, store = _path(self.spark, parts[0])
         reader = self.spark._jvm.java.io.BufferedReader(self.spark._jvm.java.io.InputStreamReader(store.open(path), self.encoding))
         try:
             line = reader.readLine() or ""
