@@ -20,9 +20,17 @@ broadcast in turn, so the benchmark may be of any size; a block costs a pass
 over the texts, in place and without a shuffle. A passage that many documents
 share is found in each of them on its own.
 
-Null and empty texts match nothing, nor do items without words. Items with fewer
-words than a shingle match where they occur word by word. Equal items and
-repeated rows each get their rows. An empty benchmark gives no rows.
+Null and empty texts match nothing, nor do items without words. Very long texts
+are searched whole, in slices of windows. Items with fewer words than a shingle
+match where they occur word by word. Equal items and repeated rows each get their
+rows; of windows that are equally similar and near the first counts. An empty
+benchmark or table gives no rows. Columns besides doc_id and text are ignored or,
+by ``keep_clean``, passed on, so names cannot clash.
+
+What the fingerprints do: shingles narrow the windows and items down first, as
+blocks of a 64-bit fingerprint are not selective at these radii (``radius``); the
+distance then spares the exact comparison of most pairs (figures in
+``tests/llm/test_decontam_cases.py``).
 """
 
 from __future__ import annotations
@@ -45,6 +53,8 @@ ODDS, LEAST_RADIUS = 1e-5, 15
 PAIRS = 2_000_000
 BLOCK_WORDS = 250_000
 MEMO = 1_000_000
+#: Words whose hash bits (256 bytes each, and as much for their sums) are held at once.
+SLICE_WORDS = 50_000
 EDGES = ".,;:!?*&$%#|<>\"'`()[]{}-_/\\…“”‘’«»"
 POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 2**64) for k in range(N)], np.uint64)
 
@@ -208,7 +218,8 @@ class Items:
         best: dict[int, tuple[float, int, int, int]] = {}  # similarity, then the nearest and first window
         for n, spans in places.items():
             size = min(n, len(words))
-            for low, high in _merged(spans):
+            # A long run of windows is taken in slices, so memory follows the slice and not the text.
+            for low, high in (part for span in _merged(spans) for part in _sliced(*span, max(SLICE_WORDS - size, 1))):
                 bits = self._of(words[low : high + size])
                 counts: dict[int, Counter] = {}
                 for item, window, distance in self._candidates(n, fingerprints(bits, np.arange(high - low + 1), size), likely[n]):
@@ -221,6 +232,12 @@ class Items:
         return [(self.items[i][0], -start, size, -distance, s) for i, (s, distance, start, size) in sorted(best.items())]
 
 
+def _sliced(low: int, high: int, windows: int) -> Iterator[tuple[int, int]]:
+    """A run of windows in runs of at most so many."""
+    for first in range(low, high + 1, windows):
+        yield first, min(high, first + windows - 1)
+
+
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for low, high in sorted(spans):

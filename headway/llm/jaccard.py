@@ -20,8 +20,11 @@ matches); a pair needs as many shared prefix shingles as the smaller l of both.
 5. When few pairs across components are left, or a round leaves nine tenths of
    them, all with enough matches are verified: no link between components is lost.
 
-Texts without words are linked with nothing: size 0, own doc_id. Rows with equal
-doc_id count as different texts. A null doc_id never names a component; rows
+Texts without words are linked with nothing: size 0, own doc_id. Very long texts
+are taken whole; their sets are held one at a time. Equal texts are one class, so
+ties and repeated rows share a component; an empty table gives no rows. Columns
+besides doc_id and text are ignored or, by ``keep_first``, passed on. Rows with
+equal doc_id count as different texts. A null doc_id never names a component; rows
 without any other doc_id in their component have a null one.
 """
 
