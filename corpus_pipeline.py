@@ -4,6 +4,13 @@ Each stage takes (spark, docs, sf_dir), is written as Parquet and read again as
 the next one's docs. All but the last return the columns of ``documents``; the
 last returns the training order. The first, second and fourth drop the
 documents that they reject, the third all but the smallest doc_id of a group.
+
+Rows are judged one by one, so repeated rows fare alike until the third stage
+keeps one of each group. A row with a null or empty text fails the quality rules.
+A null doc_id, lang, source or n_chars decides nothing and is passed on; in the
+third stage null doc_ids stand behind all others, and in the last a null source is
+a source of its own. Extra columns are passed on by all but the last stage,
+whatever their names. An empty table gives empty stages.
 """
 
 from __future__ import annotations
