@@ -38,14 +38,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from headway.llm.base import small as _small
 from headway.llm.base import written
 from headway.llm.shingles import each_text, shingles
 
 MAX_FREQUENT, CHUNK, LOCAL = 1_000_000, 2_000_000, 3
 #: Costs in entries of the index; a shingle that is not frequent has RARE other holders on average.
 MIN_MATCHES, MAX_MATCHES, VERIFY_COST, RARE = 4, 12, 20.0, 0.5
-#: Tables of a few numbers a row are broadcast up to so many rows, and shuffled beyond.
-BROADCAST_ROWS = 1_000_000
 
 
 def _need(n: int, percent: int) -> int:
@@ -141,11 +140,6 @@ def profiles(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, matches int, prefix array<long>")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """``df`` (a written table) marked for broadcast if it has few enough rows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """cid and sorted set of each wanted class, from its text with the smallest doc_id (more than once if that row is repeated); wanted: (cid, doc, digest)."""
 
@@ -304,13 +298,15 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
 def keep_first(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """One row of each component of ``docs``, with its columns: the smallest doc_id, nulls last, then any one of equals.
 
-    Rows are told apart by a key of their own, so repeated rows and null doc_ids count as the copies that they are.
+    Rows are told apart by a key of their own, so repeated rows and null doc_ids count as the copies that they are. The
+    keys of rows to leave out are sent to where the texts lie if they are at most ``base.BROADCAST_ROWS``; no text is shuffled then.
     """
-    keyed = written(docs.withColumn("_row", F.monotonically_increasing_id()))
-    linked = join(keyed.select(F.col("_row").alias("doc_id"), "text"), n, percent)
-    linked = linked.filter("n_shingles > 0").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_component"))
+    whole = F.struct(*[F.col(c) for c in docs.columns]).alias("_whole")
+    keyed = written(docs.select("doc_id", "text", whole).withColumn("_row", F.monotonically_increasing_id()).drop("text"))
+    texts = keyed.select(F.col("_row").alias("doc_id"), F.col("_whole.text").alias("text"))
+    linked = join(texts, n, percent).filter("n_shingles > 0").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_component"))
     rows = written(linked.join(keyed.select("_row", "doc_id"), "_row"))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"]
     groups = rows.groupBy("_component").agg(first.alias("_first"), F.count("*").alias("_rows")).filter("_rows > 1")
-    gone = rows.join(groups, "_component").filter("_row <> _first").select("_row")
-    return keyed.join(gone, "_row", "left_anti").select(docs.columns)
+    gone = written(rows.join(groups, "_component").filter("_row <> _first").select("_row"))
+    return keyed.join(_small(gone), "_row", "left_anti").select("_whole.*")
