@@ -221,6 +221,37 @@ def feed_needed_columns(spark, sf_dir):
     return trips.select(*[c for c in schema.kept_columns("routes", "needed") if c in trips.columns])
 
 
+def mode_map_original(spark, sf_dir):
+    return ModeMap("ORIGINAL").rows(spark)
+
+
+def mode_map_on_roads(spark, sf_dir):
+    """The extended map less the types none of whose modes runs on roads, and less one that is switched off."""
+    kept = ModeMap()
+    kept.only_tracks(["ROAD"])
+    kept.deactivate(700)
+    return kept.rows(spark)
+
+
+def mode_tracks(spark, sf_dir):
+    """Routes by the track of their mode."""
+    track = F.coalesce(*[F.when(F.col("mode") == m, F.lit(t)) for m, (t, _) in modes.MODES.items()])
+    return _services(spark, sf_dir).routes.filter("removal_reason is null").groupBy(track.alias("track")).agg(F.count("*").alias("n_routes"))
+
+
+def routes_only_names(spark, sf_dir):
+    return services.filter_names(spark_tables(spark, sf_dir, "routes")["routes"], only=EXCLUDED).select("route_id", "route_short_name")
+
+
+def stop_times_two_periods(spark, sf_dir):
+    """Stop times in two periods, where a service of both days also counts after midnight; a third period overlaps and is not taken."""
+    periods: list[tuple[int, int]] = []
+    for a, b in ((6, 8), (17, 19), (7, 18)):
+        periods = time.add_period(periods, a * 3600, b * 3600)
+    rows = _services(spark, sf_dir).raw_stop_times
+    return rows.filter(services.in_window(periods, both_days=True)).groupBy("mode").agg(F.count("*").alias("n_rows"), F.sum("dep").alias("total"))
+
+
 QUERIES = {f"scan_{n}": _scan(n) for n in ("agency", *CORE, "stops")} | {
     f.__name__: f
     for f in (
@@ -228,7 +259,7 @@ QUERIES = {f"scan_{n}": _scan(n) for n in ("agency", *CORE, "stops")} | {
         trips_active, trips_removed_reason, stop_times_in_window, trip_late_start, trip_strict_window, stop_time_duplicates, leg_timings, trip_departure,
         service_nodes, leg_segments_by_mode, legs_undirected, trips_without_legs, services_without_trips, modes_empty, consolidated_trips, distinct_departures,
         routes_per_stop, modes_per_stop, removed_counts, route_type_counts, feed_validation, extended_times, location_types,
-        row_lines, feed_needed_columns, flagship,
+        row_lines, feed_needed_columns, flagship, mode_map_original, mode_map_on_roads, mode_tracks, routes_only_names, stop_times_two_periods,
     )
 }
 _SCHEDULED = "SELECT route_id FROM schedule"
@@ -268,6 +299,12 @@ SQL = {f"scan_{n}": duckdb(f"SELECT * FROM {n}") for n in ("agency", *CORE, "sto
         "location_types": "SELECT s_suppkey AS stop_id, CAST(CASE WHEN s_suppkey % 7 = 0 THEN 0 WHEN s_suppkey % 7 <= 4 THEN s_suppkey % 7 END AS INT) AS location_type FROM supplier",
         "row_lines": "SELECT concat('TRIP: trip_id ', trip_id, ', route_id ', route_id, ', service_id ', service_id) AS line FROM trips",
         "feed_needed_columns": "SELECT route_id, route_short_name, route_long_name, route_type FROM routes",
+        "mode_map_original": "SELECT * FROM (VALUES (0, 'LIGHTRAIL', true), (0, 'TRAM', false), (1, 'SUBWAY', true), (2, 'TRAIN', true), (3, 'BUS', true), (4, 'FERRY', true), (11, 'BUS', true)) v(route_type, mode, is_primary)",
+        "mode_map_on_roads": "SELECT route_type, mode, is_primary FROM mode_map WHERE mode = 'BUS' AND route_type <> 700",
+        "mode_tracks": "SELECT CASE mode WHEN 'BUS' THEN 'ROAD' WHEN 'FERRY' THEN 'WATER' ELSE 'RAIL' END AS track, count(*) AS n_routes FROM cls_routes WHERE removal_reason IS NULL GROUP BY ALL",
+        "routes_only_names": f"SELECT route_id, route_short_name FROM routes WHERE route_short_name IN ({_NAMES})",
+        "stop_times_two_periods": """SELECT k.mode, count(*) AS n_rows, CAST(sum(s.dep) AS BIGINT) AS total FROM stop_times s JOIN kept k ON k.trip_id = s.trip_id WHERE (k.today AND (s.dep BETWEEN 21600 AND 28800 OR s.dep BETWEEN 61200 AND 68400))
+            OR (k.yesterday AND s.dep >= 86400 AND (s.dep - 86400 BETWEEN 21600 AND 28800 OR s.dep - 86400 BETWEEN 61200 AND 68400)) GROUP BY k.mode""",
         "flagship": f"""SELECT mode, count(*) AS n_trips, CAST(sum(n) AS BIGINT) AS n_stop_times FROM (SELECT trip_id, mode, count(*) AS n FROM begun GROUP BY ALL HAVING count(*) >= 2) q GROUP BY mode""",
     }.items()
 }

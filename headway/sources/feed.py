@@ -85,10 +85,13 @@ def normal(header: Iterable[str]) -> list[str]:
 
 
 class Feed:
-    """The tables at a location. ``register`` adds a transformation that ``table`` then applies."""
+    """The tables at a location. ``register`` adds a transformation that ``table`` then applies.
 
-    def __init__(self, spark: SparkSession, location: str, encoding: str = "UTF-8"):
-        self.spark, self.location, self.encoding = spark, location, encoding
+    ``line_feeds`` says whether fields may hold line feeds; by default each table is looked through for them once.
+    """
+
+    def __init__(self, spark: SparkSession, location: str, encoding: str = "UTF-8", line_feeds: bool | None = None):
+        self.spark, self.location, self.encoding, self.line_feeds = spark, location, encoding, line_feeds
         path, store = _path(spark, location)
         if not store.exists(path):
             raise FeedError(f"no feed at {location}")
@@ -133,6 +136,8 @@ class Feed:
 
     def multiline(self, name: str) -> bool:
         """Whether a field of the table holds a line feed: some line has an odd number of quotes. Asked once per table."""
+        if self.line_feeds is not None:
+            return self.line_feeds
         if name not in self._multiline:
             lines = self.spark.read.option("encoding", self.encoding).text(f"{self.folder}/{name}.txt")
             odd = F.char_length("value") - F.char_length(F.replace("value", F.lit('"'), F.lit("")))
