@@ -108,8 +108,9 @@ def closest_zone_access(spark, sf_dir):
 
 
 def connectoids_by_node(spark, sf_dir):
-    w = _world(spark, sf_dir)
-    at = matching.snapped(w.access, w.nodes).filter("not is_new").select(F.col("access_node").alias("node_id"))
+    """At both ends of the stops' links."""
+    w = zoning._World(spark, sf_dir)
+    at = w.access.select(F.explode(F.array("node_a", "node_b")).alias("node_id"))
     return matching.connectoids_at(at, w.connectoids).select("node_id", "connectoid_id", "zone_id", "segment_id")
 
 
@@ -253,7 +254,7 @@ SQL = {
             WHERE EXISTS (SELECT 1 FROM compat k WHERE k.mode = p.mode AND list_contains(m.zm, k.with_mode)) AND (p.mode <> 'BUS' OR coalesce(sd.any_on_side, false))) q WHERE priority IS NOT NULL) r WHERE pick = 1""",
         "closest_zone_access": """SELECT stop_id, zone_id, d2 FROM (SELECT *, row_number() OVER (PARTITION BY stop_id ORDER BY d2, zone_id) AS pick FROM (SELECT p.stop_id, p.zone_id, coalesce(min((p.x - n.x) * (p.x - n.x) + (p.y - n.y) * (p.y - n.y)), any_value(p.d2)) AS d2
             FROM zpair p LEFT JOIN connectoids c ON c.zone_id = p.zone_id LEFT JOIN nodes n ON n.node_id = c.access_node GROUP BY p.stop_id, p.zone_id) q) r WHERE pick = 1""",
-        "connectoids_by_node": "SELECT s.access_node AS node_id, c.connectoid_id, c.zone_id, c.segment_id FROM (SELECT DISTINCT access_node FROM snapped WHERE access_node IS NOT NULL) s JOIN connectoids c ON c.access_node = s.access_node",
+        "connectoids_by_node": "SELECT s.node_id, c.connectoid_id, c.zone_id, c.segment_id FROM (SELECT node_a AS node_id FROM chosen UNION SELECT node_b FROM chosen) s JOIN connectoids c ON c.access_node = s.node_id",
         "widened_connectoids": """SELECT c.connectoid_id, array_to_string(list_sort(list_distinct(list_concat(string_split(c.modes, ','), list_filter(coalesce(m.more, []), lambda x: list_contains(string_split(g.modes, ','), x))))), ',') AS modes
             FROM connectoids c JOIN segments g ON g.segment_id = c.segment_id LEFT JOIN (SELECT b.zone_id, list(DISTINCT k.with_mode) AS more FROM best b JOIN stops s ON s.stop_id = b.stop_id JOIN compat k ON k.mode = s.mode GROUP BY b.zone_id) m ON m.zone_id = c.zone_id""",
         "zoning_counters": """SELECT CASE priority WHEN 3 THEN 'platform' WHEN 4 THEN 'access_link' ELSE 'angle' END AS outcome, count(*) AS n FROM best GROUP BY ALL UNION ALL SELECT 'created', count(*) FROM fresh UNION ALL SELECT 'stops', count(*) FROM stops

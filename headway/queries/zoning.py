@@ -105,7 +105,7 @@ def snap_or_split(spark, sf_dir):
 
 def split_links(spark, sf_dir):
     w = _World(spark, sf_dir)
-    return matching.split_links(w.links, matching.snapped(w.access, w.nodes))
+    return matching.split_links(w.links, matching.snapped(w.access, w.nodes)).drop("geometry")
 
 
 def zone_modes(spark, sf_dir):
