@@ -301,12 +301,12 @@ def keep_first(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     Rows are told apart by a key of their own, so repeated rows and null doc_ids count as the copies that they are. The
     keys of rows to leave out are sent to where the texts lie if they are at most ``base.BROADCAST_ROWS``; no text is shuffled then.
     """
-    whole = F.struct(*[F.col(c) for c in docs.columns]).alias("_whole")
-    keyed = written(docs.select("doc_id", "text", whole).withColumn("_row", F.monotonically_increasing_id()).drop("text"))
-    texts = keyed.select(F.col("_row").alias("doc_id"), F.col("_whole.text").alias("text"))
-    linked = join(texts, n, percent).filter("n_shingles > 0").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_component"))
-    rows = written(linked.join(keyed.select("_row", "doc_id"), "_row"))
+    row = next(c for c in (f"_row{i}" for i in range(len(docs.columns) + 1)) if c not in docs.columns)
+    keyed = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    linked = join(keyed.select(F.col(row).alias("doc_id"), "text"), n, percent).filter("n_shingles > 0")
+    linked = linked.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_component"))
+    rows = written(linked.join(keyed.select(F.col(row).alias("_row"), "doc_id"), "_row"))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"]
     groups = rows.groupBy("_component").agg(first.alias("_first"), F.count("*").alias("_rows")).filter("_rows > 1")
-    gone = written(rows.join(groups, "_component").filter("_row <> _first").select("_row"))
-    return keyed.join(_small(gone), "_row", "left_anti").select("_whole.*")
+    gone = written(rows.join(groups, "_component").filter("_row <> _first").select(F.col("_row").alias(row)))
+    return keyed.join(_small(gone), row, "left_anti").select(docs.columns)
