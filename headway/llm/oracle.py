@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from headway.llm import chat, quality
+from headway.llm import audit, chat, quality, repair
 from headway.llm.base import LOWER, UPPER
 
 _SPLIT = r"'[\x20\x09-\x0D]+'"
@@ -70,4 +70,76 @@ reach AS (SELECT doc_id, doc_id AS other FROM w UNION SELECT r.doc_id, l.b FROM
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, r.component_id FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) r ON r.doc_id = w.doc_id
 """
 
-SQL = {"op2_warc": OP2, "op4_chat": OP4, "op6_quality": OP6, "op8_jaccard": OP8}
+OP12 = rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS body FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(body, {_SPLIT}), lambda x: x <> '') AS ws FROM d),
+m AS (SELECT doc_id, part, CAST(len(ws) < {audit.MIN_WORDS} AS INT) + 2 * CAST(100 * len(list_distinct(ws)) < {audit.DISTINCT_PERCENT} * len(ws) AS INT)
+  + 4 * CAST(100 * (length(body) - length(regexp_replace(body, '[A-Z]', '', 'g'))) > {audit.UPPER_PERCENT} * length(body) AS INT) + 8 * CAST(regexp_matches(body, '[#$%&*|]') AS INT)
+  + 16 * CAST(coalesce(doc_id > min(doc_id) OVER (PARTITION BY body), false) AS INT) AS mask FROM w),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM m LEFT JOIN l ON l.doc_id = m.doc_id GROUP BY part, mask),
+f AS (SELECT substr('ABCDE', i, 1) AS letter, CAST(2 ** (i - 1) AS INT) AS bit FROM range(1, 6) r(i)),
+o AS (SELECT concat(a.letter, b.letter, x.letter, y.letter, z.letter) AS filter_order, [a.bit, b.bit, x.bit, y.bit, z.bit] AS bits FROM f a, f b, f x, f y, f z
+  WHERE a.bit + b.bit + x.bit + y.bit + z.bit = 31 AND a.bit | b.bit | x.bit | y.bit | z.bit = 31),
+s AS (SELECT filter_order, CAST(k AS INT) AS step, bits[k] AS bit, CAST(coalesce(list_sum(bits[1:k - 1]), 0) AS INT) AS gone FROM o, range(1, 6) r(k)),
+t AS (SELECT part, filter_order, step, bit, coalesce(sum(n) FILTER (mask & (gone | bit) = 0), 0) AS kept, coalesce(sum(n) FILTER (mask & bit > 0 AND mask & gone = 0), 0) AS removed,
+  coalesce(sum(n) FILTER (mask & bit > 0 AND mask & gone > 0), 0) AS redundant, coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails,
+  coalesce(sum(good) FILTER (mask & bit > 0 AND mask & gone = 0), 0) AS good_lost, coalesce(sum(toxic) FILTER (mask & bit > 0 AND mask & gone = 0), 0) AS toxic_lost FROM c, s GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step, {", ".join(f"CAST({x} AS BIGINT) AS {x}" for x in audit.COUNTS[:-1])}, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM t
+"""
+
+#: Of each state (e: nothing, s, u, a) the next one by an edit; from which states an initial may be kept, and to which it leads.
+_NEXT = {"e": "u", "s": "u", "u": "a", "a": "u"}
+_ROLES = {"u": "user", "a": "assistant"}
+_KEEPS = {"s": [("e", "s")], "u": [("e", "u"), ("s", "u"), ("a", "u")], "a": [("u", "a")]}
+
+
+def _grown(way: str, cost: str, edit: str, line: str | None = None) -> str:
+    """A way (cost, audit, repaired text) with one more edit; null ways stay null."""
+    text = f"{way}.t" if line is None else f"concat({way}.t, CASE WHEN {way}.t = '' THEN '' ELSE chr(10) END, {line})"
+    return f"CASE WHEN {way} IS NOT NULL THEN {{'c': {way}.c + {cost}, 'w': concat({way}.w, '{edit}'), 't': {text}}} END"
+
+
+def _least(*ways: str) -> str:
+    return f"least({', '.join(ways)})" if len(ways) > 1 else ways[0]
+
+
+def _taken(state: str) -> str:
+    """The best way that has just taken a row and ends in ``state``."""
+    ways = [f"CASE WHEN NOT must_go AND initial = '{k}' THEN {_grown(f'b.{q}', 'more', 'K', own)} END" for k, moves in _KEEPS.items() for q, to in moves if to == state for own in ["concat(role, ':', body)"]]
+    ways += [f"CASE WHEN NOT must_go THEN {_grown(f'b.{q}', f'({repair.REROLE} + more)', 'R', own)} END" for q, to in _NEXT.items() if to == state for own in [f"concat('{_ROLES[to]}:', body)"]]
+    return _least(_grown(f"b.{state}", str(repair.DELETE), "D"), *ways)
+
+
+def _put_in(state: str) -> str:
+    """The best way to ``state`` with turns put in after what was taken."""
+    return _least(f"n.{state}", *[_grown(f"n.{q}", str(repair.INSERT), "I", f"'{_ROLES[state]}:'") for q, to in _NEXT.items() if to == state])
+
+
+_CLOSED = "".join(
+    f", {name} AS (SELECT n.* EXCLUDE (e, s, u, a), n.e, n.s, {_put_in('u')} AS u, {_put_in('a')} AS a FROM {below} n)" for name, below in (("p1", "taken"), ("p2", "p1"), ("p3", "p2"))
+)
+_WAY = "STRUCT(c BIGINT, w VARCHAR, t VARCHAR)"
+OP13 = rf"""
+WITH RECURSIVE steps AS (SELECT i, i AS c, 0 AS k FROM range(256) r(i) UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS of FROM steps WHERE k = 8),
+r AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS body, concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' ')) AS key FROM conversations),
+h AS (SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(key, ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c >> 8, of[1 + (xor(c, b) & 255)])), 4294967295) % 20 AS harm FROM r, crc),
+g AS (SELECT conv_id, turn, CASE WHEN harm = 4 THEN 'user' ELSE role END AS role, CASE WHEN harm = 1 THEN '' WHEN harm = 2 THEN regexp_replace(body, '[.!?]', '', 'g') ELSE body END AS body, unnest(range(CASE WHEN harm = 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE harm <> 0),
+o AS (SELECT *, substr(role, 1, 1) AS initial, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(body), copy) AS i, regexp_replace(body, '[ 	-]+$', '') AS bare FROM g),
+x AS (SELECT *, bare = '' AS blank, row_number() OVER (PARTITION BY conv_id, role, body ORDER BY i) > 1 AND bare <> '' AS again, right(bare, 1) NOT IN ('.', '!', '?') AS cut FROM o),
+z AS (SELECT *, blank OR again AS must_go, NOT blank AND NOT again AND cut AS truncated, CASE WHEN cut THEN {repair.TRUNCATED} ELSE 0 END AS more, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS earlier FROM x),
+n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again) AS duplicate, count(*) FILTER (truncated) AS truncated,
+  count(*) FILTER (earlier IS NOT NULL AND concat(earlier, initial) NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM z GROUP BY conv_id),
+ids AS (SELECT DISTINCT conv_id FROM conversations),
+b AS (SELECT conv_id, 0::BIGINT AS i, {{'c': 0, 'w': '', 't': ''}}::{_WAY} AS e, NULL::{_WAY} AS s, {_grown("{'c': 0, 'w': '', 't': ''}", str(repair.INSERT), "I", "'user:'")}::{_WAY} AS u,
+    {{'c': {2 * repair.INSERT}, 'w': 'II', 't': concat('user:', chr(10), 'assistant:')}}::{_WAY} AS a FROM ids
+  UNION ALL (
+    WITH taken AS (SELECT b.conv_id, z.i, {", ".join(f"{_taken(q)}::{_WAY} AS {q}" for q in "esua")} FROM b JOIN z ON z.conv_id IS NOT DISTINCT FROM b.conv_id AND z.i = b.i + 1){_CLOSED}
+    SELECT conv_id, i, e::{_WAY}, s::{_WAY}, u::{_WAY}, a::{_WAY} FROM p3)),
+best AS (SELECT ids.conv_id, least(b.e, b.a) AS way FROM ids LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM ids.conv_id JOIN b ON b.conv_id IS NOT DISTINCT FROM ids.conv_id AND b.i = coalesce(n.n, 0))
+SELECT best.conv_id, {", ".join(f"CAST(coalesce(n.{x}, 0) AS BIGINT) AS {x}" for x in "gaps blank duplicate truncated illegal".split())}, CAST(way.c AS BIGINT) AS cost, way.w AS audit, sha256(way.t) AS repaired_sha256
+FROM best LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM best.conv_id
+"""
+
+SQL = {"op12_filter_audit": OP12, "op13_conversation_repair": OP13, "op2_warc": OP2, "op4_chat": OP4, "op6_quality": OP6, "op8_jaccard": OP8}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headway.llm import chat, decontam, html_text, jaccard, mixing, oracle, quality, tokens, toxicity, urls, warc
+from headway.llm import audit, chat, decontam, html_text, jaccard, mixing, oracle, pieces, quality, repair, tokens, toxicity, urls, warc
 from headway.llm.base import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired(repair.damaged(table(spark, sf_dir, "conversations")), table(spark, sf_dir, "conversations").select("conv_id"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op2_warc": op2_warc,
@@ -72,5 +86,8 @@ QUERIES: dict[str, Query] = {
     "op8_jaccard": op8_jaccard,
     "op9_urls": op9_urls,
     "op10_toxicity": op10_toxicity,
+    "op11_sentencepiece": op11_sentencepiece,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLE_SQL: dict[str, str] = oracle.SQL
