@@ -5,8 +5,9 @@ the text alone; the fifth (``DUPLICATE``) fails whatever has the text of a
 smaller doc_id, and is found by routing fingerprints:
 
 1. tasks read texts where they lie, and settle copies among the rows at hand: of
-   each text only the rows with the least id stay open, all others have failed;
-2. open rows go to the partition of their text's xxhash64, sorted by it; there
+   each text only the rows with the least id stay open, all others have failed.
+   That is written, so a lost executor costs no second look at the texts;
+2. open rows go as an RDD to the partition of their text's xxhash64, sorted by it; there
    the chain of a fingerprint holds each of its texts in full with the least id so
    far, and whatever is not the least is passed on as failed;
 3. the narrow rows that come out are joined to the labels, and per source
@@ -34,6 +35,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import permutations
 
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -88,20 +90,25 @@ def _meet(chain: Chain, doc_id, sources: dict[str, int]) -> Iterator[tuple]:
         chain[3][source] = chain[3].get(source, 0) + n
 
 
-def _settled(row: tuple) -> tuple[int, tuple]:
+def _fingerprint(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode()) - (1 << 63)
+
+
+def _settled(row: tuple) -> tuple:
     """A row that needs no chain, spread by its id."""
-    return xxhash.xxh64_intdigest(str(row[0])), (None, *row)
+    return _fingerprint(str(row[0])), None, *row
 
 
-def _scan(rows: Iterable) -> Iterator[tuple[int, tuple]]:
-    """(fingerprint, (text, doc_id, mask, sources)) of open rows, (anything, (None, doc_id, mask, source, rows)) of others."""
+def _scan(rows: Iterable) -> Iterator[tuple]:
+    """(fingerprint, text, doc_id, mask, source, rows) of (doc_id, text, source); the text of settled rows is null, their fingerprint means nothing."""
     held: dict[str, Chain] = {}
     bare: Counter = Counter()
     size = 0
 
-    def opened() -> Iterator[tuple[int, tuple]]:
+    def opened() -> Iterator[tuple]:
         for text, chain in held.items():
-            yield xxhash.xxh64_intdigest(text.encode()), (text, chain[1], chain[2], tuple(chain[3].items()))
+            for source, n in chain[3].items():
+                yield _fingerprint(text), text, chain[1], chain[2], source, n
         held.clear()
 
     for doc_id, text, source in rows:
@@ -125,28 +132,59 @@ def _chained(rows: Iterable[tuple[int, tuple]]) -> Iterator[tuple]:
     """(doc_id, mask, source, rows) of rows sorted by fingerprint."""
     chains: list[Chain] = []
     last = None
-    heads = lambda: ((c[1], c[2], source, n) for c in chains for source, n in c[3].items())
-    for fingerprint, (text, doc_id, mask, *more) in rows:
+    heads = lambda: ((c[1], c[2], *x) for c in chains for x in c[3].items())
+    for fingerprint, (text, doc_id, mask, source, n) in rows:
         if text is None:
-            yield (doc_id, mask, *more)
+            yield doc_id, mask, source, n
             continue
         if fingerprint != last:
             yield from heads()
             chains, last = [], fingerprint
         chain = next((c for c in chains if c[0] == text), None)
         if chain:
-            yield from _meet(chain, doc_id, dict(more[0]))
+            yield from _meet(chain, doc_id, {source: n})
         else:
-            chains.append([text, doc_id, mask, dict(more[0])])
+            chains.append([text, doc_id, mask, {source: n}])
     yield from heads()
 
 
+#: Rows that a task hands over at once; fewer where texts are long.
+BATCH_ROWS, BATCH_CHARS = 2000, 4_000_000
+
+
+def _scanned(docs: DataFrame) -> DataFrame:
+    """What :func:`_scan` makes of each task's rows."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = docs.schema["doc_id"].dataType
+    names = "fingerprint text doc_id mask source rows".split()
+    types = [pa.int64(), pa.string(), to_arrow_type(kind), pa.int32(), pa.string(), pa.int64()]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, chars = [], 0
+        for row in _scan(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)):
+            rows.append(row)
+            chars += len(row[1] or "")
+            if len(rows) >= BATCH_ROWS or chars > BATCH_CHARS:
+                yield batch(rows)
+                rows, chars = [], 0
+        if rows:
+            yield batch(rows)
+
+    whole = docs.select("doc_id", F.coalesce("text", F.lit("")), F.coalesce(F.col("source").cast("string"), F.lit("")))
+    return whole.mapInArrow(run, f"fingerprint long, text string, doc_id {kind.simpleString()}, mask int, source string, rows long")
+
+
 def masks(docs: DataFrame) -> DataFrame:
     """(doc_id, mask, part, rows): which filters each document fails; rows with one doc_id, mask and part are counted in one."""
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")), F.coalesce(F.col("source").cast("string"), F.lit(""))).rdd
+    rows = written(_scanned(docs)).rdd
     parts = max(rows.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    routed = rows.mapPartitions(_scan).repartitionAndSortWithinPartitions(parts, lambda fingerprint: fingerprint).mapPartitions(_chained)
+    keyed = rows.map(lambda r: (r[0], tuple(r[1:])))
+    routed = keyed.repartitionAndSortWithinPartitions(parts, lambda fingerprint: fingerprint).mapPartitions(_chained)
     found = spark.createDataFrame(routed, f"doc_id {kind}, mask int, part string, rows long", verifySchema=False)
     return written(found.groupBy("doc_id", "mask", "part").agg(F.sum("rows").alias("rows")))
 

@@ -68,13 +68,13 @@ def test_copies_nulls_and_repeats(spark, monkeypatch, held):
 
 def test_fingerprints_that_collide_keep_their_texts_apart(spark, monkeypatch):
     rows = [("t1", 5), ("t2", 3), ("t1", 4), ("t2", 9), ("t3", 1)]
-    routed = sorted(((0, (t, i, 0, (("s", 1),))) for t, i in rows), key=lambda r: r[0])
+    routed = sorted(((0, (t, i, 0, "s", 1)) for t, i in rows), key=lambda r: r[0])
     assert sorted(audit._chained(routed)) == sorted([(5, 16, "s", 1), (4, 0, "s", 1), (3, 0, "s", 1), (9, 16, "s", 1), (1, 0, "s", 1)])
 
 
 def test_hot_text_is_shuffled_once_a_task():
-    opened = [x for x in audit._scan([(i, "hot", "s") for i in range(1000, 0, -1)]) if x[1][0] is not None]
-    assert len(opened) == 1 and opened[0][1][1] == 1
+    opened = [x for x in audit._scan([(i, "hot", "s") for i in range(1000, 0, -1)]) if x[1] is not None]
+    assert len(opened) == 1 and opened[0][2] == 1
 
 
 def test_long_texts_are_counted_in_slices(monkeypatch):
