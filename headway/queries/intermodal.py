@@ -145,27 +145,27 @@ def appended_ids(spark, sf_dir):
 
 # -- paths and what follows from them -----------------------------------------
 
-def _sought(spark, sf_dir, s) -> DataFrame:
-    """Legs both of whose stops have a zone with access for the mode, so that a path can be sought."""
+def _leg_paths(spark, sf_dir, s) -> DataFrame:
     w = _world(spark, sf_dir)
-    return paths.requests_for(s.segments, w.matches, w.connectoids, w.segments).select("from_stop", "to_stop", "mode").distinct()
+    requests = paths.requests_for(s.segments, w.matches, w.connectoids, w.segments)
+    return paths.leg_paths(requests, paths.edges(w.segments))
 
 
 def mapped_service_network(spark, sf_dir):
     s = services._services(spark, sf_dir)
-    return network.mapped_network(s.segments, _sought(spark, sf_dir, s))
+    return network.mapped_network(s.segments, written(_leg_paths(spark, sf_dir, s)))
 
 
 def truncated_trips(spark, sf_dir):
     s = services._services(spark, sf_dir)
-    parts = network.truncated(s.legs, _sought(spark, sf_dir, s))
+    parts = network.truncated(s.legs, written(_leg_paths(spark, sf_dir, s)))
     return parts.groupBy("trip_id", "part").agg(F.count("*").alias("n_legs"), F.min("nth").alias("first_leg"), F.sum("duration").alias("duration"))
 
 
 def consolidated_parts(spark, sf_dir):
     """Parts of trips, equal ones as one again."""
     s = services._services(spark, sf_dir)
-    rows = network.consolidated(network.part_schedules(network.truncated(s.legs, _sought(spark, sf_dir, s))))
+    rows = network.consolidated(network.part_schedules(network.truncated(s.legs, written(_leg_paths(spark, sf_dir, s)))))
     return rows.select("route_id", "mode", services._timings().alias("timings"), "n_trips", F.array_join(F.transform("departures", lambda d: d.cast("string")), ",").alias("departures"))
 
 
@@ -177,11 +177,10 @@ def path_requests(spark, sf_dir):
 
 
 def leg_shortest_path(spark, sf_dir):
-    """The path of every leg of the service network that has one; a test compares with plain search."""
-    s, w = services._services(spark, sf_dir), _world(spark, sf_dir)
-    requests = paths.requests_for(s.segments, w.matches, w.connectoids, w.segments)
-    found = paths.leg_paths(requests, paths.edges(w.segments))
-    return found.select("from_stop", "to_stop", "mode", F.size("segments").alias("n_segments"), F.round("length", 6).alias("length_km"), F.round("cost", 6).alias("hours"))
+    """The path of every leg of the service network that has one."""
+    found = _leg_paths(spark, sf_dir, services._services(spark, sf_dir))
+    shown = F.array_join(F.transform("segments", lambda i: i.cast("string")), ",")
+    return found.select("from_stop", "to_stop", "mode", F.size("segments").alias("n_segments"), F.round("length", 6).alias("length_km"), F.round("cost", 6).alias("hours"), shown.alias("segments"))
 
 
 def _intermodal(spark, sf_dir) -> Intermodal:
@@ -218,9 +217,29 @@ _STEPS = zoning._STEPS | services._STEPS | {
     "sided": f"SELECT stop_id, zone_id, bool_or(good) AS any_on_side, bool_and(good) AS all_on_side FROM ({_SIDE}) q GROUP BY stop_id, zone_id",
     "leg3": """SELECT * FROM (SELECT trip_id, route_id, mode, lag(stop_id) OVER w AS from_stop, stop_id AS to_stop, arr - lag(dep) OVER w AS duration, dep - arr AS dwell, lag(dep) OVER w AS started, row_number() OVER w AS nth
         FROM begun WINDOW w AS (PARTITION BY trip_id ORDER BY stop_sequence)) q WHERE nth > 1""",
-    "sought": """SELECT DISTINCT l.from_stop, l.to_stop, l.mode FROM (SELECT DISTINCT from_stop, to_stop, mode FROM leg3) l JOIN best a ON a.stop_id = l.from_stop JOIN best b ON b.stop_id = l.to_stop
-        JOIN connectoids c ON c.zone_id = a.zone_id AND list_contains(string_split(c.modes, ','), l.mode) JOIN connectoids d ON d.zone_id = b.zone_id AND list_contains(string_split(d.modes, ','), l.mode)""",
-    "parted": """SELECT *, dense_rank() OVER (PARTITION BY trip_id ORDER BY run) AS part FROM (SELECT *, nth - row_number() OVER (PARTITION BY trip_id ORDER BY nth) AS run FROM leg3 SEMI JOIN sought USING (from_stop, to_stop, mode)) q""",
+    "asked": """SELECT DISTINCT l.from_stop, l.to_stop, l.mode, c.access_node AS origin, g.from_node AS target, d.access_node AS finish, d.segment_id AS last,
+            list_sort(list_distinct(list_filter([CASE WHEN d.segment_id % 2 = 0 THEN d.segment_id + 1 ELSE d.segment_id - 1 END, CASE WHEN l.mode = 'BUS' THEN CASE WHEN c.segment_id % 2 = 0 THEN c.segment_id + 1 ELSE c.segment_id - 1 END END], lambda x: x IS NOT NULL))) AS banned
+            FROM (SELECT DISTINCT from_stop, to_stop, mode FROM leg3) l JOIN best a ON a.stop_id = l.from_stop JOIN best b ON b.stop_id = l.to_stop JOIN connectoids c ON c.zone_id = a.zone_id AND list_contains(string_split(c.modes, ','), l.mode)
+            JOIN connectoids d ON d.zone_id = b.zone_id AND list_contains(string_split(d.modes, ','), l.mode) JOIN segments g ON g.segment_id = d.segment_id""",
+    "edge": f"""SELECT segment_id, from_node, to_node, mode, length_km, CAST(round(length_km / least(speed_kmh, CASE mode {" ".join(f"WHEN '{m}' THEN {v}" for m, (_, v) in modes.MODES.items())} END) * {paths.TICKS}) AS BIGINT) AS ticks
+            FROM (SELECT *, unnest(string_split(modes, ',')) AS mode FROM (SELECT * EXCLUDE (modes), modes FROM segments) x) y""",
+    "source": "SELECT row_number() OVER () AS rid, mode, origin, banned FROM (SELECT DISTINCT mode, origin, banned FROM asked) q",
+    # Labels as in the search: each round betters those of the last one's neighbours; the last segment settles ties and names the way.
+    "label": """SELECT rid, origin AS node, CAST(0 AS BIGINT) AS ticks, CAST(0 AS BIGINT) AS steps, CAST(-1 AS BIGINT) AS segment FROM source
+        UNION SELECT n.rid, n.node, n.ticks, n.steps, n.segment FROM (SELECT l.rid, e.to_node AS node, l.ticks + e.ticks AS ticks, l.steps + 1 AS steps, e.segment_id AS segment,
+            row_number() OVER (PARTITION BY l.rid, e.to_node ORDER BY l.ticks + e.ticks, l.steps + 1, e.segment_id) AS nth
+            FROM label l JOIN source s ON s.rid = l.rid JOIN edge e ON e.mode = s.mode AND e.from_node = l.node WHERE NOT list_contains(s.banned, e.segment_id)) n
+            LEFT JOIN recurring.label o ON o.rid = n.rid AND o.node = n.node WHERE n.nth = 1 AND (o.rid IS NULL OR (n.ticks, n.steps, n.segment) < (o.ticks, o.steps, o.segment))""",
+    "walk": """SELECT q.rid, q.target, q.target AS node, CAST([] AS BIGINT[]) AS segs FROM (SELECT DISTINCT s.rid, a.target FROM asked a JOIN source s ON s.mode = a.mode AND s.origin = a.origin AND s.banned = a.banned) q JOIN label l ON l.rid = q.rid AND l.node = q.target
+        UNION ALL SELECT w.rid, w.target, e.from_node, list_prepend(l.segment, w.segs) FROM walk w JOIN label l ON l.rid = w.rid AND l.node = w.node JOIN segments e ON e.segment_id = l.segment""",
+    "option_path": """SELECT a.from_stop, a.to_stop, a.mode, a.origin, a.finish, list_append(w.segs, a.last) AS segs, (l.ticks + e.ticks) / 1e9 AS cost, round((l.steps + 1) * e.length_km, 9) AS km
+        FROM asked a JOIN source s ON s.mode = a.mode AND s.origin = a.origin AND s.banned = a.banned JOIN label l ON l.rid = s.rid AND l.node = a.target
+        JOIN (SELECT * FROM walk WHERE len(segs) = (SELECT steps FROM label b WHERE b.rid = walk.rid AND b.node = walk.target)) w ON w.rid = s.rid AND w.target = a.target JOIN edge e ON e.segment_id = a.last AND e.mode = a.mode""",
+    "stop_node": """SELECT stop_id, mode, node FROM (SELECT *, row_number() OVER (PARTITION BY stop_id, mode ORDER BY n DESC, total, node) AS nth FROM (SELECT stop_id, mode, node, count(*) AS n, round(sum(km), 6) AS total FROM (
+        SELECT stop_id, mode, node, from_stop, to_stop, min(km) AS km FROM (SELECT from_stop AS stop_id, mode, origin AS node, from_stop, to_stop, km FROM option_path UNION ALL SELECT to_stop, mode, finish, from_stop, to_stop, km FROM option_path) u GROUP BY ALL) v GROUP BY ALL) x) y WHERE nth = 1""",
+    "found": """SELECT * EXCLUDE (nth) FROM (SELECT p.*, row_number() OVER (PARTITION BY p.from_stop, p.to_stop, p.mode ORDER BY km, cost, segs) AS nth FROM option_path p
+        JOIN stop_node a ON a.stop_id = p.from_stop AND a.mode = p.mode AND a.node = p.origin JOIN stop_node b ON b.stop_id = p.to_stop AND b.mode = p.mode AND b.node = p.finish) q WHERE nth = 1""",
+    "parted": """SELECT *, dense_rank() OVER (PARTITION BY trip_id ORDER BY run) AS part FROM (SELECT *, nth - row_number() OVER (PARTITION BY trip_id ORDER BY nth) AS run FROM leg3 SEMI JOIN found USING (from_stop, to_stop, mode)) q""",
 }
 
 
@@ -231,7 +250,9 @@ def _sql(text: str) -> str:
         found = {s for s in _STEPS if re.search(rf"\b{s}\b", now)} - needed
         needed |= found
         todo += [_STEPS[s] for s in found]
-    return duckdb(("WITH " + ", ".join(f"{s} AS ({_STEPS[s]})" for s in _STEPS if s in needed) + " " + text) if needed else text)
+    key = {"label": "label USING KEY (rid, node)"}
+    whole = duckdb(("WITH " + ", ".join(f"{key.get(s, s)} AS ({_STEPS[s]})" for s in _STEPS if s in needed) + " " + text) if needed else text)
+    return whole.replace("WITH ", "WITH RECURSIVE ", 1) if "label" in needed else whole
 
 
 _FORCED = "CASE stop_id % 3 WHEN 0 THEN stop_id * 2 WHEN 1 THEN stop_id * 2 + 1 END"
@@ -262,13 +283,11 @@ SQL = {
         "stops_by_active_mode": "SELECT stop_id, string_agg(mode, ',' ORDER BY mode) AS modes FROM (SELECT DISTINCT b.stop_id, b.mode FROM begun b JOIN stops s ON s.stop_id = b.stop_id WHERE b.mode IN ('BUS', 'FERRY')) q GROUP BY stop_id",
         "numbered_nodes": "SELECT stop_id, row_number() OVER (ORDER BY stop_id) AS node_id FROM (SELECT DISTINCT stop_id FROM begun) q",
         "appended_ids": "SELECT route_id, concat(route_id % 7, CASE WHEN route_id % 3 <> route_id % 7 THEN concat(';', route_id % 3) ELSE '' END, CASE WHEN route_id % 5 NOT IN (route_id % 7, route_id % 3) THEN concat(';', route_id % 5) ELSE '' END) AS external_ids FROM routes",
-        "mapped_service_network": "SELECT from_stop, to_stop, mode, count(*) AS uses FROM leg3 SEMI JOIN sought USING (from_stop, to_stop, mode) GROUP BY ALL",
+        "mapped_service_network": "SELECT from_stop, to_stop, mode, count(*) AS uses FROM leg3 SEMI JOIN found USING (from_stop, to_stop, mode) GROUP BY ALL",
         "truncated_trips": "SELECT trip_id, part, count(*) AS n_legs, min(nth) AS first_leg, CAST(sum(duration) AS BIGINT) AS duration FROM parted GROUP BY trip_id, part",
         "consolidated_parts": """SELECT route_id, mode, timings, count(*) AS n_trips, array_to_string(list_sort(list_distinct(list(departure))), ',') AS departures FROM (SELECT trip_id, part, route_id, mode, arg_min(started, nth) AS departure,
             string_agg(concat(from_stop, '>', to_stop, ':', duration, '+', dwell), ' ' ORDER BY nth) AS timings FROM parted GROUP BY ALL) q GROUP BY route_id, mode, timings""",
-        "path_requests": """SELECT DISTINCT l.from_stop, l.to_stop, l.mode, c.access_node AS origin, g.from_node AS target, d.access_node AS "end", d.segment_id AS last,
-            array_to_string(list_sort(list_distinct(list_filter([CASE WHEN d.segment_id % 2 = 0 THEN d.segment_id + 1 ELSE d.segment_id - 1 END, CASE WHEN l.mode = 'BUS' THEN CASE WHEN c.segment_id % 2 = 0 THEN c.segment_id + 1 ELSE c.segment_id - 1 END END], lambda x: x IS NOT NULL))), ',') AS banned
-            FROM (SELECT DISTINCT from_stop, to_stop, mode FROM leg3) l JOIN best a ON a.stop_id = l.from_stop JOIN best b ON b.stop_id = l.to_stop JOIN connectoids c ON c.zone_id = a.zone_id AND list_contains(string_split(c.modes, ','), l.mode)
-            JOIN connectoids d ON d.zone_id = b.zone_id AND list_contains(string_split(d.modes, ','), l.mode) JOIN segments g ON g.segment_id = d.segment_id""",
+        "path_requests": """SELECT from_stop, to_stop, mode, origin, target, finish AS "end", last, array_to_string(banned, ',') AS banned FROM asked""",
+        "leg_shortest_path": "SELECT from_stop, to_stop, mode, CAST(len(segs) AS INT) AS n_segments, round(km, 6) AS length_km, round(cost, 6) AS hours, array_to_string(segs, ',') AS segments FROM found",
     }.items()
 }

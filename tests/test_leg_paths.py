@@ -8,7 +8,7 @@ from headway.queries import intermodal, services
 
 
 def plain_best(edges, origin, target, banned):
-    """Least (ticks, segments, ids) by relaxing everything until nothing changes."""
+    """Least (ticks, segments, ids from the last one back) by relaxing everything until nothing changes."""
     best, front = {origin: (0, 0, ())}, {origin}
     while front:
         nxt = set()
@@ -16,7 +16,7 @@ def plain_best(edges, origin, target, banned):
             ticks, n, ids = best[node]
             for s, to, dt in edges[node]:
                 if s not in banned:
-                    new = (ticks + dt, n + 1, (*ids, s))
+                    new = (ticks + dt, n + 1, (s, *ids))
                     if to not in best or new < best[to]:
                         best[to] = new
                         nxt.add(to)
@@ -38,7 +38,7 @@ def test_leg_paths_equal_plain_search(spark):
     for r in asked.collect():
         got = plain_best(edges[r["mode"]], r["origin"], r["target"], set(r["banned"]))
         if got:
-            ids = [*got[2], r["last"]]
+            ids = [*got[2][::-1], r["last"]]
             length = round(sum(segs[i]["length_km"] for i in ids), 9)
             found.append((r["from_stop"], r["to_stop"], r["mode"], r["origin"], r["end"], length, (got[0] + ticks(segs[r["last"]], r["mode"])) / paths.TICKS, ids))
     per_leg = defaultdict(list)
