@@ -1,27 +1,24 @@
 """Schedule feeds: a folder or a zip of comma-separated tables, as lazy DataFrames.
 
 Headers may be in any order, case and padding, lack columns or have unknown
-ones. A table is a file, or a folder of parts that all have the same header. A zip's members are unpacked once, a member a task, into a folder that all
-executors share (``spark.checkpoint.dir``). Files are read in splits, so a large
-table has as many tasks as its size asks for; only a table of which a field holds
-a line feed is read file by file (``multiline``; looked for once, by a scan of
-the lines that leave a quote open).
+ones. A table is a file, or a folder of parts that all have the same header. A
+zip's members are unpacked once, into parts in a folder that all executors share
+(``spark.checkpoint.dir``; :mod:`archives`). Files are read in splits, so a large
+table has as many tasks as its size asks for, also one whose fields hold line feeds
+(:mod:`records`; whether they do is asked once, by a scan of the lines with quotes).
 """
 
 from __future__ import annotations
 
 import csv
 import io
-import shutil
-import zipfile
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable
 
-import pandas as pd
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from headway.sources import schema
+from headway.sources import archives, records, schema
 from headway.sources.tables import shared
 
 Transform = Callable[[DataFrame], DataFrame]
@@ -36,46 +33,17 @@ def _path(spark: SparkSession, name: str):
     return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def _unzipped(spark: SparkSession, location: str) -> str:
-    """Unpacks the tables of a zip into a shared folder, each by a task of its own that reads the zip by range."""
-    from pyarrow import fs
-
+def _unzipped(spark: SparkSession, location: str, encoding: str) -> str:
+    """A shared folder with the parts of the zip's tables."""
+    names: dict[str, str] = {}
+    for name in archives.members(spark, location):
+        table = name.rsplit("/", 1)[-1].removesuffix(".txt")
+        if name.endswith(".txt") and table in schema.COLUMNS:
+            if table in names:
+                raise FeedError(f"{location} has {table}.txt twice: {names[table]} and {name}")
+            names[table] = name
     folder = shared(spark, "feed")
-    path, hadoop = _path(spark, location)
-    uri = hadoop.makeQualified(path).toUri().toString()
-    if uri.startswith("file:/") and not uri.startswith("file://"):
-        uri = "file://" + uri.removeprefix("file:")
-
-    def opened():
-        store, name = fs.FileSystem.from_uri(uri)
-        return store.open_input_file(name)
-
-    with opened() as f, zipfile.ZipFile(f) as z:
-        members = {}
-        for name in z.namelist():
-            table = name.rsplit("/", 1)[-1].removesuffix(".txt")
-            if name.endswith(".txt") and table in schema.COLUMNS:
-                if table in members:
-                    raise FeedError(f"{location} has {table}.txt twice: {members[table]} and {name}")
-                members[table] = name
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for table, name in frame.itertuples(index=False, name=None):
-                store, root = fs.FileSystem.from_uri(folder)
-                store.create_dir(root)
-                # Written under a name of the attempt's own and moved when whole, so a task that runs twice does no harm.
-                part = f"{root}/_{table}-{id(frame)}.part"
-                with opened() as f, zipfile.ZipFile(f) as z, z.open(name) as member, store.open_output_stream(part) as out:
-                    shutil.copyfileobj(member, out, 1 << 20)
-                store.move(part, f"{root}/{table}.txt")
-            yield frame[["table"]]
-
-    if members:
-        rows = spark.createDataFrame(sorted(members.items()), "table string, name string")  # a row per table of the format
-        done = rows.repartition(len(members), "table").mapInPandas(run, "table string").count()
-        if done != len(members):
-            raise FeedError(f"{location}: {done} of {len(members)} tables were unpacked")
+    archives.unpacked(spark, location, names, folder, splittable=not encoding.upper().startswith(("UTF-16", "UTF-32")))
     return folder
 
 
@@ -87,7 +55,7 @@ def normal(header: Iterable[str]) -> list[str]:
 class Feed:
     """The tables at a location. ``register`` adds a transformation that ``table`` then applies.
 
-    ``line_feeds`` says whether fields may hold line feeds; by default each table is looked through for them once.
+    ``line_feeds=False`` says that no field holds a line feed; by default each table is looked through for them once.
     """
 
     def __init__(self, spark: SparkSession, location: str, encoding: str = "UTF-8", line_feeds: bool | None = None):
@@ -98,21 +66,29 @@ class Feed:
         if store.getFileStatus(path).isDirectory():
             self.folder = location.rstrip("/")
         elif location.lower().endswith(".zip"):
-            self.folder = _unzipped(spark, location)
+            self.folder = _unzipped(spark, location, encoding)
         else:
             raise FeedError(f"{location} is neither a folder nor a zip")
         self._transforms: dict[str, list[Transform]] = {}
-        self._multiline: dict[str, bool] = {}
+        self._parts = archives.manifest(spark, self.folder)
+        self._maps: dict[str, list] = {}
 
     def has(self, name: str) -> bool:
+        if self._parts:
+            return name in self._parts
         path, store = _path(self.spark, f"{self.folder}/{name}.txt")
         return store.exists(path)
 
+    def place(self, name: str) -> str | list[str]:
+        """The file or folder of a table, or its parts."""
+        return self._parts.get(name) or f"{self.folder}/{name}.txt"
+
     def header(self, name: str) -> list[str]:
         """The header fields as written."""
         if not self.has(name):
             raise FeedError(f"{self.location} has no {name}.txt")
-        path, store = _path(self.spark, f"{self.folder}/{name}.txt")
+        place = self.place(name)
+        path, store = _path(self.spark, place if isinstance(place, str) else place[0])
         if store.getFileStatus(path).isDirectory():
             parts = sorted(str(f.getPath()) for f in store.listStatus(path) if not f.getPath().getName().startswith(("_", ".")))
             if not parts:
@@ -135,14 +111,12 @@ class Feed:
         self._transforms.setdefault(name, []).append(transform)
 
     def multiline(self, name: str) -> bool:
-        """Whether a field of the table holds a line feed: some line has an odd number of quotes. Asked once per table."""
-        if self.line_feeds is not None:
-            return self.line_feeds
-        if name not in self._multiline:
-            lines = self.spark.read.option("encoding", self.encoding).text(f"{self.folder}/{name}.txt")
-            odd = F.char_length("value") - F.char_length(F.replace("value", F.lit('"'), F.lit("")))
-            self._multiline[name] = not lines.filter(F.contains("value", F.lit('"')) & (odd % 2 == 1)).isEmpty()
-        return self._multiline[name]
+        """Whether a field of the table holds a line feed. Asked once per table."""
+        if self.line_feeds is False:
+            return False
+        if name not in self._maps:
+            self._maps[name] = records.split_maps(self.spark, self.place(name), self.encoding).collect()  # a row per split with quotes
+        return any(m["opens"] for m in self._maps[name])
 
     def counted(self, name: str, columns: str = "all", exclude: tuple[str, ...] = ()) -> tuple[DataFrame, Observation]:
         """As :meth:`table`, and what counts its rows as they are read: ``.get["rows"]`` after the first action."""
@@ -155,10 +129,10 @@ class Feed:
             raise FeedError(f"no table is named {name}")
         header = normal(self.header(name))
         raw = StructType([StructField(f"c{i}", StringType()) for i in range(len(header))])
-        rows = self.spark.read.csv(
-            f"{self.folder}/{name}.txt", schema=raw, header=True, quote='"', escape='"', multiLine=self.multiline(name),
-            mode="FAILFAST", encoding=self.encoding, enforceSchema=True,
-        )
+        if self.multiline(name):
+            rows = records.parsed(records.records(self.spark, self.place(name), self._maps[name], self.encoding), raw)
+        else:
+            rows = self.spark.read.csv(self.place(name), schema=raw, header=True, quote='"', escape='"', mode="FAILFAST", encoding=self.encoding, enforceSchema=True)
         place = {c: i for i, c in reversed(list(enumerate(header)))}
         # An empty field is an empty string in the format; nulls are left to columns that are not there.
         fields = [
