@@ -75,6 +75,13 @@ def compatibility(mode_map: DataFrame) -> DataFrame:
     return mode_map.select("route_type", "mode").join(other, "route_type").select("mode", "with_mode").distinct()
 
 
+def on_tracks(mode_map: DataFrame, segments: DataFrame) -> DataFrame:
+    """The rows of a mode map whose mode runs on a track that some segment (modes array) has a mode for."""
+    track = lambda column: F.coalesce(*[F.when(F.col(column) == m, F.lit(t)) for m, (t, _) in MODES.items()])
+    there = segments.select(F.explode("modes").alias("_m")).distinct().select(track("_m").alias("_track")).distinct()
+    return mode_map.withColumn("_track", track("mode")).join(there, "_track", "left_semi").drop("_track")
+
+
 def route_type(value: Column) -> Column:
     return value.cast("string").try_cast("smallint").cast("int")
 

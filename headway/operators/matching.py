@@ -26,21 +26,27 @@ def allowing(links: DataFrame, segments: DataFrame) -> DataFrame:
     return links.join(per, "link_id")
 
 
-def candidate_links(stops: DataFrame, links: DataFrame, segments: DataFrame, radius: float = spatial.LINK_RADIUS) -> DataFrame:
-    """Near links that allow the stop's mode, no farther than the radius."""
-    pairs = spatial.near_links(stops, allowing(links, segments), radius, by_line=True)
-    return pairs.filter(F.array_contains("link_modes", F.col("mode"))).filter(F.col("d2") <= radius * radius)
+def candidate_links(stops: DataFrame, links: DataFrame, segments: DataFrame, radius: float = spatial.LINK_RADIUS, crowded: list[DataFrame] | None = None) -> DataFrame:
+    """Near links that allow the stop's mode, no farther than the radius; only their segments are looked at, not those of the whole network."""
+    pairs = spatial.near_links(stops, links, radius, by_line=True, crowded=crowded).filter(F.col("d2") <= radius * radius)
+    keys = ["stop_id", "mode", "link_id"]
+    rest = F.first(F.struct(*[c for c in pairs.columns if c not in keys])).alias("_rest")
+    modes = F.array_sort(F.array_distinct(F.flatten(F.collect_list("_modes")))).alias("link_modes")
+    own = segments.select("link_id", F.col("modes").alias("_modes"), F.col("capacity").alias("_capacity"))
+    seen = pairs.join(own, "link_id").groupBy(*keys).agg(rest, modes, F.max("_capacity").alias("link_capacity")).filter(F.array_contains("link_modes", F.col("mode")))
+    columns = [*stops.columns, *[c for c in links.columns if c not in stops.columns], "link_modes", "link_capacity", "near", "d2"]
+    return seen.select(*[c if c in (*keys, "link_modes", "link_capacity") else F.col(f"_rest.{c}") for c in columns])
 
 
 ROAD_MODES = [m for m, (track, _) in MODES.items() if track == "ROAD"]
 
 
-def access_links(stops: DataFrame, links: DataFrame, segments: DataFrame, forced: DataFrame | None = None) -> DataFrame:
+def access_links(stops: DataFrame, links: DataFrame, segments: DataFrame, forced: DataFrame | None = None, crowded: list[DataFrame] | None = None) -> DataFrame:
     """One link per stop and mode: of those within the buffer of the closest, on roads the one with most capacity, then the closest, then the least id.
 
     ``forced`` (stop_id, link_id) names links that stops have to use wherever they lie, if they allow the mode.
     """
-    near = spatial.within_buffer(candidate_links(stops, links, segments).withColumn("_key", F.struct("stop_id", "mode")), "_key").drop("_key")
+    near = spatial.within_buffer(candidate_links(stops, links, segments, crowded=crowded).withColumn("_key", F.struct("stop_id", "mode")), "_key").drop("_key")
     road = F.when(F.col("mode").isin(ROAD_MODES), F.col("link_capacity")).otherwise(F.lit(0.0))
     nth = F.row_number().over(Window.partitionBy("stop_id", "mode").orderBy(F.desc("_road"), "d2", "link_id"))
     best = near.withColumn("_road", road).withColumn("_nth", nth).filter("_nth = 1").drop("_nth", "_road")
@@ -105,7 +111,7 @@ def platform_matches():
 
 
 def zone_candidates(stops: DataFrame, zones: DataFrame, connectoids: DataFrame, access: DataFrame, radius: float = spatial.ZONE_RADIUS, compatible: DataFrame | None = None, side: DataFrame | None = None) -> DataFrame:
-    """(stop_id, zone_id, priority, d2) of every way in which a near zone that serves the stop's mode fits.
+    """(stop_id, mode, zone_id, priority, d2) of every way in which a near zone that serves the stop's mode fits.
 
     With ``compatible`` (mode, with_mode) a zone may also serve a mode that goes with the stop's. With ``side``
     (stop_id, zone_id, any_on_side, as from :func:`on_driving_side`), a zone none of whose access segments has a
@@ -134,7 +140,15 @@ def zone_candidates(stops: DataFrame, zones: DataFrame, connectoids: DataFrame,
     to_zone = geo.azimuth(F.col("_near.x"), F.col("_near.y"), F.col("zx"), F.col("zy"))
     angle = F.coalesce(geo.angle_between(to_stop, to_zone) < spatial.MAX_ANGLE, F.lit(False))
     priority = F.when(platform_matches(), PLATFORM).when(same, ACCESS_LINK).when(angle, ANGLE)
-    return seen.select("stop_id", "zone_id", priority.alias("priority"), "d2").filter("priority is not null")
+    return seen.select("stop_id", "mode", "zone_id", priority.alias("priority"), "d2").filter("priority is not null")
+
+
+def conflicts(candidates: DataFrame) -> DataFrame:
+    """(stop_id, zones) of stops whose modes fit different zones best; zones is an array of (mode, zone_id), sorted. A mode without candidates is in no conflict."""
+    nth = F.row_number().over(Window.partitionBy("stop_id", "mode").orderBy("priority", "d2", "zone_id"))
+    best = candidates.withColumn("_nth", nth).filter("_nth = 1")
+    per = best.groupBy("stop_id").agg(F.array_sort(F.collect_list(F.struct("mode", "zone_id"))).alias("zones"), (F.min("zone_id") != F.max("zone_id")).alias("_differ"))
+    return per.filter("_differ").drop("_differ")
 
 
 def matched(candidates: DataFrame, overrides: DataFrame | None = None, force_new: DataFrame | None = None, no_joint: DataFrame | None = None) -> DataFrame:
@@ -236,20 +250,32 @@ def new_zones(stops: DataFrame, pairs: DataFrame, box: DataFrame, access: DataFr
     return inside.select("stop_id", "mode", "x", "y").join(access.select("stop_id", "mode", "link_id"), ["stop_id", "mode"])
 
 
-def connectoids_for(zones: DataFrame, entries: DataFrame, mode_map: DataFrame | None = None) -> DataFrame:
-    """(zone_key, segment_id, access_node, modes): a connectoid for each entry segment of a new zone that allows its mode.
+def common_modes(entries: DataFrame, compatible: DataFrame | None = None) -> DataFrame:
+    """(stop_id, mode, common) of entries (stop_id, mode, segment_id, modes): the modes that all of a stop's entry segments for its mode allow.
 
-    With a mode map, modes that share a route type with the zone's are added where the segment allows them.
+    Only the mode itself counts, or with ``compatible`` (mode, with_mode) those that go with it.
     """
-    joined = zones.select(F.col("stop_id").alias("zone_key"), "mode").join(entries.select(F.col("stop_id").alias("zone_key"), "mode", "segment_id", "to_node", "modes"), ["zone_key", "mode"])
+    per = entries.groupBy("stop_id", "mode").agg(F.collect_set("modes").alias("_all"))
+    shared = F.aggregate(F.slice("_all", 2, F.size("_all")), F.get("_all", 0), lambda a, m: F.array_intersect(a, m))
     wanted = F.array("mode")
-    if mode_map is not None:
-        from headway.functions.modes import compatibility
+    if compatible is not None:
+        per = per.join(compatible.groupBy("mode").agg(F.collect_set("with_mode").alias("_with")), "mode", "left")
+        wanted = F.array_union(F.array("mode"), F.coalesce("_with", F.array().cast("array<string>")))
+    return per.select("stop_id", "mode", F.array_sort(F.array_intersect(shared, wanted)).alias("common"))
+
+
+def connectoids_for(zones: DataFrame, entries: DataFrame, mode_map: DataFrame | None = None) -> DataFrame:
+    """(zone_key, segment_id, access_node, modes): a connectoid for each entry segment of a new zone.
+
+    A stop has one zone for all its modes. For each of them its connectoids allow those modes that every entry segment
+    for it allows: the mode itself and, with a mode map, those that share a route type with it. A segment by which
+    several modes enter allows what any of them brings.
+    """
+    from headway.functions.modes import compatibility
 
-        more = compatibility(mode_map).groupBy("mode").agg(F.collect_set("with_mode").alias("_more"))
-        joined = joined.join(more, "mode", "left")
-        wanted = F.array_union(F.array("mode"), F.coalesce("_more", F.array().cast("array<string>")))
-    made = joined.select("zone_key", "segment_id", F.col("to_node").alias("access_node"), F.array_sort(F.array_intersect("modes", wanted)).alias("modes"))
+    own = entries.join(zones.select("stop_id", "mode"), ["stop_id", "mode"], "left_semi").select("stop_id", "mode", "segment_id", F.col("to_node").alias("access_node"), "modes")
+    brought = own.join(common_modes(own, None if mode_map is None else compatibility(mode_map)), ["stop_id", "mode"])
+    made = brought.groupBy(F.col("stop_id").alias("zone_key"), "segment_id", "access_node").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("common")))).alias("modes"))
     return made.filter(F.size("modes") > 0)
 
 

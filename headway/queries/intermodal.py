@@ -75,6 +75,29 @@ def feed_services(spark, sf_dir):
 
 # -- rules -------------------------------------------------------------------
 
+def _several(spark, sf_dir) -> zoning._World:
+    """The world where stops serve a second mode, and zones are looked up 300 metres around."""
+    w = zoning._World(spark, sf_dir)
+    second = w.stops.withColumn("mode", F.when(F.col("stop_id") % 3 == 0, "BUS").when(F.col("stop_id") % 3 == 1, "FERRY").otherwise("TRAIN"))
+    w.stops = written(w.stops.unionByName(second).dropDuplicates(["stop_id", "mode"]))
+    w.access = written(matching.access_links(w.stops, w.links, w.segments))
+    return w
+
+
+def zone_conflicts(spark, sf_dir):
+    """Stops whose modes fit different zones best."""
+    w = _several(spark, sf_dir)
+    found = matching.conflicts(matching.zone_candidates(w.stops, w.zones, w.connectoids, w.access, 300.0))
+    return found.select("stop_id", F.array_join(F.transform("zones", lambda z: F.concat(z["mode"], F.lit(" "), z["zone_id"].cast("string"))), ",").alias("zones"))
+
+
+def connectoids_of_several_modes(spark, sf_dir):
+    """Connectoids of new zones for stops of several modes: one zone a stop, modes that all segments of a stop and mode allow."""
+    w = _several(spark, sf_dir)
+    made = matching.connectoids_for(w.stops.select("stop_id", "mode"), matching.entry_segments(w.access, w.segments), ModeMap().rows(spark))
+    return made.select("zone_key", "segment_id", "access_node", F.array_join("modes", ",").alias("modes"))
+
+
 def link_overrides(spark, sf_dir):
     w = zoning._World(spark, sf_dir)
     links = w.links.withColumn("external_id", F.concat(F.lit("way "), F.col("link_id").cast("string")))
@@ -202,7 +225,7 @@ def intermodal_paths(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        feed_stop_times, feed_stops, feed_row_counts, feed_services, link_overrides, joint_rules, zone_sides, zone_match_sides, closest_zone_access, connectoids_by_node,
+        feed_stop_times, feed_stops, feed_row_counts, feed_services, zone_conflicts, connectoids_of_several_modes, link_overrides, joint_rules, zone_sides, zone_match_sides, closest_zone_access, connectoids_by_node,
         widened_connectoids, zoning_counters, stops_by_active_mode, numbered_nodes, appended_ids, mapped_service_network, truncated_trips, consolidated_parts,
         path_requests, leg_shortest_path, intermodal_zones, intermodal_paths,
     )
@@ -217,6 +240,17 @@ _STEPS = zoning._STEPS | services._STEPS | {
     "sided": f"SELECT stop_id, zone_id, bool_or(good) AS any_on_side, bool_and(good) AS all_on_side FROM ({_SIDE}) q GROUP BY stop_id, zone_id",
     "leg3": """SELECT * FROM (SELECT trip_id, route_id, mode, lag(stop_id) OVER w AS from_stop, stop_id AS to_stop, arr - lag(dep) OVER w AS duration, dep - arr AS dwell, lag(dep) OVER w AS started, row_number() OVER w AS nth
         FROM begun WINDOW w AS (PARTITION BY trip_id ORDER BY stop_sequence)) q WHERE nth > 1""",
+    "many": "SELECT stop_id, platform_code, x, y, mode FROM stops UNION SELECT stop_id, platform_code, x, y, CASE stop_id % 3 WHEN 0 THEN 'BUS' WHEN 1 THEN 'FERRY' ELSE 'TRAIN' END FROM stops",
+    "mchosen": f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY stop_id, mode ORDER BY CASE WHEN mode = 'BUS' THEN link_capacity ELSE 0 END DESC, d2, link_id) AS pick FROM (SELECT *, min(sqrt(d2)) OVER (PARTITION BY stop_id, mode) AS nearest FROM (
+        SELECT c.*, m.link_capacity FROM (SELECT q.*, (x - nx) * (x - nx) + (y - ny) * (y - ny) AS d2 FROM (SELECT s.*, l.*, l.x0 + {zoning._T} * (l.x1 - l.x0) AS nx, l.y0 + {zoning._T} * (l.y1 - l.y0) AS ny FROM many s, links l
+        WHERE greatest(l.x0, l.x1) >= s.x - 40 AND least(l.x0, l.x1) <= s.x + 40 AND greatest(l.y0, l.y1) >= s.y - 40 AND least(l.y0, l.y1) <= s.y + 40) q) c JOIN lmode m ON m.link_id = c.link_id
+        WHERE list_contains(string_split(m.modes, ','), c.mode) AND c.d2 <= 1600) q) r WHERE sqrt(d2) <= nearest + 8) t WHERE pick = 1""",
+    "moption": """SELECT stop_id, mode, zone_id, priority, d2 FROM (SELECT p.stop_id, p.mode, p.zone_id, p.d2, CASE WHEN lower(p.platforms) = lower(p.platform_code) THEN 3 WHEN list_contains(m.zl, c.link_id) AND p.d2 <= 115600 THEN 4
+        WHEN least(abs(az1 - az2), 360 - abs(az1 - az2)) < 100 THEN 5 END AS priority FROM (SELECT s.stop_id, s.mode, s.platform_code, s.x, s.y, z.zone_id, z.platforms, z.x AS zx, z.y AS zy, (s.x - z.x) * (s.x - z.x) + (s.y - z.y) * (s.y - z.y) AS d2
+        FROM many s JOIN zones z ON abs(s.x - z.x) <= 300 AND abs(s.y - z.y) <= 300) p JOIN zmode m ON m.zone_id = p.zone_id AND list_contains(m.zm, p.mode) LEFT JOIN mchosen c ON c.stop_id = p.stop_id AND c.mode = p.mode,
+        LATERAL (SELECT (degrees(atan2(p.x - c.nx, p.y - c.ny)) + 360) % 360 AS az1, (degrees(atan2(p.zx - c.nx, p.zy - c.ny)) + 360) % 360 AS az2) a) q WHERE priority IS NOT NULL""",
+    "mentry": """SELECT stop_id, mode, segment_id, to_node, modes FROM (SELECT c.stop_id, c.mode, g.segment_id, g.to_node, g.modes, CASE WHEN c.cr = 0 THEN 'ON' WHEN (c.cr > 0) = (g.from_node = c.node_a) THEN 'LEFT' ELSE 'RIGHT' END AS side
+        FROM (SELECT *, (x1 - x0) * (y - ny) - (y1 - y0) * (x - nx) AS cr FROM mchosen) c JOIN segments g ON g.link_id = c.link_id AND list_contains(string_split(g.modes, ','), c.mode)) q WHERE mode <> 'BUS' OR side <> 'RIGHT'""",
     "asked": """SELECT DISTINCT l.from_stop, l.to_stop, l.mode, c.access_node AS origin, g.from_node AS target, d.access_node AS finish, d.segment_id AS last,
             list_sort(list_distinct(list_filter([CASE WHEN d.segment_id % 2 = 0 THEN d.segment_id + 1 ELSE d.segment_id - 1 END, CASE WHEN l.mode = 'BUS' THEN CASE WHEN c.segment_id % 2 = 0 THEN c.segment_id + 1 ELSE c.segment_id - 1 END END], lambda x: x IS NOT NULL))) AS banned
             FROM (SELECT DISTINCT from_stop, to_stop, mode FROM leg3) l JOIN best a ON a.stop_id = l.from_stop JOIN best b ON b.stop_id = l.to_stop JOIN connectoids c ON c.zone_id = a.zone_id AND list_contains(string_split(c.modes, ','), l.mode)
@@ -264,6 +298,10 @@ SQL = {
         "feed_stops": f"SELECT CAST(stop_id AS VARCHAR) AS stop_id, concat(stop_name, ', \"main\"') AS stop_name, round((x - 10) * {_M}, 2) AS x, round(y * {_M}, 2) AS y FROM stops WHERE stop_id % 5 <> 0",
         "feed_row_counts": "SELECT 'routes.txt' AS file, count(*) AS n_rows FROM routes UNION ALL SELECT 'calendar.txt', count(*) FROM calendar UNION ALL SELECT 'trips.txt', count(*) FROM trips UNION ALL SELECT 'stop_times.txt', count(*) FROM stop_times",
         "feed_services": "SELECT mode, count(*) AS n_trips, CAST(sum(n) AS BIGINT) AS n_stop_times FROM (SELECT trip_id, mode, count(*) AS n FROM begun GROUP BY ALL HAVING count(*) >= 2) q GROUP BY mode",
+        "zone_conflicts": """SELECT stop_id, array_to_string(list_sort(list(concat(mode, ' ', zone_id))), ',') AS zones FROM (SELECT *, row_number() OVER (PARTITION BY stop_id, mode ORDER BY priority, d2, zone_id) AS pick FROM moption) q
+            WHERE pick = 1 GROUP BY stop_id HAVING min(zone_id) <> max(zone_id)""",
+        "connectoids_of_several_modes": """SELECT e.stop_id AS zone_key, e.segment_id, e.to_node AS access_node, string_agg(DISTINCT u.with_mode, ',' ORDER BY u.with_mode) AS modes FROM mentry e JOIN compat u ON u.mode = e.mode
+            WHERE NOT EXISTS (SELECT 1 FROM mentry o WHERE o.stop_id = e.stop_id AND o.mode = e.mode AND NOT list_contains(string_split(o.modes, ','), u.with_mode)) GROUP BY e.stop_id, e.segment_id, e.to_node""",
         "link_overrides": f"""SELECT s.stop_id, coalesce(f.link_id, c.link_id) AS link_id FROM stops s LEFT JOIN (SELECT st.stop_id, g.link_id FROM (SELECT stop_id, mode, {_FORCED} AS wanted FROM stops) st JOIN lmode g ON g.link_id = st.wanted AND list_contains(string_split(g.modes, ','), st.mode)) f ON f.stop_id = s.stop_id
             LEFT JOIN chosen c ON c.stop_id = s.stop_id WHERE coalesce(f.link_id, c.link_id) IS NOT NULL""",
         "joint_rules": """SELECT stop_id, zone_id, priority FROM (SELECT *, row_number() OVER (PARTITION BY zone_id ORDER BY stop_id % 2 = 0, priority, d2, stop_id) AS nth FROM (

@@ -102,7 +102,9 @@ def routed_service_names(spark, sf_dir):
 
 
 def mode_compatibility(spark, sf_dir):
-    return modes.compatibility(ModeMap().rows(spark))
+    """Stops by the modes that go with theirs."""
+    stops = spark_tables(spark, sf_dir, "stops")["stops"]
+    return stops.join(modes.compatibility(ModeMap().rows(spark)), "mode").groupBy("mode", "with_mode").agg(F.count("*").alias("n_stops"))
 
 
 def trips_active(spark, sf_dir):
@@ -197,8 +199,10 @@ def route_type_counts(spark, sf_dir):
 
 
 def feed_validation(spark, sf_dir):
-    present = spark.createDataFrame([(n,) for n in ("agency", "stops", "routes", "trips", "stop_times", "calendar_dates", "translations")], "file string")
-    return feed.presence_findings(present)
+    """What the rules say of the files of many feeds, a nation each; which files a feed has follows from its number."""
+    nations = spark_tables(spark, sf_dir, "agency")["agency"].select(F.col("agency_id").alias("feed_id"))
+    files = F.array(*[F.when((F.col("feed_id") * (k + 3)) % 5 > 1, F.lit(n)) for k, n in enumerate(schema.PRESENCE)])
+    return feed.presence_findings(nations.select("feed_id", F.explode(files).alias("file")), ("feed_id",))
 
 
 def extended_times(spark, sf_dir):
@@ -222,15 +226,19 @@ def feed_needed_columns(spark, sf_dir):
 
 
 def mode_map_original(spark, sf_dir):
-    return ModeMap("ORIGINAL").rows(spark)
+    """Routes by the modes of their types in the original dialect; types 5 to 10, 12 and 13 have none."""
+    routes = spark_tables(spark, sf_dir, "routes")["routes"].select((F.col("route_id") % 14).cast("int").alias("route_type"))
+    return routes.join(ModeMap("ORIGINAL").rows(spark), "route_type").groupBy("route_type", "mode", "is_primary").agg(F.count("*").alias("n_routes"))
 
 
 def mode_map_on_roads(spark, sf_dir):
-    """The extended map less the types none of whose modes runs on roads, and less one that is switched off."""
+    """Routes by mode where the network has only the links along one axis, which have no rails, and one type is switched off."""
+    t = spark_tables(spark, sf_dir, "routes", "segments")
+    routes = t["routes"].select(F.element_at(F.array(*map(F.lit, (3, 4, 700, 1000, 2, 900))), (F.col("route_id") % 6 + 1).cast("int")).alias("route_type"))
     kept = ModeMap()
-    kept.only_tracks(["ROAD"])
     kept.deactivate(700)
-    return kept.rows(spark)
+    on = modes.on_tracks(kept.rows(spark), t["segments"].filter("link_id % 2 = 1"))
+    return routes.join(on, "route_type").groupBy("route_type", "mode").agg(F.count("*").alias("n_routes"))
 
 
 def mode_tracks(spark, sf_dir):
@@ -272,7 +280,7 @@ SQL = {f"scan_{n}": duckdb(f"SELECT * FROM {n}") for n in ("agency", *CORE, "sto
         "routes_removed_reason": "SELECT route_id, route_type, removal_reason FROM cls_routes WHERE removal_reason IS NOT NULL",
         "routes_by_mode": "SELECT mode, count(*) AS n_routes, count(*) FILTER (route_id % 11 <> 0 AND route_id % 7 <> 0) AS n_named FROM cls_routes WHERE removal_reason IS NULL GROUP BY mode",
         "routed_service_names": "SELECT route_id AS external_id, route_short_name AS name, route_long_name AS name_description, mode FROM cls_routes WHERE removal_reason IS NULL",
-        "mode_compatibility": "SELECT DISTINCT a.mode, b.mode AS with_mode FROM mode_map a JOIN mode_map b USING (route_type)",
+        "mode_compatibility": "SELECT s.mode, c.with_mode, count(*) AS n_stops FROM stops s JOIN (SELECT DISTINCT a.mode, b.mode AS with_mode FROM mode_map a JOIN mode_map b USING (route_type)) c ON c.mode = s.mode GROUP BY ALL",
         "trips_active": "SELECT trip_id, route_id, mode FROM kept",
         "trips_removed_reason": "SELECT trip_id, removal_reason FROM cls_trips WHERE removal_reason IS NOT NULL",
         "stop_times_in_window": "SELECT trip_id, stop_sequence, stop_id, dep FROM flagged WHERE ok",
@@ -294,13 +302,17 @@ SQL = {f"scan_{n}": duckdb(f"SELECT * FROM {n}") for n in ("agency", *CORE, "sto
         "removed_counts": "SELECT 'route' AS kind, removal_reason, count(*) AS n FROM cls_routes WHERE removal_reason IS NOT NULL GROUP BY ALL UNION ALL SELECT 'trip', removal_reason, count(*) FROM cls_trips WHERE removal_reason IS NOT NULL GROUP BY ALL",
         "route_type_counts": """SELECT r.route_type, count(*) AS n_routes, CAST(sum(coalesce(t.n, 0)) AS BIGINT) AS n_trips, CAST(sum(coalesce(s.n, 0)) AS BIGINT) AS n_stop_times FROM cls_routes r LEFT JOIN (SELECT route_id, count(*) AS n FROM kept GROUP BY route_id) t ON t.route_id = r.route_id
             LEFT JOIN (SELECT route_id, count(*) AS n FROM begun GROUP BY route_id) s ON s.route_id = r.route_id WHERE r.removal_reason IS NULL GROUP BY r.route_type""",
-        "feed_validation": "SELECT * FROM (VALUES ('agency', 'ok'), ('stops', 'ok'), ('routes', 'ok'), ('trips', 'ok'), ('stop_times', 'ok'), ('calendar', 'absent'), ('calendar_dates', 'ok'), ('fare_attributes', 'absent'), ('fare_rules', 'absent'), ('shapes', 'absent'), ('frequencies', 'absent'), ('transfers', 'absent'), ('pathways', 'absent'), ('levels', 'absent'), ('feed_info', 'missing'), ('translations', 'ok'), ('attributions', 'absent')) v(file, status)",
+        "feed_validation": f"""WITH f AS (SELECT agency_id AS feed_id, r.file, r.kind, r.other, (agency_id * (r.k + 3)) % 5 > 1 AS here FROM agency, (VALUES {", ".join(f"({k}, '{n}', '{p.kind}', '{p.other or ''}')" for k, (n, p) in enumerate(schema.PRESENCE.items()))}) r(k, file, kind, other))
+            SELECT f.feed_id, f.file, CASE WHEN f.here THEN 'ok' WHEN f.kind = 'required' OR (f.kind = 'present' AND coalesce(o.here, false)) OR (f.kind = 'absent' AND NOT coalesce(o.here, false)) THEN 'missing' ELSE 'absent' END AS status
+            FROM f LEFT JOIN f o ON o.feed_id = f.feed_id AND o.file = f.other""",
         "extended_times": "SELECT trip_id, stop_sequence, format('{:02d}:{:02d}:{:02d}', dep // 3600, dep // 60 % 60, dep % 60) AS clock, CAST(dep AS INT) AS seconds, dep >= 86400 AS after_midnight, CAST(dep % 86400 AS INT) AS day_seconds FROM stop_times",
         "location_types": "SELECT s_suppkey AS stop_id, CAST(CASE WHEN s_suppkey % 7 = 0 THEN 0 WHEN s_suppkey % 7 <= 4 THEN s_suppkey % 7 END AS INT) AS location_type FROM supplier",
         "row_lines": "SELECT concat('TRIP: trip_id ', trip_id, ', route_id ', route_id, ', service_id ', service_id) AS line FROM trips",
         "feed_needed_columns": "SELECT route_id, route_short_name, route_long_name, route_type FROM routes",
-        "mode_map_original": "SELECT * FROM (VALUES (0, 'LIGHTRAIL', true), (0, 'TRAM', false), (1, 'SUBWAY', true), (2, 'TRAIN', true), (3, 'BUS', true), (4, 'FERRY', true), (11, 'BUS', true)) v(route_type, mode, is_primary)",
-        "mode_map_on_roads": "SELECT route_type, mode, is_primary FROM mode_map WHERE mode = 'BUS' AND route_type <> 700",
+        "mode_map_original": """SELECT r.route_type, v.mode, v.is_primary, count(*) AS n_routes FROM (SELECT CAST(route_id % 14 AS INT) AS route_type FROM routes) r
+            JOIN (VALUES (0, 'LIGHTRAIL', true), (0, 'TRAM', false), (1, 'SUBWAY', true), (2, 'TRAIN', true), (3, 'BUS', true), (4, 'FERRY', true), (11, 'BUS', true)) v(route_type, mode, is_primary) ON v.route_type = r.route_type GROUP BY ALL""",
+        "mode_map_on_roads": """SELECT route_type, mode, count(*) AS n_routes FROM (SELECT CASE route_id % 6 WHEN 0 THEN 3 WHEN 1 THEN 4 WHEN 2 THEN 700 WHEN 3 THEN 1000 WHEN 4 THEN 2 ELSE 900 END AS route_type FROM routes) r JOIN mode_map m USING (route_type)
+            WHERE route_type <> 700 AND CASE mode WHEN 'BUS' THEN 'ROAD' WHEN 'FERRY' THEN 'WATER' ELSE 'RAIL' END IN (SELECT CASE m WHEN 'BUS' THEN 'ROAD' WHEN 'FERRY' THEN 'WATER' ELSE 'RAIL' END FROM (SELECT unnest(string_split(modes, ',')) AS m FROM segments WHERE link_id % 2 = 1) q) GROUP BY ALL""",
         "mode_tracks": "SELECT CASE mode WHEN 'BUS' THEN 'ROAD' WHEN 'FERRY' THEN 'WATER' ELSE 'RAIL' END AS track, count(*) AS n_routes FROM cls_routes WHERE removal_reason IS NULL GROUP BY ALL",
         "routes_only_names": f"SELECT route_id, route_short_name FROM routes WHERE route_short_name IN ({_NAMES})",
         "stop_times_two_periods": """SELECT k.mode, count(*) AS n_rows, CAST(sum(s.dep) AS BIGINT) AS total FROM stop_times s JOIN kept k ON k.trip_id = s.trip_id WHERE (k.today AND (s.dep BETWEEN 21600 AND 28800 OR s.dep BETWEEN 61200 AND 68400))

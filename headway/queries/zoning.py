@@ -11,6 +11,7 @@ from headway.functions import geo
 from headway.operators import matching, network, paths, spatial
 from headway.queries.adapter import duckdb, spark_tables
 
+CROWDED = "SELECT o_orderkey AS point_id, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 210 + o_custkey % 61 ELSE o_custkey * 7 % 4900 END AS DOUBLE) AS x, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 105 + o_orderkey % 53 ELSE o_orderkey * 11 % 3900 END AS DOUBLE) AS y FROM {orders}"
 PHYSICAL = ("nodes", "links", "segments", "zones", "connectoids")
 
 
@@ -40,6 +41,14 @@ def stop_near_links(spark, sf_dir):
     return spatial.near_links(*_links(spark, sf_dir)).select("stop_id", "link_id", F.round("d2", 4).alias("d2"))
 
 
+def crowded_points_near_links(spark, sf_dir):
+    """Orders as points, a third of them in one block, near the links around; cells with more than 200 points are quartered."""
+    points = spark.sql(CROWDED, orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    crowded = spatial.quartered(points, spatial.LINK_RADIUS, 200)
+    pairs = spatial.near_links(points, spark_tables(spark, sf_dir, "links")["links"], crowded=crowded)
+    return pairs.groupBy("link_id").agg(F.count("*").alias("n_points"), F.round(F.sum("d2"), 2).alias("sum_d2"))
+
+
 def stop_near_zones(spark, sf_dir):
     t = spark_tables(spark, sf_dir, "stops", "zones")
     return spatial.near_zones(t["stops"], t["zones"]).select("stop_id", "zone_id", "d2")
@@ -163,7 +172,7 @@ def link_costs(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        network_bbox, stops_in_bbox, stop_near_links, stop_near_zones, closest_link, links_within_buffer, side_of_road, azimuth_diff, closest_zone, access_link_choice,
+        network_bbox, stops_in_bbox, stop_near_links, crowded_points_near_links, stop_near_zones, closest_link, links_within_buffer, side_of_road, azimuth_diff, closest_zone, access_link_choice,
         zone_match_ranked, match_counters, new_zones, entry_segments, connectoids, snap_or_split, split_links, zone_modes, zone_registry, zone_overrides, zones_with_stops,
         stops_excluded, location_override, unused_zone_cascade, link_costs,
     )
@@ -210,6 +219,8 @@ SQL = {
         "network_bbox": "SELECT min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max FROM nodes",
         "stops_in_bbox": "SELECT stop_id, x, y, least(x, 500 - x, y, 400 - y) <= 100 AS near_edge FROM stops WHERE x BETWEEN 0 AND 500 AND y BETWEEN 0 AND 400",
         "stop_near_links": "SELECT stop_id, link_id, round(d2, 4) AS d2 FROM pair",
+        "crowded_points_near_links": f"""SELECT link_id, count(*) AS n_points, round(sum((x - nx) * (x - nx) + (y - ny) * (y - ny)), 2) AS sum_d2 FROM (SELECT s.x, s.y, l.link_id, l.x0 + {_T} * (l.x1 - l.x0) AS nx, l.y0 + {_T} * (l.y1 - l.y0) AS ny
+            FROM ({CROWDED.replace("{orders}", "orders")}) s, links l WHERE greatest(l.x0, l.x1) >= s.x - 40 AND least(l.x0, l.x1) <= s.x + 40 AND greatest(l.y0, l.y1) >= s.y - 40 AND least(l.y0, l.y1) <= s.y + 40) q GROUP BY link_id""",
         "stop_near_zones": "SELECT stop_id, zone_id, d2 FROM zpair",
         "closest_link": "SELECT stop_id, link_id, d2 FROM (SELECT *, row_number() OVER (PARTITION BY stop_id ORDER BY d2, link_id) AS pick FROM pair) q WHERE pick = 1",
         "links_within_buffer": "SELECT stop_id, link_id FROM (SELECT *, min(sqrt(d2)) OVER (PARTITION BY stop_id) AS nearest FROM pair) q WHERE sqrt(d2) <= nearest + 8",

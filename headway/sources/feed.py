@@ -164,15 +164,18 @@ class Feed:
         return self.spark.createDataFrame(rows, "file string, rule string, other string, present boolean, status string, unknown_columns string")
 
 
-def presence_findings(present: DataFrame) -> DataFrame:
-    """Of a table with one column ``file`` (names without suffix): (file, status) of every table of the format."""
+def presence_findings(present: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Of a table with the files (column ``file``, names without suffix) that a feed has: (file, status) of every table of the format.
+
+    With ``by`` the table holds many feeds, told apart by these columns; each is judged by its own files. Null files are none.
+    """
     spark = present.sparkSession
     rules = spark.createDataFrame([(n, p.kind, p.other) for n, p in schema.PRESENCE.items()], "file string, kind string, other string")
-    here = present.select("file").distinct()
-    joined = rules.join(here.withColumn("_here", F.lit(True)), "file", "left").join(here.select(F.col("file").alias("other"), F.lit(True).alias("_other")), "other", "left")
-    on, other = F.col("_here").isNotNull(), F.col("_other").isNotNull()
+    here = present.groupBy(*by).agg(F.collect_set("file").alias("_files"))  # a few names at most
+    each = here.join(F.broadcast(rules)) if by else rules.join(F.broadcast(here))  # a row per table of the format
+    on, other = F.array_contains("_files", F.col("file")), F.array_contains("_files", F.coalesce("other", F.lit("")))
     needed = (F.col("kind") == "required") | ((F.col("kind") == "present") & other) | ((F.col("kind") == "absent") & ~other)
-    return joined.select("file", F.when(on, "ok").when(needed, "missing").otherwise("absent").alias("status"))
+    return each.select(*by, "file", F.when(on, "ok").when(needed, "missing").otherwise("absent").alias("status"))
 
 
 def described(df: DataFrame, kind: str) -> DataFrame:
