@@ -113,8 +113,13 @@ def _prefix(own: np.ndarray, often: np.ndarray, counts: np.ndarray, percent: int
     return own[order[: n - need + matches]], matches
 
 
+def row_key():
+    """A hash of doc_id and text, so rows with null or equal doc_ids are told apart by their texts."""
+    return F.xxhash64("doc_id", "text").alias("key")
+
+
 def profiles(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, digest, matches and prefix of every row; of equal sets in a task, the first has the prefix."""
+    """doc_id, key, n_shingles, digest, matches and prefix of every row; of equal sets in a task, the first has the prefix."""
     often = docs.sparkSession.sparkContext.broadcast(frequent(docs, n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,24 +138,30 @@ def profiles(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 prefixes.append(prefix.view(np.int64) if new else None)
                 matches.append(k if new else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(matches, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "digest", "matches", "prefix"],
+                [batch.column("doc_id"), batch.column("key"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(matches, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))],
+                ["doc_id", "key", "n_shingles", "digest", "matches", "prefix"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, matches int, prefix array<long>")
+    return docs.select("doc_id", row_key(), "text").mapInArrow(run, "doc_id long, key long, n_shingles long, digest binary, matches int, prefix array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """cid and sorted set of each wanted class, from its text with the smallest doc_id (more than once if that row is repeated); wanted: (cid, doc, digest)."""
+    """cid and sorted set of each wanted class (cid, key, digest), from the rows of that key, once a task; a chance match of keys has another digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: set[int] = set()
         for batch in batches:
-            own = [np.unique(shingles(w, n)) for w in each_text(batch.column("text"))]
-            same = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == d for s, d in zip(own, batch.column("digest").to_pylist(), strict=True)]
-            own = [s.view(np.int64) for s, ok in zip(own, same, strict=True) if ok]
-            yield pa.RecordBatch.from_arrays([batch.column("cid").filter(pa.array(same)), pa.array(own, pa.list_(pa.int64()))], ["cid", "own"])
-
-    texts = docs.select(F.col("doc_id").alias("_doc"), "text").join(_small(wanted), F.col("_doc").eqNullSafe(F.col("doc")))
+            cids, sets = [], []
+            for cid, digest, words in zip(batch.column("cid").to_pylist(), batch.column("digest").to_pylist(), each_text(batch.column("text")), strict=True):
+                if cid not in given:
+                    own = np.unique(shingles(words, n))
+                    if hashlib.blake2b(own.tobytes(), digest_size=16).digest() == digest:
+                        given.add(cid)
+                        cids.append(cid)
+                        sets.append(own.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["cid", "own"])
+
+    texts = docs.select(row_key(), "text").join(_small(wanted), "key")
     return texts.select("cid", "digest", "text").mapInArrow(run, "cid long, own array<long>")
 
 
@@ -256,9 +267,10 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = written(profiles(docs, n, percent))
     classes = rows.filter("n_shingles > 0").groupBy("digest").agg(
-        F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"),
+        F.min(F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "key")).alias("_first"), F.first("n_shingles").alias("n"),
         F.first("matches", True).alias("matches"), F.first("prefix", True).alias("prefix"),
     )
+    classes = classes.select("digest", F.col("_first.doc_id").alias("doc"), F.col("_first.key").alias("key"), "n", "matches", "prefix")
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()))
     entries = classes.select("cid", "n", "matches", F.explode("prefix").alias("shingle"))
     holders = Window.partitionBy("shingle")
@@ -277,7 +289,7 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     ranked = met.withColumns({"met": F.count("*").over(own), "asked": F.greatest(asked, F.lit(1)), "_nth": F.row_number().over(own.orderBy(F.desc("_size"), F.desc("shingle")))})
     ranked = written(ranked.filter("met >= asked").drop("_least", "_size", "_low", "_high"))
     live = written(_grouped(ranked.filter("_nth >= asked").drop("_nth"), None, percent).drop("root"))
-    wanted = written(live.select("cid").distinct().join(classes.select("cid", "doc", "digest"), "cid"))
+    wanted = written(live.select("cid").distinct().join(classes.select("cid", "key", "digest"), "cid"))
     # Shingles as 16 bits: equal ones stay equal, and a chance match between two prefixes only lets a pair be verified.
     # Those that fall together within one prefix are counted, as a set of common values misses them.
     prefixes = ranked.groupBy("cid").agg(F.collect_list((F.pmod(F.hash("shingle"), F.lit(65_536)) - 32_768).cast("smallint")).alias("prefix"))

@@ -104,7 +104,7 @@ def assign(docs: DataFrame, phases: tuple[Phase, ...] = CURRICULUM, max_repeats:
     ``copies`` holds (copy, words, moment) for every time that the row is taken.
     """
     slim = docs.select(
-        "doc_id", "source", word_count(F.col("text")).alias("size"),
+        "doc_id", word_count(F.col("text")).alias("size"),
         F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("_key"),
         F.xxhash64(F.lit(seed), "doc_id", "text").alias("_at"),
     ).withColumn("_bucket", F.pmod("_at", F.lit(BUCKETS)).cast("int"))
@@ -118,8 +118,12 @@ def assign(docs: DataFrame, phases: tuple[Phase, ...] = CURRICULUM, max_repeats:
     sources = targets(sources.select(F.when(F.col("_key") != "", F.substr("_key", F.lit(2))).alias("source"), "source_size"), phases, max_repeats)
     sources = sources.select(F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("_key"), "_rank", "target")
     slices = slices.join(sources, "_key")
+    # Equal rows stand one after another, whichever comes first, so they are one row with a number until their places are known.
+    own = ["_key", "_bucket", "_at", "doc_id", "size"]
     here = Window.partitionBy("_key", "_bucket").orderBy("_at", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = slim.withColumn("_in", F.sum("size").over(here) - F.col("size")).join(slices, ["_key", "_bucket"])
+    equal = slim.groupBy(*own).agg(F.count("*").alias("_rows")).withColumn("_in", F.sum(F.col("size") * F.col("_rows")).over(here) - F.col("size") * F.col("_rows"))
+    each = equal.withColumn("_nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_rows") - 1))).withColumn("_in", F.col("_in") + F.col("_nth") * F.col("size"))
+    placed = each.join(slices, ["_key", "_bucket"]).withColumn("source", F.when(F.col("_key") != "", F.substr("_key", F.lit(2))))
     goal = F.floor("target").cast("long")
 
     def copy(e: int) -> Column:

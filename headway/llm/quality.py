@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from headway.llm.base import let, word_count, words, WHITE
+from headway.llm.base import WHITE, let, named_back, plainly_named, word_count, words
 
 SYMBOLS = "#*$%&|<>"
 
@@ -121,6 +121,6 @@ def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     The verdict is generated as one row of an array, so the optimizer can neither
     copy its expression into the filter nor evaluate it twice.
     """
-    row = F.struct(*[F.col(c) for c in docs.columns]).alias("_row")
-    judged = judge(docs.select(row, F.col("text").alias("_text")), rules, "_text", ("_row",))
-    return judged.select("_row", F.explode(F.array("kept")).alias("_kept")).filter("_kept").select("_row.*")
+    rows, names = plainly_named(docs)
+    judged = judge(rows, rules, names["text"], tuple(names.values()))
+    return named_back(judged.select(*names.values(), F.explode(F.array("kept")).alias("_kept")).filter("_kept"), names)

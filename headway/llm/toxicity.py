@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from headway.llm.base import let, words, written
+from headway.llm.base import let, named_back, plainly_named, words, written
 
 MAX_EXAMPLES = 2_000
 PREFIXES = (4,)
@@ -346,30 +346,30 @@ def fitted(terms: list[str], idf: np.ndarray, ids: np.ndarray, label: np.ndarray
     return model
 
 
-def scored(docs: DataFrame, labels: DataFrame, limit: int = MAX_EXAMPLES, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Per row: ``keep``, held_out, score, predicted and evidence (doc_ids of the nearest examples)."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, limit))
+def scored(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """Per row: ``keep``, score, predicted and evidence (doc_ids of the nearest examples). The text goes to the model once, also if it is kept."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
+        m = sent.value
         vocabulary = Vocabulary(m.terms)
         for batch in batches:
-            votes, evidence = m.votes_on([vocabulary.counts(body) for body in batch.column("body").to_pylist()])
+            votes, evidence = m.votes_on([vocabulary.counts(body or "") for body in batch.column(text).to_pylist()])
             rest = [batch.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(m.calibrated(np.array(votes))), pa.array(evidence, pa.list_(pa.int64()))], [*keep, "score", "evidence"])
 
-    rows = docs.select(*keep, F.coalesce("text", F.lit("")).alias("body"))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    out = rows.mapInArrow(run, f"{fields}, score double, evidence array<long>")
+    out = docs.select(*keep, *([] if text in keep else [text])).mapInArrow(run, f"{fields}, score double, evidence array<long>")
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
-def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, limit: int = MAX_EXAMPLES) -> DataFrame:
     """doc_id, held_out, score, predicted and evidence of every row."""
-    return scored(docs.select("doc_id", "text"), labels).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence")
+    return scored(docs, fit(docs, labels, limit)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with their columns."""
-    row = docs.select("doc_id", "text", F.struct(*[F.col(c) for c in docs.columns]).alias("_row"))
-    return scored(row, labels, keep=("_row",)).filter("predicted = 0").select("_row.*")
+    rows, names = plainly_named(docs)
+    kept = scored(rows, fit(docs, labels), tuple(names.values()), names["text"]).filter("predicted = 0")
+    return named_back(kept, names)

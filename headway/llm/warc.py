@@ -22,7 +22,8 @@ a task that runs twice leaves a file that nobody reads. Files are opened with
 ``pyarrow.fs``, for any store it knows.
 
 Null payloads are empty; a null page_id is written without one and is a response
-where no page with its payload has a page_id; equal rows are all written. Very
+where no page with its payload has a page_id; equal rows are all written, and rows
+that repeat the smallest page_id with its payload are all responses. Very
 long payloads are one record each, which a task holds in memory once. Revisit
 records keep the length and digest of the full payload. An empty table gives no
 package and no records. Columns besides page_id, url and html are ignored, so

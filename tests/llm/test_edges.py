@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from headway.llm import chat, jaccard, mixing, quality, tokens
+from headway.llm import chat, jaccard, mixing, quality, tokens, warc
 from headway.llm.base import join_counted, shared_dir, table, written
 
 DOCS = "doc_id long, text string, source string"
@@ -120,3 +120,46 @@ def test_stages_of_an_empty_table(spark, corpus, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         docs = written(stage(spark, docs, corpus))
         assert docs.count() == 0, name
+
+
+def test_many_null_and_equal_doc_ids_cost_what_others_do(spark):
+    """Pairs of near copies, every row with one and the same doc_id, or with none: as many texts are looked at as with ids."""
+    import time
+
+    word = lambda i, k: f"w{(i * 7919 + k * 104729) % 1_000_003}"
+    texts = [" ".join(word(i // 2, k) for k in range(60)) + (" tail" if i % 2 else "") for i in range(6000)]
+    took = {}
+    for name, ids in (("own", range(6000)), ("null", [None] * 6000), ("same", [5] * 6000)):
+        docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+        began = time.perf_counter()
+        rows = jaccard.join(docs).collect()
+        took[name] = time.perf_counter() - began
+        assert len(rows) == 6000
+        if name == "own":
+            assert all(r["component_id"] == r["doc_id"] - r["doc_id"] % 2 for r in rows)
+        else:
+            assert {r["component_id"] for r in rows} == {ids[0]}
+    assert max(took["null"], took["same"]) < 3 * took["own"] + 10
+
+
+def test_repeated_rows_give_their_set_once_a_task(spark):
+    from headway.llm.base import written
+
+    docs = spark.createDataFrame([(None, "a b c d")] * 500 + [(None, "e f g h")] * 5, "doc_id long, text string").coalesce(2)
+    rows = jaccard.profiles(docs, 3, 90)
+    wanted = written(rows.groupBy("digest").agg(F.first("key").alias("key")).withColumn("cid", F.monotonically_increasing_id()))
+    assert jaccard._sets(docs, wanted, 3).count() <= 4
+
+
+def test_equal_rows_are_mixed_as_one_until_their_places_are_known(spark):
+    docs = spark.createDataFrame([(None, "one two three", "s")] * 3000 + [(i, f"text number {i}", "s") for i in range(3000)], "doc_id long, text string, source string")
+    rows = mixing.shares(docs).collect()
+    assert len(rows) == 6000 and sum(r["taken"] for r in rows) == 18_000 and {r["taken"] for r in rows} == {3}
+    order = mixing.mix(docs).collect()
+    assert len(order) == 6000 and [r["moment"] for r in order] == sorted(r["moment"] for r in order) and len({r["moment"] for r in order}) == 6000
+
+
+def test_pages_that_repeat_the_first_id_and_payload_are_all_responses(spark):
+    pages = spark.createDataFrame([(1, "u", "x"), (1, "u", "x"), (2, "u", "x"), (None, "u", "x")], "page_id long, url string, html string")
+    got = sorted((r["page_id"] or -1, r["record_type"], r["refers_to"]) for r in warc.round_trip(pages).collect())
+    assert got == [(-1, "revisit", 1), (1, "response", None), (1, "response", None), (2, "revisit", 1)]
