@@ -3,14 +3,15 @@
 Words are bare of marks at their ends and lower-cased. For an item of L words,
 windows of L words slide over a text one word at a time (a shorter text is one
 window). A window's fingerprint has 64 bits: the sign of the sum of its words'
-hash bits. It is compared with those of all items of its length that share a
-shingle with the text. Candidates within the radius are then compared exactly:
+hash bits. It is compared with those of all items of its length to which a
+shingle of the text points: each item is pointed to by its rarest shingles, as
+many as any similar window must hold one of, so a phrase that many items have (a
+template of questions) points to none of them. Candidates within the radius are then compared exactly:
 five-word shingles with their numbers of occurrences as weights, sum of minima
 over sum of maxima, ``SIMILARITY`` or more.
 
-Only windows that hold some shingle of an item can have any similarity, so
-fingerprints are made for those alone, and only for lengths of items with that
-shingle. The radius of a length follows from the most words that may differ at
+Only windows that hold such a shingle can be similar enough, so fingerprints are
+made for those alone, and only for lengths of items to which it points. The radius of a length follows from the most words that may differ at
 similarity 0.8, those cut at the edges: where they are distinct, the odds of a
 fingerprint beyond it are at most ``ODDS`` (see ``radius``). At 20 bits and more
 no block of a fingerprint is selective, so there are none.
@@ -110,6 +111,20 @@ def radius(n: int) -> int:
     return max(LEAST_RADIUS, next(r for r in range(65) if sum(odds[r + 1 :]) <= ODDS))
 
 
+def pointers(own: Counter, holders: Counter) -> list[int]:
+    """The shingles of an item, the rarest among the items first, one of which every window within ``SIMILARITY`` holds.
+
+    Such a window has ``SIMILARITY`` of the item's shingles in common with it, so it cannot do with the rest alone.
+    """
+    need, left, found = math.ceil(SIMILARITY * own.total() - 1e-9), own.total(), []
+    for h in sorted(own, key=lambda h: (holders[h], h)):
+        if left < need:
+            break
+        found.append(h)
+        left -= own[h]
+    return found
+
+
 class Words(dict):
     """Numbers of the benchmark's words by raw token: 0 for others, -1 for tokens of marks only."""
 
@@ -137,15 +152,16 @@ class Items:
                 vocabulary.setdefault(w, len(vocabulary) + 1)
         self.words = Words(vocabulary)
         self.bits: dict[str, np.ndarray] = {}
-        #: By shingle length: sorted hashes of shingles, and the items of each.
-        anchors: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
-        by_length = defaultdict(list)
+        by_length, held = defaultdict(list), []
         for at, (_, words, _) in enumerate(self.items):
             by_length[len(words)].append(at)
-            k = min(N, len(words))
-            ids = np.array([vocabulary[w] for w in words], np.uint64)
-            for h in self._hashes(ids, k).tolist():
-                anchors[k][h].add(at)
+            held.append(Counter(self._hashes(np.array([vocabulary[w] for w in words], np.uint64), min(N, len(words))).tolist()))
+        holders = Counter(h for own in held for h in own)
+        #: By shingle length: sorted hashes of the shingles that point to items, and those items.
+        anchors: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
+        for at, own in enumerate(held):
+            for h in pointers(own, holders):
+                anchors[min(N, len(self.items[at][1]))][h].add(at)
         self.anchors = {k: (np.array(sorted(found), np.uint64), found) for k, found in anchors.items()}
         self.index = {n: self._indexed(n, ats) for n, ats in by_length.items()}
 
@@ -188,7 +204,7 @@ class Items:
         ids = ids[ids >= 0] if (ids < 0).any() else ids
         known = ids > 0
         places: dict[int, list[tuple[int, int]]] = defaultdict(list)  # item length: (first, last) start of windows
-        likely: dict[int, set[int]] = defaultdict(set)  # item length: items that share a shingle with the text
+        likely: dict[int, set[int]] = defaultdict(set)  # item length: items to which a shingle of the text points
         for k, (hashes, found) in self.anchors.items():
             if len(ids) < k:
                 continue

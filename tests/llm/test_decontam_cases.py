@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,18 +38,19 @@ def test_recall_of_edited_passages():
 
 
 def test_distances_spare_exact_comparisons(monkeypatch):
-    """Texts that share a shingle with many items: of the pairs of windows and items few are within the radius."""
+    """Texts that hold one pointing shingle of each of many items: of the pairs of windows and items few are within the radius."""
     items = passages(200, 40)
-    for w in items:
-        w[:5] = ["one", "and", "the", "same", "start"]
     index = decontam.Items([(i, " ".join(w)) for i, w in enumerate(items)])
-    compared = []
+    known = index.anchors[decontam.N][1]
+    compared, rng, text = [], random.Random(2), []
+    for w in items:
+        hashes = decontam.Items._hashes(np.array([index.words.vocabulary[x] for x in w], np.uint64), decontam.N).tolist()
+        k = next(k for k, h in enumerate(hashes) if h in known)
+        text += [f"f{rng.random()}" for _ in range(40)] + w[k : k + decontam.N]
     monkeypatch.setattr(decontam, "similarity", lambda a, b: compared.append(1) or 0.0)
-    rng = random.Random(2)
-    text = " ".join([f"f{rng.random()}" for _ in range(300)] + ["one", "and", "the", "same", "start"] + [f"g{rng.random()}" for _ in range(300)])
-    index.hits(text)
-    pairs = 200 * 36  # every window that holds the shared shingle, with every item
-    assert len(compared) < 0.1 * pairs
+    index.hits(" ".join(text))
+    pairs = 200 * 36  # every window that holds a pointing shingle, with its item
+    assert 0 < len(compared) < 0.1 * pairs * 200
 
 
 def test_long_texts_are_searched_in_slices(monkeypatch):
@@ -87,3 +89,29 @@ def test_a_text_of_a_million_words():
 def test_slices_cover_all_windows(span):
     parts = list(decontam._sliced(*span, 7))
     assert [w for a, b in parts for w in range(a, b + 1)] == list(range(span[0], span[1] + 1))
+
+
+def test_a_phrase_that_items_share_points_to_none_of_them():
+    """5,000 items behind one template, in a text that repeats the template 50 times and holds one item."""
+    import random
+    import time
+
+    rng = random.Random(8)
+    fresh = lambda n: [f"x{rng.randrange(10**9)}" for _ in range(n)]
+    template = "which of the following answers fits the question below best".split()
+    items = [(i, " ".join(template + fresh(30))) for i in range(5000)]
+    index = decontam.Items(items)
+    text = " ".join(" ".join(fresh(60) + template) for _ in range(50))
+    began = time.perf_counter()
+    assert index.hits(text) == []
+    assert [h[0] for h in index.hits(f"{text} {items[7][1]} {text}")] == [7]
+    assert time.perf_counter() - began < 2
+    shared = {h for own in [decontam.Items._hashes(np.array([index.words.vocabulary[w] for w in template], np.uint64), decontam.N)] for h in own.tolist()}
+    assert not shared & set(index.anchors[decontam.N][1])
+
+
+def test_items_that_are_all_template_are_still_found():
+    items = [(i, f"name the capital of the country {c} please") for i, c in enumerate(("france", "spain", "chile"))] + [(9, "one two three four five six"), (10, "one two three four five six")]
+    index = decontam.Items(items)
+    assert [h[0] for h in index.hits("so name the capital of the country spain please now")] == [1]
+    assert [h[0] for h in index.hits("one two three four five six")] == [9, 10]
