@@ -5,7 +5,8 @@ route_type int), calendar (service_id, monday ... sunday), trips (trip_id,
 route_id, service_id), stop_times (trip_id, stop_id, stop_sequence int, arr int,
 dep int). Times are seconds that may pass a day.
 
-Joins carry no hints: Spark broadcasts a side whose measured size is under its
+Joins carry no hints but that on the modes of route types, which are small numbers,
+so at most a row each: Spark broadcasts a side whose measured size is under its
 threshold and shuffles both otherwise.
 """
 
@@ -57,7 +58,7 @@ def classified_routes(routes: DataFrame, mode_map: DataFrame, exclude: Iterable[
     out = F.coalesce(name.isin(exclude), F.lit(False)) if exclude else F.lit(False)
     out = out | (~F.coalesce(name.isin(only), F.lit(False)) if only else F.lit(False))
     primary = mode_map.filter("is_primary").select(F.col("route_type").alias("_type"), "mode")
-    typed = routes.withColumn("_t", modes.route_type(F.col("route_type"))).join(primary, F.col("_t") == F.col("_type"), "left").drop("_t", "_type")
+    typed = routes.withColumn("_t", modes.route_type(F.col("route_type"))).join(F.broadcast(primary), F.col("_t") == F.col("_type"), "left").drop("_t", "_type")
     return typed.withColumn("removal_reason", F.when(out, "SETTINGS_EXCLUDED").when(F.col("mode").isNull(), "MODE_INCOMPATIBLE"))
 
 
