@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from headway.functions import geo, modes
 from headway.functions.modes import ModeMap
-from headway.operators import ids, matching, network, paths, spatial
+from headway.operators import ids, matching, network, paths, spatial, splitting
 from headway.plans.intermodal import Intermodal, ZoningConfig
 from headway.plans.services import from_feed
 from headway.queries import services, zoning
@@ -206,6 +206,15 @@ def leg_shortest_path(spark, sf_dir):
     return found.select("from_stop", "to_stop", "mode", F.size("segments").alias("n_segments"), F.round("length", 6).alias("length_km"), F.round("cost", 6).alias("hours"), shown.alias("segments"))
 
 
+def cut_network(spark, sf_dir):
+    """All segments of the network cut at the new nodes of stops: where they begin and end, their share of the length, their modes."""
+    w = zoning._World(spark, sf_dir)
+    split = splitting.split_network(w.nodes, w.links, w.segments, written(matching.snapped(w.access, w.nodes)))
+    end = lambda node, k: split.nodes.select(F.col("node_id").alias(node), F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}"))
+    rows = split.segments.join(end("from_node", 0), "from_node").join(end("to_node", 1), "to_node")
+    return rows.select("x0", "y0", "x1", "y1", F.round("length_km", 6).alias("length_km"), F.array_join("modes", ",").alias("modes"))
+
+
 def _intermodal(spark, sf_dir) -> Intermodal:
     t = spark_tables(spark, sf_dir, "stops", "nodes", "links", "segments")
     return Intermodal(services._services(spark, sf_dir), t["stops"], {k: t[k] for k in ("nodes", "links", "segments")}, ZoningConfig())
@@ -227,7 +236,7 @@ QUERIES = {
     for f in (
         feed_stop_times, feed_stops, feed_row_counts, feed_services, zone_conflicts, connectoids_of_several_modes, link_overrides, joint_rules, zone_sides, zone_match_sides, closest_zone_access, connectoids_by_node,
         widened_connectoids, zoning_counters, stops_by_active_mode, numbered_nodes, appended_ids, mapped_service_network, truncated_trips, consolidated_parts,
-        path_requests, leg_shortest_path, intermodal_zones, intermodal_paths,
+        path_requests, leg_shortest_path, cut_network, intermodal_zones, intermodal_paths,
     )
 }
 
@@ -240,6 +249,7 @@ _STEPS = zoning._STEPS | services._STEPS | {
     "sided": f"SELECT stop_id, zone_id, bool_or(good) AS any_on_side, bool_and(good) AS all_on_side FROM ({_SIDE}) q GROUP BY stop_id, zone_id",
     "leg3": """SELECT * FROM (SELECT trip_id, route_id, mode, lag(stop_id) OVER w AS from_stop, stop_id AS to_stop, arr - lag(dep) OVER w AS duration, dep - arr AS dwell, lag(dep) OVER w AS started, row_number() OVER w AS nth
         FROM begun WINDOW w AS (PARTITION BY trip_id ORDER BY stop_sequence)) q WHERE nth > 1""",
+    "cut_piece": "SELECT link_id, x AS px, y AS py, lead(x) OVER w AS qx, lead(y) OVER w AS qy FROM point WINDOW w AS (PARTITION BY link_id ORDER BY kind, d) QUALIFY lead(x) OVER w IS NOT NULL",
     "many": "SELECT stop_id, platform_code, x, y, mode FROM stops UNION SELECT stop_id, platform_code, x, y, CASE stop_id % 3 WHEN 0 THEN 'BUS' WHEN 1 THEN 'FERRY' ELSE 'TRAIN' END FROM stops",
     "mchosen": f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY stop_id, mode ORDER BY CASE WHEN mode = 'BUS' THEN link_capacity ELSE 0 END DESC, d2, link_id) AS pick FROM (SELECT *, min(sqrt(d2)) OVER (PARTITION BY stop_id, mode) AS nearest FROM (
         SELECT c.*, m.link_capacity FROM (SELECT q.*, (x - nx) * (x - nx) + (y - ny) * (y - ny) AS d2 FROM (SELECT s.*, l.*, l.x0 + {zoning._T} * (l.x1 - l.x0) AS nx, l.y0 + {zoning._T} * (l.y1 - l.y0) AS ny FROM many s, links l
@@ -325,6 +335,9 @@ SQL = {
         "truncated_trips": "SELECT trip_id, part, count(*) AS n_legs, min(nth) AS first_leg, CAST(sum(duration) AS BIGINT) AS duration FROM parted GROUP BY trip_id, part",
         "consolidated_parts": """SELECT route_id, mode, timings, count(*) AS n_trips, array_to_string(list_sort(list_distinct(list(departure))), ',') AS departures FROM (SELECT trip_id, part, route_id, mode, arg_min(started, nth) AS departure,
             string_agg(concat(from_stop, '>', to_stop, ':', duration, '+', dwell), ' ' ORDER BY nth) AS timings FROM parted GROUP BY ALL) q GROUP BY route_id, mode, timings""",
+        "cut_network": """SELECT CASE WHEN ahead THEN px ELSE qx END AS x0, CASE WHEN ahead THEN py ELSE qy END AS y0, CASE WHEN ahead THEN qx ELSE px END AS x1, CASE WHEN ahead THEN qy ELSE py END AS y1, round(length_km * share, 6) AS length_km, modes
+            FROM (SELECT s.from_node = l.node_a AS ahead, p.*, s.length_km, s.modes, sqrt((qx - px) * (qx - px) + (qy - py) * (qy - py)) / sqrt((l.x1 - l.x0) * (l.x1 - l.x0) + (l.y1 - l.y0) * (l.y1 - l.y0)) AS share
+            FROM segments s JOIN links l ON l.link_id = s.link_id JOIN cut_piece p ON p.link_id = s.link_id) q""",
         "path_requests": """SELECT from_stop, to_stop, mode, origin, target, finish AS "end", last, array_to_string(banned, ',') AS banned FROM asked""",
         "leg_shortest_path": "SELECT from_stop, to_stop, mode, CAST(len(segs) AS INT) AS n_segments, round(km, 6) AS length_km, round(cost, 6) AS hours, array_to_string(segs, ',') AS segments FROM found",
     }.items()
