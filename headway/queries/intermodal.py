@@ -221,7 +221,7 @@ def _intermodal(spark, sf_dir) -> Intermodal:
 
 
 def intermodal_zones(spark, sf_dir):
-    """Zones of a conversion on a network without any; a test on a small network holds what must come out."""
+    """Zones of a conversion on a network without any."""
     rows = _intermodal(spark, sf_dir).zones
     return rows.select("zone_id", "external_ids", "name", "x", "y", F.array_join("modes", ",").alias("modes"))
 
@@ -244,6 +244,20 @@ QUERIES = {
 _SIDE = f"""SELECT zp.stop_id, zp.zone_id, zp.mode, CASE WHEN (l.x1 - l.x0) * (zp.y - (l.y0 + {{t}} * (l.y1 - l.y0))) - (l.y1 - l.y0) * (zp.x - (l.x0 + {{t}} * (l.x1 - l.x0))) = 0 THEN true
     ELSE ((l.x1 - l.x0) * (zp.y - (l.y0 + {{t}} * (l.y1 - l.y0))) - (l.y1 - l.y0) * (zp.x - (l.x0 + {{t}} * (l.x1 - l.x0))) > 0) = (g.from_node = l.node_a) END AS good
     FROM zpair zp JOIN connectoids c ON c.zone_id = zp.zone_id AND list_contains(string_split(c.modes, ','), zp.mode) JOIN segments g ON g.segment_id = c.segment_id JOIN links l ON l.link_id = g.link_id""".format(t=zoning._T.replace("s.x", "zp.x").replace("s.y", "zp.y"))
+def _chosen(stops: str) -> str:
+    """The link of each stop and mode of a step."""
+    return f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY stop_id, mode ORDER BY CASE WHEN mode = 'BUS' THEN link_capacity ELSE 0 END DESC, d2, link_id) AS pick FROM (SELECT *, min(sqrt(d2)) OVER (PARTITION BY stop_id, mode) AS nearest FROM (
+        SELECT c.*, m.link_capacity FROM (SELECT q.*, (x - nx) * (x - nx) + (y - ny) * (y - ny) AS d2 FROM (SELECT s.*, l.*, l.x0 + {zoning._T} * (l.x1 - l.x0) AS nx, l.y0 + {zoning._T} * (l.y1 - l.y0) AS ny FROM {stops} s, links l
+        WHERE greatest(l.x0, l.x1) >= s.x - 40 AND least(l.x0, l.x1) <= s.x + 40 AND greatest(l.y0, l.y1) >= s.y - 40 AND least(l.y0, l.y1) <= s.y + 40) q) c JOIN lmode m ON m.link_id = c.link_id
+        WHERE list_contains(string_split(m.modes, ','), c.mode) AND c.d2 <= 1600) q) r WHERE sqrt(d2) <= nearest + 8) t WHERE pick = 1"""
+
+
+def _entry(chosen: str) -> str:
+    """The segments by which stops may be entered from the links of a step."""
+    return f"""SELECT stop_id, mode, segment_id, to_node, modes FROM (SELECT c.stop_id, c.mode, g.segment_id, g.to_node, g.modes, CASE WHEN c.cr = 0 THEN 'ON' WHEN (c.cr > 0) = (g.from_node = c.node_a) THEN 'LEFT' ELSE 'RIGHT' END AS side
+        FROM (SELECT *, (x1 - x0) * (y - ny) - (y1 - y0) * (x - nx) AS cr FROM {chosen}) c JOIN segments g ON g.link_id = c.link_id AND list_contains(string_split(g.modes, ','), c.mode)) q WHERE mode <> 'BUS' OR side <> 'RIGHT'"""
+
+
 _STEPS = zoning._STEPS | services._STEPS | {
     "compat": "SELECT DISTINCT a.mode, b.mode AS with_mode FROM mode_map a JOIN mode_map b USING (route_type)",
     "sided": f"SELECT stop_id, zone_id, bool_or(good) AS any_on_side, bool_and(good) AS all_on_side FROM ({_SIDE}) q GROUP BY stop_id, zone_id",
@@ -251,16 +265,23 @@ _STEPS = zoning._STEPS | services._STEPS | {
         FROM begun WINDOW w AS (PARTITION BY trip_id ORDER BY stop_sequence)) q WHERE nth > 1""",
     "cut_piece": "SELECT link_id, x AS px, y AS py, lead(x) OVER w AS qx, lead(y) OVER w AS qy FROM point WINDOW w AS (PARTITION BY link_id ORDER BY kind, d) QUALIFY lead(x) OVER w IS NOT NULL",
     "many": "SELECT stop_id, platform_code, x, y, mode FROM stops UNION SELECT stop_id, platform_code, x, y, CASE stop_id % 3 WHEN 0 THEN 'BUS' WHEN 1 THEN 'FERRY' ELSE 'TRAIN' END FROM stops",
-    "mchosen": f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY stop_id, mode ORDER BY CASE WHEN mode = 'BUS' THEN link_capacity ELSE 0 END DESC, d2, link_id) AS pick FROM (SELECT *, min(sqrt(d2)) OVER (PARTITION BY stop_id, mode) AS nearest FROM (
-        SELECT c.*, m.link_capacity FROM (SELECT q.*, (x - nx) * (x - nx) + (y - ny) * (y - ny) AS d2 FROM (SELECT s.*, l.*, l.x0 + {zoning._T} * (l.x1 - l.x0) AS nx, l.y0 + {zoning._T} * (l.y1 - l.y0) AS ny FROM many s, links l
-        WHERE greatest(l.x0, l.x1) >= s.x - 40 AND least(l.x0, l.x1) <= s.x + 40 AND greatest(l.y0, l.y1) >= s.y - 40 AND least(l.y0, l.y1) <= s.y + 40) q) c JOIN lmode m ON m.link_id = c.link_id
-        WHERE list_contains(string_split(m.modes, ','), c.mode) AND c.d2 <= 1600) q) r WHERE sqrt(d2) <= nearest + 8) t WHERE pick = 1""",
+    "mchosen": _chosen("many"),
     "moption": """SELECT stop_id, mode, zone_id, priority, d2 FROM (SELECT p.stop_id, p.mode, p.zone_id, p.d2, CASE WHEN lower(p.platforms) = lower(p.platform_code) THEN 3 WHEN list_contains(m.zl, c.link_id) AND p.d2 <= 115600 THEN 4
         WHEN least(abs(az1 - az2), 360 - abs(az1 - az2)) < 100 THEN 5 END AS priority FROM (SELECT s.stop_id, s.mode, s.platform_code, s.x, s.y, z.zone_id, z.platforms, z.x AS zx, z.y AS zy, (s.x - z.x) * (s.x - z.x) + (s.y - z.y) * (s.y - z.y) AS d2
         FROM many s JOIN zones z ON abs(s.x - z.x) <= 300 AND abs(s.y - z.y) <= 300) p JOIN zmode m ON m.zone_id = p.zone_id AND list_contains(m.zm, p.mode) LEFT JOIN mchosen c ON c.stop_id = p.stop_id AND c.mode = p.mode,
         LATERAL (SELECT (degrees(atan2(p.x - c.nx, p.y - c.ny)) + 360) % 360 AS az1, (degrees(atan2(p.zx - c.nx, p.zy - c.ny)) + 360) % 360 AS az2) a) q WHERE priority IS NOT NULL""",
-    "mentry": """SELECT stop_id, mode, segment_id, to_node, modes FROM (SELECT c.stop_id, c.mode, g.segment_id, g.to_node, g.modes, CASE WHEN c.cr = 0 THEN 'ON' WHEN (c.cr > 0) = (g.from_node = c.node_a) THEN 'LEFT' ELSE 'RIGHT' END AS side
-        FROM (SELECT *, (x1 - x0) * (y - ny) - (y1 - y0) * (x - nx) AS cr FROM mchosen) c JOIN segments g ON g.link_id = c.link_id AND list_contains(string_split(g.modes, ','), c.mode)) q WHERE mode <> 'BUS' OR side <> 'RIGHT'""",
+    "mentry": _entry("mchosen"),
+    # The conversion of a network without zones: stops by the modes of the trips that call there.
+    "called": "SELECT DISTINCT s.stop_id, s.stop_name, s.platform_code, s.x, s.y, b.mode FROM stops s JOIN begun b ON b.stop_id = s.stop_id",
+    "vchosen": _chosen("called"),
+    "ventry": _entry("vchosen"),
+    "vplace": """SELECT stop_id, mode, link_id, CASE WHEN (nx - x1) * (nx - x1) + (ny - y1) * (ny - y1) <= 25 THEN node_b WHEN (nx - x0) * (nx - x0) + (ny - y0) * (ny - y0) <= 25 THEN node_a END AS access_node FROM vchosen
+        WHERE x BETWEEN (SELECT min(x) FROM nodes) AND (SELECT max(x) FROM nodes) AND y BETWEEN (SELECT min(y) FROM nodes) AND (SELECT max(y) FROM nodes)""",
+    "vown": "SELECT c.stop_id, c.mode, e.segment_id, e.modes FROM vplace c JOIN ventry e ON e.stop_id = c.stop_id AND e.mode = c.mode WHERE c.access_node IS NULL OR e.to_node = c.access_node",
+    "vaccess": """SELECT * FROM vown UNION ALL SELECT c.stop_id, c.mode, g.segment_id, g.modes FROM (SELECT * FROM vplace ANTI JOIN vown USING (stop_id, mode)) c
+        JOIN segments g ON g.to_node = c.access_node AND list_contains(string_split(g.modes, ','), c.mode) AND g.link_id <> c.link_id""",
+    "vmodes": """SELECT e.stop_id, string_agg(DISTINCT u.with_mode, ',' ORDER BY u.with_mode) AS modes FROM vaccess e JOIN compat u ON u.mode = e.mode
+        WHERE NOT EXISTS (SELECT 1 FROM vaccess o WHERE o.stop_id = e.stop_id AND o.mode = e.mode AND NOT list_contains(string_split(o.modes, ','), u.with_mode)) GROUP BY e.stop_id""",
     "asked": """SELECT DISTINCT l.from_stop, l.to_stop, l.mode, c.access_node AS origin, g.from_node AS target, d.access_node AS finish, d.segment_id AS last,
             list_sort(list_distinct(list_filter([CASE WHEN d.segment_id % 2 = 0 THEN d.segment_id + 1 ELSE d.segment_id - 1 END, CASE WHEN l.mode = 'BUS' THEN CASE WHEN c.segment_id % 2 = 0 THEN c.segment_id + 1 ELSE c.segment_id - 1 END END], lambda x: x IS NOT NULL))) AS banned
             FROM (SELECT DISTINCT from_stop, to_stop, mode FROM leg3) l JOIN best a ON a.stop_id = l.from_stop JOIN best b ON b.stop_id = l.to_stop JOIN connectoids c ON c.zone_id = a.zone_id AND list_contains(string_split(c.modes, ','), l.mode)
@@ -335,6 +356,8 @@ SQL = {
         "truncated_trips": "SELECT trip_id, part, count(*) AS n_legs, min(nth) AS first_leg, CAST(sum(duration) AS BIGINT) AS duration FROM parted GROUP BY trip_id, part",
         "consolidated_parts": """SELECT route_id, mode, timings, count(*) AS n_trips, array_to_string(list_sort(list_distinct(list(departure))), ',') AS departures FROM (SELECT trip_id, part, route_id, mode, arg_min(started, nth) AS departure,
             string_agg(concat(from_stop, '>', to_stop, ':', duration, '+', dwell), ' ' ORDER BY nth) AS timings FROM parted GROUP BY ALL) q GROUP BY route_id, mode, timings""",
+        "intermodal_zones": """SELECT row_number() OVER (ORDER BY q.stop_id) AS zone_id, CAST(q.stop_id AS VARCHAR) AS external_ids, s.stop_name AS name, s.x, s.y, m.modes
+            FROM (SELECT DISTINCT stop_id FROM vplace) q JOIN stops s ON s.stop_id = q.stop_id LEFT JOIN vmodes m ON m.stop_id = q.stop_id""",
         "cut_network": """SELECT CASE WHEN ahead THEN px ELSE qx END AS x0, CASE WHEN ahead THEN py ELSE qy END AS y0, CASE WHEN ahead THEN qx ELSE px END AS x1, CASE WHEN ahead THEN qy ELSE py END AS y1, round(length_km * share, 6) AS length_km, modes
             FROM (SELECT s.from_node = l.node_a AS ahead, p.*, s.length_km, s.modes, sqrt((qx - px) * (qx - px) + (qy - py) * (qy - py)) / sqrt((l.x1 - l.x0) * (l.x1 - l.x0) + (l.y1 - l.y0) * (l.y1 - l.y0)) AS share
             FROM segments s JOIN links l ON l.link_id = s.link_id JOIN cut_piece p ON p.link_id = s.link_id) q""",
