@@ -11,6 +11,9 @@ A null doc_id, lang, source or n_chars decides nothing and is passed on; in the
 third stage null doc_ids stand behind all others, and in the last a null source is
 a source of its own. Extra columns are passed on by all but the last stage,
 whatever their names. An empty table gives empty stages.
+
+Each stage sets the session's Arrow batches to ``ARROW_ROWS`` rows at most: texts may
+be long, and the JVM and the Python worker of each task hold whole batches.
 """
 
 from __future__ import annotations
@@ -20,26 +23,40 @@ from pyspark.sql import DataFrame, SparkSession
 from headway.llm import decontam, jaccard, mixing, quality, toxicity
 from headway.llm.base import table, written
 
+ARROW_ROWS = 1_000
+
+
+def _short_batches(spark: SparkSession) -> None:
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(setting))
+    if not 0 < now <= ARROW_ROWS:
+        spark.conf.set(setting, str(ARROW_ROWS))
+
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _short_batches(spark)
     return quality.keep_good(docs)
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _short_batches(spark)
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
 def one_of_a_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Five-word shingles, similarity 0.8 or more."""
+    _short_batches(spark)
     return jaccard.keep_first(docs, n=5, percent=80)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _short_batches(spark)
     return decontam.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per copy of a document that the mix takes: doc_id, source, size, copy, words and moment."""
+    _short_batches(spark)
     return mixing.mix(docs)
 
 
