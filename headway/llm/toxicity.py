@@ -248,6 +248,12 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([s / n for _, n, s in pools]), np.array([s / n for s, n, _ in pools])
 
 
+def _few(texts: pa.Array) -> Iterator[list[str | None]]:
+    """The texts of a batch, a few at a time, so that Python holds no batch of strings and vectors."""
+    for low in range(0, len(texts), TOGETHER):
+        yield texts.slice(low, TOGETHER).to_pylist()
+
+
 def examples(docs: DataFrame, labels: DataFrame, limit: int = MAX_EXAMPLES) -> DataFrame:
     """doc_id, label, body and sign of at most ``limit`` examples, as a written table."""
     known = labels.filter("doc_id is not null and toxic in (0, 1)").filter(~held_out(F.col("doc_id")))
@@ -270,7 +276,7 @@ def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[np.ndarray,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, df = Vocabulary(sent.value), np.zeros(len(sent.value) + 1, np.int64)
         for batch in batches:
-            for body in batch.column("body").to_pylist():
+            for body in (b for bodies in _few(batch.column("body")) for b in bodies):
                 df[vocabulary.terms(body)] += 1
                 df[-1] += 1
         at = np.flatnonzero(df)
@@ -354,7 +360,11 @@ def scored(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), t
         m = sent.value
         vocabulary = Vocabulary(m.terms)
         for batch in batches:
-            votes, evidence = m.votes_on([vocabulary.counts(body or "") for body in batch.column(text).to_pylist()])
+            votes, evidence = [], []
+            for bodies in _few(batch.column(text)):
+                some = m.votes_on([vocabulary.counts(body or "") for body in bodies])
+                votes += some[0]
+                evidence += some[1]
             rest = [batch.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(m.calibrated(np.array(votes))), pa.array(evidence, pa.list_(pa.int64()))], [*keep, "score", "evidence"])
 
