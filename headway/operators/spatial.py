@@ -61,6 +61,12 @@ def _on_leaves(rows: DataFrame, crowded: list[DataFrame], radius: float, childre
     return rows
 
 
+def on_leaves(points: DataFrame, crowded: list[DataFrame], radius: float) -> DataFrame:
+    """Points with ``_level``, ``_cx`` and ``_cy`` of their leaf."""
+    placed = points.withColumns({"_level": F.lit(0), "_cx": _cell("x", 2 * radius), "_cy": _cell("y", 2 * radius)})
+    return _on_leaves(placed, crowded, radius, {k: lambda s, k=k: F.array(_cell(k, s)) for k in "xy"})
+
+
 def in_box_join(points: DataFrame, boxes: DataFrame, radius: float, line: str | None = None, crowded: list[DataFrame] | None = None) -> DataFrame:
     """Pairs of points (x, y) and boxes (x_min, x_max, y_min, y_max) where the box meets the point's square of half width ``radius``.
 
@@ -68,7 +74,7 @@ def in_box_join(points: DataFrame, boxes: DataFrame, radius: float, line: str |
     near the point's cell: cells then follow the line's length. ``crowded`` are the cells to be split, from :func:`quartered`.
     """
     size = 2 * radius
-    placed = points.withColumns({"_cx": _cell("x", size), "_cy": _cell("y", size)})
+    placed = on_leaves(points, crowded or [], radius)
     low, high = {k: F.col(f"{k}_min") - radius for k in "xy"}, {k: F.col(f"{k}_max") + radius for k in "xy"}
     wide = geo.cells(low["x"], high["x"], low["y"], high["y"], size)
     if line is not None:
@@ -78,14 +84,12 @@ def in_box_join(points: DataFrame, boxes: DataFrame, radius: float, line: str |
     keys = ["_cx", "_cy"]
     if crowded:
         keys = ["_level", *keys]
-        own = {k: lambda s, k=k: F.array(_cell(k, s)) for k in "xy"}
         touched = {k: lambda s, k=k: F.sequence(F.greatest(2 * F.col(f"_c{k}"), F.floor(low[k] / s)), F.least(2 * F.col(f"_c{k}") + 1, F.floor(high[k] / s))) for k in "xy"}
         # Cells near a line may lie beside its box by a cell's width at most, where no quarter is touched.
         inside = [F.floor(low[k] / size) <= F.col(f"_c{k}") for k in "xy"] + [F.floor(high[k] / size) >= F.col(f"_c{k}") for k in "xy"]
-        placed = _on_leaves(placed.withColumn("_level", F.lit(0)), crowded, radius, own)
         dealt = _on_leaves(dealt.filter(inside[0] & inside[1] & inside[2] & inside[3]).withColumn("_level", F.lit(0)), crowded, radius, touched)
     near = (F.col("x_max") >= F.col("x") - radius) & (F.col("x_min") <= F.col("x") + radius) & (F.col("y_max") >= F.col("y") - radius) & (F.col("y_min") <= F.col("y") + radius)
-    return placed.join(dealt, keys).filter(near).drop(*keys)
+    return placed.join(dealt, keys).filter(near).drop("_level", "_cx", "_cy")
 
 
 def link_boxes(links: DataFrame) -> DataFrame:

@@ -29,10 +29,7 @@ def test_crowded_cells_are_quartered(spark):
     points = spark.createDataFrame(crowd(), "point_id long, x double, y double")
     found = spatial.quartered(points, 40.0, 100)
     assert len(found) >= 3
-    placed = spatial._on_leaves(
-        points.withColumns({"_level": F.lit(0), "_cx": spatial._cell("x", 80.0), "_cy": spatial._cell("y", 80.0)}), found, 40.0,
-        {k: (lambda s, k=k: F.array(spatial._cell(k, s))) for k in "xy"},
-    )
+    placed = spatial.on_leaves(points, found, 40.0)
     sizes = Counter((r["_level"], r["_cx"], r["_cy"]) for r in placed.collect())
     assert sum(sizes.values()) == 4000 and max(sizes.values()) <= 100
     hot = points.groupBy(spatial._cell("x", 80.0), spatial._cell("y", 80.0)).count().agg(F.max("count")).first()[0]
@@ -53,10 +50,7 @@ def test_tasks_are_even_on_leaves(spark):
     """The points of the largest task are at most three times those of the median one."""
     points = spark.createDataFrame(crowd(12_000), "point_id long, x double, y double")
     found = spatial.quartered(points, 40.0, 60)
-    placed = spatial._on_leaves(
-        points.withColumns({"_level": F.lit(0), "_cx": spatial._cell("x", 80.0), "_cy": spatial._cell("y", 80.0)}), found, 40.0,
-        {k: (lambda s, k=k: F.array(spatial._cell(k, s))) for k in "xy"},
-    )
+    placed = spatial.on_leaves(points, found, 40.0)
     tasks = sorted(r["count"] for r in placed.repartition(16, "_level", "_cx", "_cy").groupBy(F.spark_partition_id()).count().collect())
     assert tasks[-1] <= 3 * tasks[len(tasks) // 2]
 
