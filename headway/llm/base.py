@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -72,6 +73,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of plans that are done, as it does once the driver's garbage is collected; else those of all rounds add up."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 #: Rows of a few numbers that are broadcast at most; the most frequent keys that a join leaves out of its shuffle.
 BROADCAST_ROWS, HOT_KEYS = 1_000_000, 10_000
 

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from headway.llm.base import small as _small
-from headway.llm.base import written
+from headway.llm.base import released, written
 from headway.llm.shingles import each_text, shingles
 
 MAX_FREQUENT, CHUNK, LOCAL = 1_000_000, 2_000_000, 3
@@ -237,6 +237,8 @@ def links(live: DataFrame, prefixes: DataFrame, sets: DataFrame, percent: int) -
             edges.append(found)
             roots = written(components(_union(edges)))
         last, turn = across, turn + 1
+        del star
+        released(live.sparkSession)
     # In a shingle's holders, the largest component's members meet only the others, so they are never paired among themselves.
     # The join itself compares the prefixes, so it gives only pairs with enough matches.
     rows = written(open_.select("cid", "root", "n", "matches", "shingle", "main").join(prefixes, "cid"))
@@ -279,6 +281,7 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
         "_low": F.greatest(F.min("n").over(holders), _part(F.col("n"), percent)), "_high": F.max("n").over(holders),
     })
     met = written(met)
+    released(docs.sparkSession)
     # The sizes of possible partners tell how many shared shingles a pair of the class could do with. A class that shares
     # fewer has no pair; the others can do without their most common ones, one fewer than that: the rarest that a pair
     # shares is left to both.
@@ -295,6 +298,7 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     prefixes = ranked.groupBy("cid").agg(F.collect_list((F.pmod(F.hash("shingle"), F.lit(65_536)) - 32_768).cast("smallint")).alias("prefix"))
     prefixes = prefixes.withColumn("twice", F.size("prefix") - F.size(F.array_distinct("prefix")))
     sets = written(_sets(docs, wanted, n))
+    released(docs.sparkSession)
     roots = links(live, prefixes, sets, percent)
     if roots is None:
         known = classes.select("digest", F.col("doc").alias("component_id"))
