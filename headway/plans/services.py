@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from headway.functions import time
@@ -14,13 +14,14 @@ from headway.operators import network, services
 
 @dataclass
 class ServicesConfig:
-    """``day`` must be set. Periods hold both their ends; none means the whole day."""
+    """``day`` must be set. Periods hold both their ends; none means the whole day. ``only_services`` is a condition on calendar rows."""
 
     day: str
     dialect: str = "EXTENDED"
     periods: list[tuple[int, int]] = field(default_factory=list)
     exclude_names: list[str] = field(default_factory=list)
     only_names: list[str] = field(default_factory=list)
+    only_services: Column | str | None = None
     partial_trips: bool = True
     both_days: bool = False
     group_identical: bool = True
@@ -65,7 +66,8 @@ class Services:
         self.config = config
         self.mode_map = config.modes.rows(spark)
         self.routes = services.classified_routes(tables["routes"], self.mode_map, config.exclude_names, config.only_names)
-        self.active = services.active_services(tables["calendar"], config.day)
+        calendar = tables["calendar"] if config.only_services is None else tables["calendar"].filter(config.only_services)
+        self.active = services.active_services(calendar, config.day)
         self.all_trips = services.classified_trips(tables["trips"].select("trip_id", "route_id", "service_id"), self.active, self.routes)
         self.trips = services.kept_trips(self.all_trips)
         rows = services.with_trips(tables["stop_times"], self.trips)

@@ -111,6 +111,11 @@ def trips_active(spark, sf_dir):
     return _services(spark, sf_dir).trips.select("trip_id", "route_id", "mode")
 
 
+def trips_of_chosen_services(spark, sf_dir):
+    """Kept trips where a condition on calendar rows leaves some of the day's services."""
+    return _services(spark, sf_dir, only_services="service_id % 3 <> 1 AND friday = 0").trips.select("trip_id", "route_id", "service_id")
+
+
 def trips_removed_reason(spark, sf_dir):
     return _services(spark, sf_dir).all_trips.filter("removal_reason is not null").select("trip_id", "removal_reason")
 
@@ -263,7 +268,7 @@ def stop_times_two_periods(spark, sf_dir):
 QUERIES = {f"scan_{n}": _scan(n) for n in ("agency", *CORE, "stops")} | {
     f.__name__: f
     for f in (
-        calendar_active_any, calendar_active_services, routes_name_filter, routes_removed_reason, routes_by_mode, routed_service_names, mode_compatibility,
+        calendar_active_any, calendar_active_services, routes_name_filter, routes_removed_reason, routes_by_mode, routed_service_names, mode_compatibility, trips_of_chosen_services,
         trips_active, trips_removed_reason, stop_times_in_window, trip_late_start, trip_strict_window, stop_time_duplicates, leg_timings, trip_departure,
         service_nodes, leg_segments_by_mode, legs_undirected, trips_without_legs, services_without_trips, modes_empty, consolidated_trips, distinct_departures,
         routes_per_stop, modes_per_stop, removed_counts, route_type_counts, feed_validation, extended_times, location_types,
@@ -280,6 +285,7 @@ SQL = {f"scan_{n}": duckdb(f"SELECT * FROM {n}") for n in ("agency", *CORE, "sto
         "routes_removed_reason": "SELECT route_id, route_type, removal_reason FROM cls_routes WHERE removal_reason IS NOT NULL",
         "routes_by_mode": "SELECT mode, count(*) AS n_routes, count(*) FILTER (route_id % 11 <> 0 AND route_id % 7 <> 0) AS n_named FROM cls_routes WHERE removal_reason IS NULL GROUP BY mode",
         "routed_service_names": "SELECT route_id AS external_id, route_short_name AS name, route_long_name AS name_description, mode FROM cls_routes WHERE removal_reason IS NULL",
+        "trips_of_chosen_services": "SELECT trip_id, route_id, service_id FROM kept WHERE service_id IN (SELECT service_id FROM calendar WHERE service_id % 3 <> 1 AND friday = 0)",
         "mode_compatibility": "SELECT s.mode, c.with_mode, count(*) AS n_stops FROM stops s JOIN (SELECT DISTINCT a.mode, b.mode AS with_mode FROM mode_map a JOIN mode_map b USING (route_type)) c ON c.mode = s.mode GROUP BY ALL",
         "trips_active": "SELECT trip_id, route_id, mode FROM kept",
         "trips_removed_reason": "SELECT trip_id, removal_reason FROM cls_trips WHERE removal_reason IS NOT NULL",
