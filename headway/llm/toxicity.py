@@ -22,7 +22,9 @@ nearest examples. Held-out figures are in the README.
 
 Scale: the examples, and with them terms and postings, are bounded by
 ``MAX_EXAMPLES`` and broadcast; documents are read twice for idf and scores and
-never shuffled. Only (doc_id, digest) of rows meets the labels.
+never shuffled. Each time the words of a few texts are split and told apart by
+Arrow and looked up once, as most are in no example. Only (doc_id, digest) of rows
+meets the labels.
 
 Null and empty texts, and others without any known term, have no neighbours; their
 vote is the toxic share of such examples, drawn to the prior. Very long texts are
@@ -37,13 +39,13 @@ passed on, so names cannot clash.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,8 +56,8 @@ PREFIXES = (4,)
 SHRINK, FOLDS = 30.0, 4
 K, BLOCK, OFTEN, FIRST_BLOCKS, PRIOR_WEIGHT, STEPS = 15, 64, 16, 4, 1.0, 5
 THRESHOLD = 0.3
-#: Words whose terms a task remembers; texts whose cosines are begun together.
-MEMO, TOGETHER = 300_000, 64
+#: Texts whose cosines are begun together; texts, and about as many bytes of them, whose words are told apart together.
+TOGETHER, FEW, FEW_BYTES = 64, 256, 1_000_000
 EDGES = ".,;:!?*&$%#|<>\"'()[]{}-_/\\"
 
 
@@ -70,36 +72,48 @@ def terms_of(word: str) -> list[str]:
 
 
 class Vocabulary:
-    """Terms by number."""
+    """Terms by number, found by whole word and by beginning."""
 
     def __init__(self, terms: list[str]):
-        self.number = {t: i for i, t in enumerate(terms)}
-        self.memo: dict[str, tuple[int, ...]] = {}
-
-    def _hits(self, tokens: list[str]) -> list[tuple[int, ...]]:
-        """By word, the numbers of its terms."""
-        memo, number = self.memo, self.number
-        hits = list(map(memo.get, tokens))
-        if None in hits:
-            if len(memo) > MEMO:
-                memo.clear()
-            for i, hit in enumerate(hits):
-                if hit is None:
-                    hits[i] = memo[tokens[i]] = tuple(number[t] for t in terms_of(tokens[i]) if t in number)
-        return hits
-
-    def terms(self, text: str | None) -> list[int]:
-        """The numbers of the terms in a text."""
-        return list(set().union(*self._hits(list(set((text or "").split())))))
-
-    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """The numbers of the terms in a text, sorted, and how often each occurs."""
-        words = Counter((text or "").split())
-        hits = self._hits(list(words))
-        size = np.fromiter(map(len, hits), np.int64, len(hits))
-        found = np.fromiter(chain.from_iterable(hits), np.int32, int(size.sum()))
-        at, place = np.unique(found, return_inverse=True)
-        return at, np.bincount(place, np.repeat(np.fromiter(words.values(), np.int64, len(hits)), size), len(at)).astype(np.int32)
+        self.size = len(terms)
+        self.whole = {t[1:]: i for i, t in enumerate(terms) if t[0] == "=" and len(t) > 1}
+        self.starts = {k: {t: i for i, t in enumerate(terms) if len(t) == k} for k in PREFIXES}
+
+    def numbers(self, bare: list[str]) -> np.ndarray:
+        """The numbers of the terms of words that are bare of marks at their ends, a row each; -1 where there is none."""
+        # Lower-cased as one text: no word border changes what a letter becomes.
+        lower = "\n".join(bare).lower().split("\n") if bare else []
+        found = np.full((len(lower), 1 + len(self.starts)), -1, np.int64)
+        found[:, 0] = np.fromiter(map(self.whole.get, lower, repeat(-1)), np.int64, len(lower))
+        for at, (k, number) in enumerate(self.starts.items(), 1):
+            found[:, at] = np.fromiter((number.get(w[:k], -1) if len(w) > k else -1 for w in lower), np.int64, len(lower))
+        return found
+
+    def entries(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each text's entries begin, and by entry, sorted, a term in the text and how often it occurs.
+
+        Words are split and told apart by Arrow, so Python sees each different word of the texts once.
+        """
+        words = pc.utf8_split_whitespace(texts.fill_null(""))  # white space is that of str.split
+        coded = words.flatten().dictionary_encode()
+        bare = pc.utf8_trim(coded.dictionary, characters=EDGES).to_numpy(zero_copy_only=False).tolist()
+        found, code = self.numbers(bare), coded.indices.to_numpy()
+        base = np.repeat(np.arange(len(texts)) * self.size, words.value_lengths().to_numpy())
+        keys = []
+        for numbers in found.T:
+            number = numbers[code]
+            on = number >= 0
+            keys.append(base[on] + number[on])
+        key = np.concatenate(keys)
+        key.sort()
+        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        first = np.searchsorted(key[at], np.arange(len(texts) + 1) * self.size)
+        return first, (key[at] % max(self.size, 1)).astype(np.int32), np.diff(np.append(at, len(key))).astype(np.int32)
+
+    def counts(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        """By text, the numbers of its terms, sorted, and how often each occurs."""
+        first, terms, n = self.entries(texts)
+        return [(terms[a:b], n[a:b]) for a, b in pairwise(first.tolist())]
 
 
 def _spread(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -248,10 +262,15 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([s / n for _, n, s in pools]), np.array([s / n for s, n, _ in pools])
 
 
-def _few(texts: pa.Array) -> Iterator[list[str | None]]:
-    """The texts of a batch, a few at a time, so that Python holds no batch of strings and vectors."""
-    for low in range(0, len(texts), TOGETHER):
-        yield texts.slice(low, TOGETHER).to_pylist()
+def _few(texts: pa.Array) -> Iterator[pa.Array]:
+    """The texts of a batch, a few at a time, so that Python holds no batch of words and vectors; a longer text stands alone."""
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    low = 0
+    while low < len(texts):
+        fit = int(np.searchsorted(ends, (ends[low - 1] if low else 0) + FEW_BYTES, "right"))
+        high = max(low + 1, min(low + FEW, fit))
+        yield texts.slice(low, high - low)
+        low = high
 
 
 def examples(docs: DataFrame, labels: DataFrame, limit: int = MAX_EXAMPLES) -> DataFrame:
@@ -276,9 +295,9 @@ def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[np.ndarray,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, df = Vocabulary(sent.value), np.zeros(len(sent.value) + 1, np.int64)
         for batch in batches:
-            for body in (b for bodies in _few(batch.column("body")) for b in bodies):
-                df[vocabulary.terms(body)] += 1
-                df[-1] += 1
+            for bodies in _few(batch.column("body")):
+                df[:-1] += np.bincount(vocabulary.entries(bodies)[1], minlength=vocabulary.size)
+                df[-1] += len(bodies)
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(df[at])], ["number", "n"])
 
@@ -306,7 +325,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_EXAMPLES) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(sent.value)
         for batch in batches:
-            found = [vocabulary.counts(b) for b in batch.column("body").to_pylist()]
+            found = [c for bodies in _few(batch.column("body")) for c in vocabulary.counts(bodies)]
             lists = [pa.array([f[i] for f in found], pa.list_(pa.int32())) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "label", "sign")), *lists], ["doc_id", "label", "sign", "at", "n"])
 
@@ -362,7 +381,7 @@ def scored(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), t
         for batch in batches:
             votes, evidence = [], []
             for bodies in _few(batch.column(text)):
-                some = m.votes_on([vocabulary.counts(body or "") for body in bodies])
+                some = m.votes_on(vocabulary.counts(bodies))
                 votes += some[0]
                 evidence += some[1]
             rest = [batch.column(c) for c in keep]
