@@ -2,6 +2,8 @@
 
 from collections import defaultdict
 
+import pytest
+
 from headway.functions.modes import MODES
 from headway.operators import paths
 from headway.queries import intermodal, services
@@ -60,3 +62,10 @@ def test_leg_paths_equal_plain_search(spark):
     got = {(r["from_stop"], r["to_stop"], r["mode"]): (r["length"], r["cost"], r["segments"]) for r in paths.leg_paths(asked, paths.edges(w.segments)).collect()}
     assert len(want) > 5 and got.keys() == want.keys()
     assert all(got[k][2] == want[k][2] and abs(got[k][0] - want[k][0]) < 1e-6 and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
+
+
+@pytest.mark.parametrize("name", ["consolidated_parts"])
+def test_legs_are_made_once(spark, small, name):
+    """What follows after the paths reads the legs that the paths were sought for, and not stop times once more."""
+    plan = intermodal.QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "stop_sequence" not in plan and "l_linenumber" not in plan
