@@ -64,7 +64,7 @@ def test_leg_paths_equal_plain_search(spark):
     assert all(got[k][2] == want[k][2] and abs(got[k][0] - want[k][0]) < 1e-6 and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
 
 
-@pytest.mark.parametrize("name", ["mapped_service_network", "consolidated_parts"])
+@pytest.mark.parametrize("name", ["mapped_service_network", "truncated_trips", "consolidated_parts"])
 def test_legs_are_made_once(spark, small, name):
     """What follows after the paths reads the legs that the paths were sought for, and not stop times once more."""
     plan = intermodal.QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
