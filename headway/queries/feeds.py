@@ -28,8 +28,11 @@ def _all_tables(spark: SparkSession, sf_dir: str) -> str:
     for name, (source, key) in MADE_OF.items():
         rows = spark.read.parquet(f"{sf_dir}/{source}.parquet").select(F.expr(key).alias("_k"))
         fields = [F.concat(F.lit(f'{c} "'), (F.col("_k") % (7 + i)).cast("string"), F.lit('", x')).alias(c.upper()) for i, c in enumerate(schema.COLUMNS[name])]
-        rows.select(*fields, F.lit("?").alias("Odd One")).write.csv(f"{folder}/{name}.txt", header=True, quote='"', escape='"')
-    return archives.packed(spark, folder, f"{folder}.zip")
+        rows.select(*fields, F.lit("?").alias("Odd One")).write.csv(f"{folder}/{name}.txt", header=True, quote='"', escape='"', compression="gzip")
+    place = archives.packed(spark, folder, f"{folder}.zip")
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)  # its tables are in the zip now
+    return place
 
 
 def feed_all_tables(spark, sf_dir):

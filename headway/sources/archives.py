@@ -10,12 +10,14 @@ what a reader goes by. So parts of an attempt that was lost or repeated are neve
 
 from __future__ import annotations
 
+import gzip
 import io
 import json
 import uuid
 import zipfile
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
@@ -43,10 +45,27 @@ def members(spark: SparkSession, location: str) -> list[str]:
         return z.namelist()
 
 
+def _by_parity(block: bytes) -> tuple[int, bool] | None:
+    """As :func:`_record_end` for a block that begins a record, None if a quote opens a field elsewhere than at its beginning.
+
+    Where none does, the number of quotes before a line feed says whether it is in a field; a doubled quote is two.
+    """
+    raw = np.frombuffer(block, np.uint8)
+    quotes = np.flatnonzero(raw == ord('"'))
+    opening = quotes[::2]
+    if not np.isin(raw[opening[opening > 0] - 1], np.frombuffer(b',\n"', np.uint8)).all():
+        return None
+    feeds = np.flatnonzero(raw == ord("\n"))
+    outside = feeds[np.searchsorted(quotes, feeds) % 2 == 0]
+    return int(outside[-1]) + 1 if len(outside) else 0, len(quotes) % 2 == 1
+
+
 def _record_end(block: bytes, inside: bool) -> tuple[int, bool]:
     """Where the last record of a block of whole lines ends (0 if none does), and the state behind the block."""
     if not inside and b'"' not in block:
         return len(block), False
+    if not inside and block.endswith(b"\n") and (found := _by_parity(block)):
+        return found
     at = end = 0
     for line in block.split(b"\n"):
         at += len(line) + 1
@@ -71,12 +90,13 @@ def blocks(member: io.BufferedIOBase, chunk: int = CHUNK) -> Iterator[tuple[byte
         yield rest, len(rest)
 
 
-def unpacked(spark: SparkSession, location: str, names: dict[str, str], folder: str, part_bytes: int = PART_BYTES, chunk: int = CHUNK, splittable: bool = True) -> dict[str, list[str]]:
+def unpacked(spark: SparkSession, location: str, names: dict[str, str], folder: str, part_bytes: int = PART_BYTES, chunk: int = CHUNK, splittable: bool = True, compressed: bool = False) -> dict[str, list[str]]:
     """Unpacks members (table to name) of a zip into ``folder``; returns the parts of each table, as ``MANIFEST`` holds them.
 
-    Without ``splittable`` (encodings in which a line feed is not one byte) a member is one part.
+    Without ``splittable`` (encodings in which a line feed is not one byte) a member is one part. ``compressed`` parts
+    are gzip files of ``part_bytes`` of text, each a split, so a feed takes about as much disk as its zip.
     """
-    uri = qualified(spark, location)
+    uri, suffix = qualified(spark, location), "txt.gz" if compressed else "txt"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -90,8 +110,9 @@ def unpacked(spark: SparkSession, location: str, names: dict[str, str], folder:
                 parts, out, size, header = [], None, 0, b""
 
                 def opened(own=own, parts=parts):
-                    parts.append(f"{folder}/{own}/part-{len(parts):05d}.txt")
-                    return store.open_output_stream(f"{root}/{own}/part-{len(parts) - 1:05d}.txt")
+                    parts.append(f"{folder}/{own}/part-{len(parts):05d}.{suffix}")
+                    raw = store.open_output_stream(f"{root}/{own}/part-{len(parts) - 1:05d}.{suffix}", compression=None)
+                    return _Gzip(raw) if compressed else raw
 
                 with _opened(uri) as f, zipfile.ZipFile(f) as z, z.open(name) as member:
                     for block, end in blocks(member, chunk):
@@ -177,6 +198,19 @@ def _skip_line(data) -> None:
         pass
 
 
+class _Gzip(gzip.GzipFile):
+    """A compressed stream that closes the one below it too."""
+
+    def __init__(self, raw):
+        super().__init__(fileobj=raw, mode="wb", compresslevel=1)
+        self.raw_stream = raw
+
+    def close(self) -> None:
+        super().close()
+        if not self.raw_stream.closed:
+            self.raw_stream.close()
+
+
 class _Stream(io.RawIOBase):
     """An output stream that only goes forward, as a zip's writer takes it."""
 

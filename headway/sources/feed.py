@@ -2,8 +2,8 @@
 
 Headers may be in any order, case and padding, lack columns or have unknown
 ones. A table is a file, or a folder of parts that all have the same header. A
-zip's members are unpacked once, into parts in a folder that all executors share
-(``spark.checkpoint.dir``; :mod:`archives`). Files are read in splits, so a large
+zip's members are unpacked once, into compressed parts in a folder that all executors
+share (``spark.checkpoint.dir``; :mod:`archives`). Files are read in splits, so a large
 table has as many tasks as its size asks for, also one whose fields hold line feeds
 (:mod:`records`; whether they do is asked once, by a scan of the lines with quotes).
 """
@@ -43,7 +43,7 @@ def _unzipped(spark: SparkSession, location: str, encoding: str) -> str:
                 raise FeedError(f"{location} has {table}.txt twice: {names[table]} and {name}")
             names[table] = name
     folder = shared(spark, "feed")
-    archives.unpacked(spark, location, names, folder, splittable=not encoding.upper().startswith(("UTF-16", "UTF-32")))
+    archives.unpacked(spark, location, names, folder, splittable=not encoding.upper().startswith(("UTF-16", "UTF-32")), compressed=True)
     return folder
 
 
@@ -94,7 +94,9 @@ class Feed:
             if not parts:
                 return []
             path, store = _path(self.spark, parts[0])
-        reader = self.spark._jvm.java.io.BufferedReader(self.spark._jvm.java.io.InputStreamReader(store.open(path), self.encoding))
+        codec = self.spark._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(self.spark._jsc.hadoopConfiguration()).getCodec(path)
+        stream = store.open(path) if codec is None else codec.createInputStream(store.open(path))
+        reader = self.spark._jvm.java.io.BufferedReader(self.spark._jvm.java.io.InputStreamReader(stream, self.encoding))
         try:
             line = reader.readLine() or ""
         finally:
@@ -115,7 +117,8 @@ class Feed:
         if self.line_feeds is False:
             return False
         if name not in self._maps:
-            self._maps[name] = records.split_maps(self.spark, self.place(name), self.encoding).collect()  # a row per split with quotes
+            found = self.spark, self.place(name), self.encoding
+            self._maps[name] = records.split_maps(*found).collect() if records.any_open(*found) else []  # a row per split with quotes
         return any(m["opens"] for m in self._maps[name])
 
     def counted(self, name: str, columns: str = "all", exclude: tuple[str, ...] = ()) -> tuple[DataFrame, Observation]:

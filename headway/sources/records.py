@@ -86,6 +86,15 @@ def split_maps(spark: SparkSession, path: str | list[str], encoding: str = "UTF-
     return quoted.mapInArrow(run, "file string, block long, outside boolean, inside boolean, opens boolean")
 
 
+def any_open(spark: SparkSession, path: str | list[str], encoding: str = "UTF-8") -> bool:
+    """Whether some line may leave a quoted field open, seen from outside. No line does whose quotes are doubled ones and those around whole fields.
+
+    Where none may, no field holds a line feed and nothing needs :func:`split_maps`.
+    """
+    plain = F.regexp_replace(F.replace("value", F.lit('""'), F.lit("")), r'(^|,)"[^"]*"(?=,|\r?$)', "")
+    return not _lines(spark, path, encoding).filter(F.contains(plain, F.lit('"'))).select("block").isEmpty()
+
+
 def _begins(maps: list) -> dict[str, tuple[list[int], list[bool]]]:
     """Of each file: the splits that have quotes in order, and the state behind each."""
     found: dict[str, tuple[list[int], list[bool]]] = {}
